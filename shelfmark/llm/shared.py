@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared_dir import scratch, settle  # noqa: F401
+
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Bytes of text that one numpy step handles; temporary arrays take about 50 times as much.
 PIECE = 1 << 19
@@ -19,32 +18,6 @@ _BASE = 0x9E3779B97F4A7C15
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; one of our own only where none is set (tests)."""
-    set_by_user = spark.conf.get("spark.checkpoint.dir", None)
-    if set_by_user:
-        return set_by_user.rstrip("/")
-    own = spark.sparkContext.getCheckpointDir()
-    if own is None:
-        own = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(own)
-        own = spark.sparkContext.getCheckpointDir()
-    return own.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; every run has its own."""
-    return f"{shared_dir(spark)}/shelfmark-{name}-{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends here, so that a lost
-    executor costs only the running stage, and whatever follows reads one and the same rows."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def spread(spark: SparkSession) -> int:
     """Partitions for a repartition by key."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
