@@ -8,10 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, lower, mix, pieces, settle, small_batches, spaces, utf8, word_hashes, word_table
+from .shared import components, lower, mix, pieces, settle, small_batches, spaces, spread, utf8, word_hashes, word_table
 
 #: Words of a shingle; documents link when PARTS * intersection >= SIMILAR * union.
 WORDS = 4
@@ -20,8 +21,14 @@ SIMILAR, PARTS = 85, 100
 CELL_BITS, SLICES = 20, 16
 #: Ranges of the shingle order whose counts the suffix filter compares.
 RANGES = 128
-#: Documents that link must have this overlap: (PARTS + SIMILAR) * overlap >= SIMILAR * (sizes).
-_NEED = f"{PARTS + SIMILAR} * %s >= {SIMILAR} * (%s)"
+#: Bytes of a shingle's hash that are compared when two sets are verified: chance agreement of two among
+#: some thousand shingles is below one in a million, and matters only exactly at the threshold.
+SET_BYTES = 5
+#: So many doc_ids (some 10 MB) are sent to all tasks, which then need no shuffle of texts; more are joined by a shuffle.
+FEW_IDS = 500_000
+PACKED = "doc_id long, packed binary"
+#: Classes of a block: the classes of a shingle that more share are dealt out as pairs of blocks.
+BLOCK = 512
 
 
 def shingle_arrays(texts: pa.Array, n: int = WORDS) -> Iterator[np.ndarray]:
@@ -41,6 +48,11 @@ def shingle_arrays(texts: pa.Array, n: int = WORDS) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
+def set_id(found: np.ndarray) -> int:
+    """A 64-bit digest of a set: the name of its class."""
+    return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def prefix_size(n: int) -> int:
     """Shingles of a set of n of which any set similar enough shares one."""
     return n - -(-SIMILAR * n // PARTS) + 1
@@ -87,7 +99,7 @@ def _prefixes(table):
             for found in shingle_arrays(batch.column("text")):
                 n = len(found)
                 sizes.append(n)
-                digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if n else None)
+                digests.append(set_id(found) if n else None)
                 ranges.append(_ranges(found))
                 if n:
                     rare = np.argsort(counts[found >> np.uint64(64 - CELL_BITS)], kind="stable")[: prefix_size(n)]
@@ -95,15 +107,32 @@ def _prefixes(table):
                 else:
                     prefixes.append(np.zeros(0, np.int64))
             ends = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": pa.array(sizes, pa.int64()), "cls": pa.array(digests, pa.binary()), "ranges": pa.array(ranges, pa.binary()), "prefix": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": pa.array(sizes, pa.int64()), "cls": pa.array(digests, pa.int64()), "ranges": pa.array(ranges, pa.binary()), "prefix": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))})
 
     return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole sets, each shingle as SET_BYTES of its hash."""
+    for batch in batches:
+        texts = pa.array([zstandard.decompress(x).decode() for x in batch.column("packed").to_pylist()], pa.large_string())
+        for piece in pieces([pa.RecordBatch.from_arrays([texts], ["text"])]):
+            found = [x for x in shingle_arrays(piece.column("text")) if len(x)]
+            packed = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :SET_BYTES]).tobytes() for x in found]
+            yield pa.RecordBatch.from_pydict({"cls": pa.array([set_id(x) for x in found], pa.int64()), "members": pa.array(packed, pa.binary())})
+
+
+def _unpack(members: memoryview) -> np.ndarray:
+    out = np.zeros((len(members) // SET_BYTES, 8), np.uint8)
+    out[:, :SET_BYTES] = np.frombuffer(members, np.uint8).reshape(-1, SET_BYTES)
+    return out.view(np.uint64).reshape(-1)
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts in small form, for the one shuffle that carries them."""
     for batch in pieces(batches):
-        found = [x for x in shingle_arrays(batch.column("text")) if len(x)]
-        yield pa.RecordBatch.from_pydict({"cls": pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in found], pa.binary()), "members": pa.array([x.tobytes() for x in found], pa.binary())})
+        tool = zstandard.ZstdCompressor(level=3)
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "packed": pa.array([tool.compress((t or "").encode()) for t in batch.column("text").to_pylist()], pa.binary())})
 
 
 def _suffix_ok(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,24 +150,132 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
         for a, b in zip(batch.column("sa"), batch.column("sb")):
-            x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-            both = np.concatenate((x, y))
-            both.sort(kind="stable")
+            both = np.concatenate((_unpack(a.as_buffer()), _unpack(b.as_buffer())))
+            both.sort()
             shared = int((both[1:] == both[:-1]).sum())
             keep.append(PARTS * shared >= SIMILAR * (len(both) - shared))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _grouped(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows that come sorted by (gram, one, two) -> this key and its rows, two at least."""
+    now, rows = None, []
+    for batch in batches:
+        for gram, one, two, *row in zip(*(batch.column(c).to_pylist() for c in ("gram", "one", "two", *names))):
+            if (gram, one, two) != now:
+                if len(rows) > 1:
+                    yield now, rows
+                now, rows = (gram, one, two), []
+            rows.append(row)
+    if len(rows) > 1:
+        yield now, rows
+
+
+def _feasible(rows: list[tuple], same: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """Of a shingle's (side, root, n, pos, ...) each row number of the left side, and those on the right
+    that its class may link with: of another component, with sizes alike, and enough shingles left."""
+    if len(rows) == 2:
+        (s, r, n, p), (t, q, m, o) = rows[0][:4], rows[1][:4]
+        if (same or s != t) and r != q and PARTS * min(n, m) >= SIMILAR * max(n, m) and (PARTS + SIMILAR) * (1 + min(n - p - 1, m - o - 1)) >= SIMILAR * (n + m):
+            yield 0, np.array([1])
+        return
+    side, root, n, pos = np.array([r[:4] for r in rows]).T
+    left = np.arange(len(rows)) if same else np.flatnonzero(side == 0)
+    right = left if same else np.flatnonzero(side == 1)
+    rest = n - pos - 1
+    for i in left.tolist():
+        j = right[right > i] if same else right
+        fits = (root[j] != root[i]) & (PARTS * np.minimum(n[i], n[j]) >= SIMILAR * np.maximum(n[i], n[j]))
+        j = j[fits & ((PARTS + SIMILAR) * (1 + np.minimum(rest[i], rest[j])) >= SIMILAR * (n[i] + n[j]))]
+        if len(j):
+            yield i, j
+
+
+def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The (gram, cls) that have any partner under the length and positional filters."""
+    grams, classes = [], []
+    for (gram, one, two), rows in _grouped(batches, ("side", "root", "n", "pos", "cls")):
+        alive: set[int] = set()
+        for i, j in _feasible(rows, one == two):
+            alive.add(i)
+            alive.update(j.tolist())
+        grams += [gram] * len(alive)
+        classes += [rows[i][4] for i in alive]
+        if len(grams) > 50_000:
+            yield pa.RecordBatch.from_pydict({"gram": pa.array(grams, pa.int64()), "cls": pa.array(classes, pa.int64())})
+            grams, classes = [], []
+    yield pa.RecordBatch.from_pydict({"gram": pa.array(grams, pa.int64()), "cls": pa.array(classes, pa.int64())})
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of classes, told at the first shingle that their prefixes share, after the suffix filter.
+
+    What follows that shingle bounds the overlap, so a pair that fails there is no pair anywhere.
+    """
+    a, b = [], []
+    for (gram, one, two), rows in _grouped(batches, ("side", "root", "n", "pos", "cls", "own", "ranges")):
+        owns = [dict.fromkeys(r[5]) for r in rows]
+        counts = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(-1, RANGES).astype(np.int32)
+        for i, j in _feasible(rows, one == two):
+            apart = np.abs(counts[j] - counts[i]).sum(1)
+            sizes = np.array([rows[k][2] for k in j.tolist()]) + rows[i][2]
+            for k in j[(PARTS + SIMILAR) * apart <= (PARTS - SIMILAR) * sizes].tolist():
+                if next((g for g in owns[i] if g in owns[k]), gram) == gram:
+                    a.append(min(rows[i][4], rows[k][4]))
+                    b.append(max(rows[i][4], rows[k][4]))
+        if len(a) > 50_000:
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            a, b = [], []
+    yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of each gram together and sorted; grams with more than BLOCK rows as pairs of blocks."""
+    sizes = rows.groupBy("gram").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    rows = rows.join(sizes, "gram").withColumn("mine", F.pmod(F.xxhash64("cls", "gram"), F.col("blocks")))
+    deal = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("mine")).alias("one"), F.greatest(x, F.col("mine")).alias("two"), F.when(x < F.col("mine"), 1).otherwise(0).alias("side")))
+    rows = rows.withColumn("d", F.explode(deal)).select("*", "d.one", "d.two", "d.side").drop("d", "mine", "blocks")
+    return rows.repartition(spread(rows.sparkSession), "gram", "one", "two").sortWithinPartitions("gram", "one", "two")
+
+
+def _remaining_pairs(rest: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes in different components that share a shingle of `rest` and pass the filters, once each.
+
+    A first pass with narrow rows drops those without a partner; only the others get what the suffix
+    filter and the choice of a pair's first shingle need.
+    """
+    live = _dealt(rest).mapInArrow(_live, "gram long, cls long").distinct()
+    rest = settle(rest.join(live, ["gram", "cls"], "left_semi"), "ngram-live")
+    own = rest.groupBy("cls").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "gram"))), lambda x: x["gram"]).alias("own"))
+    about = own.join(classes.select("cls", "ranges"), "cls")
+    return _dealt(rest.join(about, "cls")).mapInArrow(_meet, "a long, b long")
+
+
 def _side(df: DataFrame, name: str, **columns: str) -> DataFrame:
     return df.select(F.col("cls").alias(name), *(F.col(c).alias(alias) for alias, c in columns.items()))
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-    """Of pairs (a, b) of classes those that link: suffix filter first, then both whole sets."""
-    narrow = pairs.join(_side(classes, "a", na="n", ra="ranges"), "a").join(_side(classes, "b", nb="n", rb="ranges"), "b")
-    left = settle(narrow.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_suffix_ok, "a binary, b binary"), f"{name}-pairs")
+def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """Of pairs (a, b) of classes those that link: length and suffix filter first, then both whole sets, once a pair."""
+    long_enough = f"{PARTS} * least(na, nb) >= {SIMILAR} * greatest(na, nb)"
+    narrow = pairs.join(_side(classes, "a", na="n", ra="ranges"), "a").join(_side(classes, "b", nb="n", rb="ranges"), "b").where(long_enough)
+    left = settle(narrow.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_suffix_ok, "a long, b long"), f"{name}-pairs")
+    wanted = left.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select(F.col("rep").alias("doc_id")).distinct()
+    wanted = settle(wanted, f"{name}-wanted")
+    if wanted.count() <= FEW_IDS:
+        texts = docs.join(F.broadcast(wanted), "doc_id", "left_semi").mapInArrow(_pack, PACKED)
+    else:
+        texts = docs.mapInArrow(_pack, PACKED).join(wanted, "doc_id", "left_semi")
+    sets = settle(texts.select("packed").mapInArrow(_sets, "cls long, members binary"), f"{name}-sets")
     whole = left.join(_side(sets, "a", sa="members"), "a").join(_side(sets, "b", sb="members"), "b")
-    return settle(whole.select("a", "b", "sa", "sb").mapInArrow(_linked, "a binary, b binary"), f"{name}-links")
+    return settle(whole.select("a", "b", "sa", "sb").mapInArrow(_linked, "a long, b long"), f"{name}-links")
+
+
+def _unconnected(grams: DataFrame, root: DataFrame, name: str) -> DataFrame:
+    """Rows of the shingles whose classes stand in more than one component, with their component."""
+    placed = grams.select("gram", "cls", "place").distinct().join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    mixed = placed.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram")
+    return settle(placed.join(mixed, "gram").select("gram", "cls", "root", F.expr("shiftright(place, 32)").alias("n"), F.expr("place & 4294967295").alias("pos")), name)
 
 
 def ngram_components(docs: DataFrame) -> DataFrame:
@@ -147,44 +284,36 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     1. Shingle frequencies over all documents (a table of fixed size) give the rare-first order.
     2. Documents of equal sets are one class. A class is known by its prefix: the rarest shingles, of
        which a linked class must share one.
-    3. Each shingle's smallest class is its head. Classes are joined with the heads of their prefix
-       (length and positional filter), and each pair is verified once: suffix filter, then whole sets.
-       Groups of near copies thus connect at a cost in proportion to their size.
+    3. Each shingle's smallest class is its head. Classes are paired with the heads of their prefix,
+       and each pair is verified once: length and suffix filter, then whole sets. Groups of near
+       copies are thus connected at a cost in proportion to their size.
     4. Shingles whose classes are not in one component by then give their remaining pairs, between
-       different components only, with the same filters and verification. No link between components
-       is lost; pairs inside a component don't matter to it and are never made.
+       different components only, with length, positional and suffix filter and the same
+       verification. No link between components is lost; pairs inside one don't matter to it and are
+       never made.
 
     All joins are by shingle, class or component key with plain sums beside them, so that adaptive
-    execution can split a key with many rows. Equality of shingles is that of 64-bit hashes, of sets
-    that of 128-bit digests. Null texts, and texts without words, have no shingles and stay alone;
-    repeated rows and repeated doc_ids are answered row by row; an empty table gives none.
+    execution can split a key with many rows. Equality of sets is that of 64-bit digests, which leaves
+    one expected mistake among some billion different documents. Null texts, and texts without
+    words, have no shingles and stay alone; repeated rows and repeated doc_ids are answered row by
+    row; an empty table gives none. Other columns are never read.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text")
     table = spark.sparkContext.broadcast(frequency_table(docs))
-    known = settle(docs.mapInArrow(_prefixes(table), "doc_id long, n long, cls binary, ranges binary, prefix array<long>"), "ngram-prefixes")
+    known = settle(docs.mapInArrow(_prefixes(table), "doc_id long, n long, cls long, ranges binary, prefix array<long>"), "ngram-prefixes")
     classes = settle(known.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("ranges").alias("ranges")), "ngram-classes")
-    # one document of each class speaks for it
-    speakers = known.join(classes.select("cls", F.col("rep").alias("doc_id")), ["cls", "doc_id"]).select("cls", "n", F.posexplode("prefix").alias("pos", "gram")).distinct()
-    heads = speakers.groupBy("gram").agg(F.count("*").alias("many"), F.min(F.struct("n", "cls", "pos")).alias("head")).where("many > 1")
-    grams = settle(speakers.join(heads, "gram").select("gram", "cls", "n", "pos", "head"), "ngram-grams")
-    long_enough = f"{PARTS} * least(n, m) >= {SIMILAR} * greatest(n, m)"
-    position = _NEED % ("(1 + least(n - pos - 1, m - at - 1))", "n + m")
-    star = grams.select("cls", "n", "pos", F.col("head.cls").alias("to"), F.col("head.n").alias("m"), F.col("head.pos").alias("at")).where(f"cls <> to AND {long_enough} AND {position}")
-    star = star.select(F.least("cls", "to").alias("a"), F.greatest("cls", "to").alias("b")).distinct()
-    wanted = grams.select("cls").distinct().join(classes, "cls").select(F.col("rep").alias("doc_id")).distinct()
-    sets = settle(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "cls binary, members binary").dropDuplicates(["cls"]), "ngram-sets")
-    links = _verify(star, classes, sets, "ngram-star")
+    rows = known.select("cls", "n", F.posexplode("prefix").alias("pos", "gram"))
+    heads = rows.select("gram", "cls").groupBy("gram").agg(F.min("cls").alias("head"), F.max("cls").alias("other")).where("head <> other").select("gram", "head")
+    grams = rows.select("gram", "cls", (F.col("n") * 4294967296 + F.col("pos")).alias("place")).join(heads, "gram")
+    grams = settle(grams, "ngram-grams")
+    star = grams.where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
+    links = _verify(star, classes, docs, "ngram-star")
     root = components(links, "ngram-star")
     # shingles that still connect different components
-    placed = grams.select("gram", "cls", "n", "pos").join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    mixed = placed.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram")
-    rest = settle(placed.join(mixed, "gram"), "ngram-rest")
-    one = rest.select("gram", F.col("cls").alias("a"), "n", "pos", F.col("root").alias("c"))
-    two = rest.select("gram", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("root").alias("d"))
-    more = one.join(two, "gram").where(f"a < b AND c <> d AND {long_enough} AND {position}").select("a", "b").distinct()
-    links = links.unionByName(_verify(more, classes, sets, "ngram-rest"))
+    more = _remaining_pairs(_unconnected(grams, root, "ngram-rest"), classes)
+    links = links.unionByName(_verify(more, classes, docs, "ngram-rest"))
     root = components(links, "ngram")
     named = classes.select("cls", "rep").join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     lowest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -199,13 +328,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     unless their text links to a document that has one.
     """
     found = settle(ngram_components(docs), "ngram-found")
-    keep = found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    keep = settle(keep, "ngram-keep")
+    keep = settle(found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "ngram-keep")
     twice = keep.where("doc_id IS NOT NULL AND rows > 1")
+    gone = found.where("NOT (doc_id <=> component_id)").select("doc_id").distinct()
+    gone = settle(gone.join(keep, gone["doc_id"].eqNullSafe(keep["doc_id"]), "left_anti"), "ngram-gone")
 
-    def only(ids: DataFrame) -> DataFrame:
-        return docs.join(ids.select(F.col("doc_id").alias("_keep")), docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi")
+    def only(ids: DataFrame, how: str = "left_semi") -> DataFrame:
+        return docs.join(ids.select(F.col("doc_id").alias("_keep")), docs["doc_id"].eqNullSafe(F.col("_keep")), how)
 
+    few = gone.count() <= FEW_IDS
     if twice.isEmpty():
-        return only(keep)
+        return only(F.broadcast(gone), "left_anti") if few else only(keep)
     return only(keep.where("doc_id IS NULL OR rows = 1")).unionByName(only(twice).dropDuplicates(["doc_id", "text"]))
