@@ -17,7 +17,8 @@ DEPTH = 6
 SHARE, SUPPORT = 0.05, 5
 #: Labelled urls that a branch needs to be compared, and the squared z value (95 %) from which it differs.
 LABELLED, Z2 = 5, 3.8416
-#: Weight of the overall share of blocked urls in a template's purity, and the purity that rejects it.
+#: Labelled urls that smoothing adds to each template, half of them blocked, and the purity that rejects it:
+#: without labels of its own no template is rejected.
 PRIOR, PURITY = 4.0, 0.9
 
 
@@ -76,12 +77,11 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     segs = F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH), F.array(F.lit("**")))).otherwise(parts)
     rows = rows.select("*", segs.alias("segs"), F.lit("").alias("template"), F.coalesce((F.col("ruled") == "block").cast("int"), F.lit(0)).alias("block"), F.col("ruled").isNotNull().cast("int").alias("labelled"))
     rows = settle(rows, "urls")
-    top = rows.agg(F.max(F.size("segs")).alias("deep"), F.sum("block").alias("b"), F.sum("labelled").alias("m")).first()
-    prior = top["b"] / top["m"] if top["m"] else 0.0
-    for depth in range(top["deep"] or 0):
+    deep = rows.agg(F.max(F.size("segs"))).first()[0] or 0
+    for depth in range(deep):
         rows = settle(_level(rows, depth), f"urls{depth}")
     sums = rows.groupBy("host", "template").agg(F.sum("block").alias("tb"), F.sum("labelled").alias("tm"))
-    purity = (F.col("tb") + PRIOR * prior) / (F.col("tm") + PRIOR)
+    purity = (F.col("tb") + PRIOR / 2) / (F.col("tm") + PRIOR)
     rows = rows.join(sums.select("host", "template", purity.alias("purity")), ["host", "template"])
     return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("purity") >= PURITY, "block").otherwise("allow")).alias("verdict"), "template", "purity")
 
@@ -108,8 +108,7 @@ k{d} AS (SELECT host, template, seg, CASE WHEN m < 5 THEN seg
 r{d + 1} AS (SELECT a.page_id, a.host, a.path, a.rule, a.ruled, a.segs, CASE WHEN a.seg IS NULL THEN a.template ELSE a.template || '/' || coalesce(k.token, '*') END AS template, a.block, a.labelled
     FROM a{d} a LEFT JOIN k{d} k ON a.host = k.host AND a.template = k.template AND a.seg = k.seg)"""
     return out + f""",
-g AS (SELECT CASE WHEN sum(labelled) > 0 THEN sum(block) / sum(labelled) ELSE 0.0 END AS prior FROM r0),
-s AS (SELECT host, template, (sum(block) + 4.0::DOUBLE * any_value(prior)) / (sum(labelled) + 4.0::DOUBLE) AS purity FROM r{DEPTH + 1}, g GROUP BY host, template)
+s AS (SELECT host, template, (sum(block) + 2.0::DOUBLE) / (sum(labelled) + 4.0::DOUBLE) AS purity FROM r{DEPTH + 1} GROUP BY host, template)
 SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.ruled, CASE WHEN s.purity >= 0.9 THEN 'block' ELSE 'allow' END) AS verdict, r.template, s.purity
 FROM r{DEPTH + 1} r JOIN s ON r.host = s.host AND r.template = s.template"""
 
