@@ -255,11 +255,16 @@ def _side(df: DataFrame, name: str, **columns: str) -> DataFrame:
     return df.select(F.col("cls").alias(name), *(F.col(c).alias(alias) for alias, c in columns.items()))
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """Of pairs (a, b) of classes those that link: length and suffix filter first, then both whole sets, once a pair."""
+def _filtered(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes that pass the length and suffix filters."""
     long_enough = f"{PARTS} * least(na, nb) >= {SIMILAR} * greatest(na, nb)"
     narrow = pairs.join(_side(classes, "a", na="n", ra="ranges"), "a").join(_side(classes, "b", nb="n", rb="ranges"), "b").where(long_enough)
-    left = settle(narrow.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_suffix_ok, "a long, b long"), f"{name}-pairs")
+    return narrow.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_suffix_ok, "a long, b long")
+
+
+def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """Of filtered pairs (a, b) of classes those that link, by both whole sets, once a pair."""
+    left = settle(pairs, f"{name}-pairs")
     wanted = left.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select(F.col("rep").alias("doc_id")).distinct()
     wanted = settle(wanted, f"{name}-wanted")
     if wanted.count() <= FEW_IDS:
@@ -309,7 +314,7 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     grams = rows.select("gram", "cls", (F.col("n") * 4294967296 + F.col("pos")).alias("place")).join(heads, "gram")
     grams = settle(grams, "ngram-grams")
     star = grams.where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
-    links = _verify(star, classes, docs, "ngram-star")
+    links = _verify(_filtered(star, classes), classes, docs, "ngram-star")
     root = components(links, "ngram-star")
     # shingles that still connect different components
     more = _remaining_pairs(_unconnected(grams, root, "ngram-rest"), classes)
