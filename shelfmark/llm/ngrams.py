@@ -27,6 +27,8 @@ SET_BYTES = 5
 #: So many doc_ids (some 10 MB) are sent to all tasks, which then need no shuffle of texts; more are joined by a shuffle.
 FEW_IDS = 500_000
 PACKED = "doc_id long, packed binary"
+#: Rounds in which every class is verified with the nearest of other components, before all remaining pairs are.
+ROUNDS = 2
 #: Classes of a block: the classes of a shingle that more share are dealt out as pairs of blocks.
 BLOCK = 512
 
@@ -229,6 +231,30 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each class of a shingle (cls, apart, other): of the classes it may link with, the one whose counts by
+    range differ least."""
+    found: tuple[list, list, list] = [], [], []
+    for (_, one, two), rows in _grouped(batches, ("side", "root", "n", "pos", "cls", "ranges")):
+        counts = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(-1, RANGES).astype(np.int32)
+        sizes = np.array([r[2] for r in rows])
+        least, other = np.full(len(rows), 1 << 31), np.full(len(rows), -1)
+        for i, j in _feasible(rows, one == two):
+            apart = np.abs(counts[j] - counts[i]).sum(1)
+            fits = (PARTS + SIMILAR) * apart <= (PARTS - SIMILAR) * (sizes[j] + sizes[i])
+            j, apart = j[fits], apart[fits]
+            for k, at, d in ((j, i, apart), (i, j[apart.argmin()], apart.min())) if len(j) else ():
+                nearer = d < least[k]
+                least[k], other[k] = np.where(nearer, d, least[k]), np.where(nearer, at, other[k])
+        for i in np.flatnonzero(other >= 0).tolist():
+            for column, value in zip(found, (rows[i][4], int(least[i]), rows[other[i]][4])):
+                column.append(value)
+        if len(found[0]) > 50_000:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["cls", "apart", "other"])
+            found = [], [], []
+    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["cls", "apart", "other"])
+
+
 def _dealt(rows: DataFrame) -> DataFrame:
     """Rows of each gram together and sorted; grams with more than BLOCK rows as pairs of blocks."""
     sizes = rows.groupBy("gram").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
@@ -238,14 +264,26 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(spread(rows.sparkSession), "gram", "one", "two").sortWithinPartitions("gram", "one", "two")
 
 
-def _remaining_pairs(rest: DataFrame, classes: DataFrame) -> DataFrame:
+def _with_partner(rest: DataFrame, name: str) -> DataFrame:
+    """Rows of `rest` with a partner under the length and positional filters; a pass with narrow rows."""
+    live = _dealt(rest).mapInArrow(_live, "gram long, cls long").distinct()
+    return settle(rest.join(live, ["gram", "cls"], "left_semi"), f"{name}-live")
+
+
+def _nearest_pairs(rest: DataFrame, classes: DataFrame, name: str) -> DataFrame:
+    """Pairs (a, b): each class with the nearest of another component, one pair a class at most."""
+    rest = _with_partner(rest, name)
+    near = _dealt(rest.join(classes.select("cls", "ranges"), "cls")).mapInArrow(_near, "cls long, apart long, other long")
+    nearest = near.groupBy("cls").agg(F.min(F.struct("apart", "other")).alias("m"))
+    return nearest.select(F.least("cls", "m.other").alias("a"), F.greatest("cls", "m.other").alias("b")).distinct()
+
+
+def _remaining_pairs(rest: DataFrame, classes: DataFrame, name: str) -> DataFrame:
     """Pairs (a, b) of classes in different components that share a shingle of `rest` and pass the filters, once each.
 
-    A first pass with narrow rows drops those without a partner; only the others get what the suffix
-    filter and the choice of a pair's first shingle need.
+    Only rows with a partner get what the suffix filter and the choice of a pair's first shingle need.
     """
-    live = _dealt(rest).mapInArrow(_live, "gram long, cls long").distinct()
-    rest = settle(rest.join(live, ["gram", "cls"], "left_semi"), "ngram-live")
+    rest = _with_partner(rest, name)
     own = rest.groupBy("cls").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "gram"))), lambda x: x["gram"]).alias("own"))
     about = own.join(classes.select("cls", "ranges"), "cls")
     return _dealt(rest.join(about, "cls")).mapInArrow(_meet, "a long, b long")
@@ -277,10 +315,10 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, name: str) ->
 
 
 def _unconnected(grams: DataFrame, root: DataFrame, name: str) -> DataFrame:
-    """Rows of the shingles whose classes stand in more than one component, with their component."""
-    placed = grams.select("gram", "cls", "place").distinct().join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    """Rows (gram, cls, n, pos) of the shingles whose classes stand in more than one component, with their component."""
+    placed = grams.select("gram", "cls", "n", "pos").join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     mixed = placed.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram")
-    return settle(placed.join(mixed, "gram").select("gram", "cls", "root", F.expr("shiftright(place, 32)").alias("n"), F.expr("place & 4294967295").alias("pos")), name)
+    return settle(placed.join(mixed, "gram"), name)
 
 
 def ngram_components(docs: DataFrame) -> DataFrame:
@@ -292,7 +330,10 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     3. Each shingle's smallest class is its head. Classes are paired with the heads of their prefix,
        and each pair is verified once: length and suffix filter, then whole sets. Groups of near
        copies are thus connected at a cost in proportion to their size.
-    4. Shingles whose classes are not in one component by then give their remaining pairs, between
+    4. Where a shingle's classes are not in one component by then, each class is verified with the
+       nearest of another component that passes the filters, in ROUNDS rounds. What belongs to a
+       group of near copies mostly joins it here, again at a cost in proportion to the group's size.
+    5. Shingles whose classes still are not in one component give their remaining pairs, between
        different components only, with length, positional and suffix filter and the same
        verification. No link between components is lost; pairs inside one don't matter to it and are
        never made.
@@ -316,9 +357,13 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     star = grams.where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
     links = _verify(_filtered(star, classes), classes, docs, "ngram-star")
     root = components(links, "ngram-star")
-    # shingles that still connect different components
-    more = _remaining_pairs(_unconnected(grams, root, "ngram-rest"), classes)
-    links = links.unionByName(_verify(more, classes, docs, "ngram-rest"))
+    placed = grams.select("gram", "cls", F.expr("shiftright(place, 32)").alias("n"), F.expr("place & 4294967295").alias("pos")).distinct()
+    rest = _unconnected(placed, root, "ngram-apart")
+    for k in range(ROUNDS):
+        links = links.unionByName(_verify(_nearest_pairs(rest, classes, f"ngram-near{k}"), classes, docs, f"ngram-near{k}"))
+        root = components(links, f"ngram-near{k}")
+        rest = _unconnected(rest, root, f"ngram-apart{k}")
+    links = links.unionByName(_verify(_remaining_pairs(rest, classes, "ngram-rest"), classes, docs, "ngram-rest"))
     root = components(links, "ngram")
     named = classes.select("cls", "rep").join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     lowest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
