@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -14,9 +15,9 @@ from pyspark.sql import functions as F
 
 from .shared import components, lower, mix, pieces, settle, small_batches, spaces, spread, utf8, word_hashes, word_table
 
-#: Words of a shingle; documents link when PARTS * intersection >= SIMILAR * union.
-WORDS = 4
-SIMILAR, PARTS = 85, 100
+#: Words of a shingle, and the similarity in hundredths from which documents link.
+WORDS = 5
+SIMILAR, PARTS = 80, 100
 #: Cells (a power of two) of the table of shingle frequencies, in slices that are summed apart.
 CELL_BITS, SLICES = 20, 16
 #: Ranges of the shingle order whose counts the suffix filter compares.
@@ -33,7 +34,34 @@ ROUNDS = 2
 BLOCK = 512
 
 
-def shingle_arrays(texts: pa.Array, n: int = WORDS) -> Iterator[np.ndarray]:
+@dataclass(frozen=True)
+class Likeness:
+    """What links: sets of shingles of `words` words with PARTS * intersection >= similar * union."""
+
+    words: int = WORDS
+    similar: int = SIMILAR
+
+    def prefix_size(self, n: int) -> int:
+        """Shingles of a set of n of which any set similar enough shares one."""
+        return n - -(-self.similar * n // PARTS) + 1
+
+    def sizes_fit(self, least, most):
+        """Length filter."""
+        return PARTS * least >= self.similar * most
+
+    def overlap_fits(self, most, sizes):
+        """Positional filter: `most` shingles can be common to two sets of `sizes` in sum."""
+        return (PARTS + self.similar) * most >= self.similar * sizes
+
+    def ranges_fit(self, apart, sizes):
+        """Suffix filter: counts by range differ by `apart` in sum."""
+        return (PARTS + self.similar) * apart <= (PARTS - self.similar) * sizes
+
+    def links(self, shared: int, sizes: int) -> bool:
+        return PARTS * shared >= self.similar * (sizes - shared)
+
+
+def shingle_arrays(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
     """For each text its distinct shingles as sorted 64-bit hashes; a text of fewer words is one shingle."""
     data, at = utf8(texts)
     data = lower(data)
@@ -55,15 +83,10 @@ def set_id(found: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def prefix_size(n: int) -> int:
-    """Shingles of a set of n of which any set similar enough shares one."""
-    return n - -(-SIMILAR * n // PARTS) + 1
-
-
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _frequencies(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << CELL_BITS, np.int32)
     for batch in pieces(batches):
-        found = [*shingle_arrays(batch.column("text"))]
+        found = [*shingle_arrays(batch.column("text"), like.words)]
         total += np.bincount(np.concatenate(found) >> np.uint64(64 - CELL_BITS), minlength=len(total)).astype(np.int32)
     if total.any():
         yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "counts": [p.tobytes() for p in np.split(total, SLICES)]})
@@ -74,13 +97,13 @@ def _add(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"slice": rows["slice"][:1], "counts": [total.tobytes()]})
 
 
-def frequency_table(docs: DataFrame) -> np.ndarray:
+def frequency_table(docs: DataFrame, like: Likeness) -> np.ndarray:
     """How many documents have shingles of each hash cell: all documents count, the size is fixed.
 
     Cells stand in for shingles only in the order of rarity. Any order common to all documents gives
     the same result; this one moves what many documents share out of their prefixes.
     """
-    rows = docs.select("text").mapInArrow(_frequencies, "slice int, counts binary").groupBy("slice").applyInPandas(_add, "slice int, counts binary").collect()
+    rows = docs.select("text").mapInArrow(lambda batches: _frequencies(batches, like), "slice int, counts binary").groupBy("slice").applyInPandas(_add, "slice int, counts binary").collect()
     table = np.zeros((SLICES, (1 << CELL_BITS) // SLICES), np.int64)
     for part, counts in rows:
         table[part] = np.frombuffer(bytes(counts), np.int64)
@@ -91,20 +114,20 @@ def _ranges(found: np.ndarray) -> bytes:
     return np.minimum(np.bincount(found >> np.uint64(57), minlength=RANGES), 255).astype(np.uint8).tobytes()
 
 
-def _prefixes(table):
+def _prefixes(table, like: Likeness):
     """A row for each document: size, digest of the set, counts by range, and the rarest shingles in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = table.value
         for batch in pieces(batches):
             sizes, digests, ranges, prefixes = [], [], [], []
-            for found in shingle_arrays(batch.column("text")):
+            for found in shingle_arrays(batch.column("text"), like.words):
                 n = len(found)
                 sizes.append(n)
                 digests.append(set_id(found) if n else None)
                 ranges.append(_ranges(found))
                 if n:
-                    rare = np.argsort(counts[found >> np.uint64(64 - CELL_BITS)], kind="stable")[: prefix_size(n)]
+                    rare = np.argsort(counts[found >> np.uint64(64 - CELL_BITS)], kind="stable")[: like.prefix_size(n)]
                     prefixes.append(found[rare].view(np.int64))
                 else:
                     prefixes.append(np.zeros(0, np.int64))
@@ -114,12 +137,12 @@ def _prefixes(table):
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
     """Whole sets, each shingle as SET_BYTES of its hash."""
     for batch in batches:
         texts = pa.array([zstandard.decompress(x).decode() for x in batch.column("packed").to_pylist()], pa.large_string())
         for piece in pieces([pa.RecordBatch.from_arrays([texts], ["text"])]):
-            found = [x for x in shingle_arrays(piece.column("text")) if len(x)]
+            found = [x for x in shingle_arrays(piece.column("text"), like.words) if len(x)]
             packed = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :SET_BYTES]).tobytes() for x in found]
             yield pa.RecordBatch.from_pydict({"cls": pa.array([set_id(x) for x in found], pa.int64()), "members": pa.array(packed, pa.binary())})
 
@@ -137,25 +160,23 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "packed": pa.array([tool.compress((t or "").encode()) for t in batch.column("text").to_pylist()], pa.binary())})
 
 
-def _suffix_ok(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _suffix_ok(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
     """Suffix filter: the sets' counts in ranges of the order differ in sum by no more than a linked pair's sets can."""
     for batch in batches:
         if batch.num_rows:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, RANGES).astype(np.int32) for c in ("ra", "rb"))
             apart = np.abs(a - b).sum(1)
             sizes = np.asarray(batch.column("na")) + np.asarray(batch.column("nb"))
-            keep = (PARTS + SIMILAR) * apart <= (PARTS - SIMILAR) * sizes
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            yield batch.select(["a", "b"]).filter(pa.array(like.ranges_fit(apart, sizes)))
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _linked(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
         for a, b in zip(batch.column("sa"), batch.column("sb")):
             both = np.concatenate((_unpack(a.as_buffer()), _unpack(b.as_buffer())))
             both.sort()
-            shared = int((both[1:] == both[:-1]).sum())
-            keep.append(PARTS * shared >= SIMILAR * (len(both) - shared))
+            keep.append(like.links(int((both[1:] == both[:-1]).sum()), len(both)))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -173,12 +194,12 @@ def _grouped(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Itera
         yield now, rows
 
 
-def _feasible(rows: list[tuple], same: bool) -> Iterator[tuple[int, np.ndarray]]:
+def _feasible(rows: list[tuple], same: bool, like: Likeness) -> Iterator[tuple[int, np.ndarray]]:
     """Of a shingle's (side, root, n, pos, ...) each row number of the left side, and those on the right
     that its class may link with: of another component, with sizes alike, and enough shingles left."""
     if len(rows) == 2:
         (s, r, n, p), (t, q, m, o) = rows[0][:4], rows[1][:4]
-        if (same or s != t) and r != q and PARTS * min(n, m) >= SIMILAR * max(n, m) and (PARTS + SIMILAR) * (1 + min(n - p - 1, m - o - 1)) >= SIMILAR * (n + m):
+        if (same or s != t) and r != q and like.sizes_fit(min(n, m), max(n, m)) and like.overlap_fits(1 + min(n - p - 1, m - o - 1), n + m):
             yield 0, np.array([1])
         return
     side, root, n, pos = np.array([r[:4] for r in rows]).T
@@ -187,18 +208,18 @@ def _feasible(rows: list[tuple], same: bool) -> Iterator[tuple[int, np.ndarray]]
     rest = n - pos - 1
     for i in left.tolist():
         j = right[right > i] if same else right
-        fits = (root[j] != root[i]) & (PARTS * np.minimum(n[i], n[j]) >= SIMILAR * np.maximum(n[i], n[j]))
-        j = j[fits & ((PARTS + SIMILAR) * (1 + np.minimum(rest[i], rest[j])) >= SIMILAR * (n[i] + n[j]))]
+        fits = (root[j] != root[i]) & like.sizes_fit(np.minimum(n[i], n[j]), np.maximum(n[i], n[j]))
+        j = j[fits & like.overlap_fits(1 + np.minimum(rest[i], rest[j]), n[i] + n[j])]
         if len(j):
             yield i, j
 
 
-def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _live(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
     """The (gram, cls) that have any partner under the length and positional filters."""
     grams, classes = [], []
     for (gram, one, two), rows in _grouped(batches, ("side", "root", "n", "pos", "cls")):
         alive: set[int] = set()
-        for i, j in _feasible(rows, one == two):
+        for i, j in _feasible(rows, one == two, like):
             alive.add(i)
             alive.update(j.tolist())
         grams += [gram] * len(alive)
@@ -209,7 +230,7 @@ def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"gram": pa.array(grams, pa.int64()), "cls": pa.array(classes, pa.int64())})
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _meet(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
     """Pairs of classes, told at the first shingle that their prefixes share, after the suffix filter.
 
     What follows that shingle bounds the overlap, so a pair that fails there is no pair anywhere.
@@ -218,10 +239,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for (gram, one, two), rows in _grouped(batches, ("side", "root", "n", "pos", "cls", "own", "ranges")):
         owns = [dict.fromkeys(r[5]) for r in rows]
         counts = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(-1, RANGES).astype(np.int32)
-        for i, j in _feasible(rows, one == two):
+        for i, j in _feasible(rows, one == two, like):
             apart = np.abs(counts[j] - counts[i]).sum(1)
             sizes = np.array([rows[k][2] for k in j.tolist()]) + rows[i][2]
-            for k in j[(PARTS + SIMILAR) * apart <= (PARTS - SIMILAR) * sizes].tolist():
+            for k in j[like.ranges_fit(apart, sizes)].tolist():
                 if next((g for g in owns[i] if g in owns[k]), gram) == gram:
                     a.append(min(rows[i][4], rows[k][4]))
                     b.append(max(rows[i][4], rows[k][4]))
@@ -231,7 +252,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _near(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
     """For each class of a shingle (cls, apart, other): of the classes it may link with, the one whose counts by
     range differ least."""
     found: tuple[list, list, list] = [], [], []
@@ -239,9 +260,9 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(-1, RANGES).astype(np.int32)
         sizes = np.array([r[2] for r in rows])
         least, other = np.full(len(rows), 1 << 31), np.full(len(rows), -1)
-        for i, j in _feasible(rows, one == two):
+        for i, j in _feasible(rows, one == two, like):
             apart = np.abs(counts[j] - counts[i]).sum(1)
-            fits = (PARTS + SIMILAR) * apart <= (PARTS - SIMILAR) * (sizes[j] + sizes[i])
+            fits = like.ranges_fit(apart, sizes[j] + sizes[i])
             j, apart = j[fits], apart[fits]
             for k, at, d in ((j, i, apart), (i, j[apart.argmin()], apart.min())) if len(j) else ():
                 nearer = d < least[k]
@@ -264,43 +285,43 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(spread(rows.sparkSession), "gram", "one", "two").sortWithinPartitions("gram", "one", "two")
 
 
-def _with_partner(rest: DataFrame, name: str) -> DataFrame:
+def _with_partner(rest: DataFrame, like: Likeness, name: str) -> DataFrame:
     """Rows of `rest` with a partner under the length and positional filters; a pass with narrow rows."""
-    live = _dealt(rest).mapInArrow(_live, "gram long, cls long").distinct()
+    live = _dealt(rest).mapInArrow(lambda batches: _live(batches, like), "gram long, cls long").distinct()
     return settle(rest.join(live, ["gram", "cls"], "left_semi"), f"{name}-live")
 
 
-def _nearest_pairs(rest: DataFrame, classes: DataFrame, name: str) -> DataFrame:
+def _nearest_pairs(rest: DataFrame, classes: DataFrame, like: Likeness, name: str) -> DataFrame:
     """Pairs (a, b): each class with the nearest of another component, one pair a class at most."""
-    rest = _with_partner(rest, name)
-    near = _dealt(rest.join(classes.select("cls", "ranges"), "cls")).mapInArrow(_near, "cls long, apart long, other long")
+    rest = _with_partner(rest, like, name)
+    near = _dealt(rest.join(classes.select("cls", "ranges"), "cls")).mapInArrow(lambda batches: _near(batches, like), "cls long, apart long, other long")
     nearest = near.groupBy("cls").agg(F.min(F.struct("apart", "other")).alias("m"))
     return nearest.select(F.least("cls", "m.other").alias("a"), F.greatest("cls", "m.other").alias("b")).distinct()
 
 
-def _remaining_pairs(rest: DataFrame, classes: DataFrame, name: str) -> DataFrame:
+def _remaining_pairs(rest: DataFrame, classes: DataFrame, like: Likeness, name: str) -> DataFrame:
     """Pairs (a, b) of classes in different components that share a shingle of `rest` and pass the filters, once each.
 
     Only rows with a partner get what the suffix filter and the choice of a pair's first shingle need.
     """
-    rest = _with_partner(rest, name)
+    rest = _with_partner(rest, like, name)
     own = rest.groupBy("cls").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "gram"))), lambda x: x["gram"]).alias("own"))
     about = own.join(classes.select("cls", "ranges"), "cls")
-    return _dealt(rest.join(about, "cls")).mapInArrow(_meet, "a long, b long")
+    return _dealt(rest.join(about, "cls")).mapInArrow(lambda batches: _meet(batches, like), "a long, b long")
 
 
 def _side(df: DataFrame, name: str, **columns: str) -> DataFrame:
     return df.select(F.col("cls").alias(name), *(F.col(c).alias(alias) for alias, c in columns.items()))
 
 
-def _filtered(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _filtered(pairs: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame:
     """Pairs (a, b) of classes that pass the length and suffix filters."""
-    long_enough = f"{PARTS} * least(na, nb) >= {SIMILAR} * greatest(na, nb)"
+    long_enough = like.sizes_fit(F.least("na", "nb"), F.greatest("na", "nb"))
     narrow = pairs.join(_side(classes, "a", na="n", ra="ranges"), "a").join(_side(classes, "b", nb="n", rb="ranges"), "b").where(long_enough)
-    return narrow.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_suffix_ok, "a long, b long")
+    return narrow.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(lambda batches: _suffix_ok(batches, like), "a long, b long")
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, like: Likeness, name: str) -> DataFrame:
     """Of filtered pairs (a, b) of classes those that link, by both whole sets, once a pair."""
     left = settle(pairs, f"{name}-pairs")
     wanted = left.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select(F.col("rep").alias("doc_id")).distinct()
@@ -309,9 +330,9 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, name: str) ->
         texts = docs.join(F.broadcast(wanted), "doc_id", "left_semi").mapInArrow(_pack, PACKED)
     else:
         texts = docs.mapInArrow(_pack, PACKED).join(wanted, "doc_id", "left_semi")
-    sets = settle(texts.select("packed").mapInArrow(_sets, "cls long, members binary"), f"{name}-sets")
+    sets = settle(texts.select("packed").mapInArrow(lambda batches: _sets(batches, like), "cls long, members binary"), f"{name}-sets")
     whole = left.join(_side(sets, "a", sa="members"), "a").join(_side(sets, "b", sb="members"), "b")
-    return settle(whole.select("a", "b", "sa", "sb").mapInArrow(_linked, "a long, b long"), f"{name}-links")
+    return settle(whole.select("a", "b", "sa", "sb").mapInArrow(lambda batches: _linked(batches, like), "a long, b long"), f"{name}-links")
 
 
 def _unconnected(grams: DataFrame, root: DataFrame, name: str) -> DataFrame:
@@ -321,9 +342,12 @@ def _unconnected(grams: DataFrame, root: DataFrame, name: str) -> DataFrame:
     return settle(placed.join(mixed, "gram"), name)
 
 
-def ngram_components(docs: DataFrame) -> DataFrame:
+def ngram_components(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
     """docs (doc_id, text, any more) -> doc_id, n_shingles, component_id, cls (digest of the set; null if empty).
 
+    Documents link when their sets of shingles of `words` words have a Jaccard similarity of `similar`
+    hundredths at least.
+
     1. Shingle frequencies over all documents (a table of fixed size) give the rare-first order.
     2. Documents of equal sets are one class. A class is known by its prefix: the rarest shingles, of
        which a linked class must share one.
@@ -346,24 +370,25 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     small_batches(spark)
+    like = Likeness(words, similar)
     docs = docs.select("doc_id", "text")
-    table = spark.sparkContext.broadcast(frequency_table(docs))
-    known = settle(docs.mapInArrow(_prefixes(table), "doc_id long, n long, cls long, ranges binary, prefix array<long>"), "ngram-prefixes")
+    table = spark.sparkContext.broadcast(frequency_table(docs, like))
+    known = settle(docs.mapInArrow(_prefixes(table, like), "doc_id long, n long, cls long, ranges binary, prefix array<long>"), "ngram-prefixes")
     classes = settle(known.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("ranges").alias("ranges")), "ngram-classes")
     rows = known.select("cls", "n", F.posexplode("prefix").alias("pos", "gram"))
     heads = rows.select("gram", "cls").groupBy("gram").agg(F.min("cls").alias("head"), F.max("cls").alias("other")).where("head <> other").select("gram", "head")
     grams = rows.select("gram", "cls", (F.col("n") * 4294967296 + F.col("pos")).alias("place")).join(heads, "gram")
     grams = settle(grams, "ngram-grams")
     star = grams.where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
-    links = _verify(_filtered(star, classes), classes, docs, "ngram-star")
+    links = _verify(_filtered(star, classes, like), classes, docs, like, "ngram-star")
     root = components(links, "ngram-star")
     placed = grams.select("gram", "cls", F.expr("shiftright(place, 32)").alias("n"), F.expr("place & 4294967295").alias("pos")).distinct()
     rest = _unconnected(placed, root, "ngram-apart")
     for k in range(ROUNDS):
-        links = links.unionByName(_verify(_nearest_pairs(rest, classes, f"ngram-near{k}"), classes, docs, f"ngram-near{k}"))
+        links = links.unionByName(_verify(_nearest_pairs(rest, classes, like, f"ngram-near{k}"), classes, docs, like, f"ngram-near{k}"))
         root = components(links, f"ngram-near{k}")
         rest = _unconnected(rest, root, f"ngram-apart{k}")
-    links = links.unionByName(_verify(_remaining_pairs(rest, classes, "ngram-rest"), classes, docs, "ngram-rest"))
+    links = links.unionByName(_verify(_remaining_pairs(rest, classes, like, "ngram-rest"), classes, docs, like, "ngram-rest"))
     root = components(links, "ngram")
     named = classes.select("cls", "rep").join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     lowest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -371,13 +396,13 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     return known.select("doc_id", "n", "cls").join(ids, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "cls")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
     """docs with one document of each component, the one of the smallest doc_id; documents without shingles all stay.
 
     Of rows that repeat the kept doc_id with one text a single one stays. Rows without doc_id stay
     unless their text links to a document that has one.
     """
-    found = settle(ngram_components(docs), "ngram-found")
+    found = settle(ngram_components(docs, words, similar), "ngram-found")
     keep = settle(found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "ngram-keep")
     twice = keep.where("doc_id IS NOT NULL AND rows > 1")
     gone = found.where("NOT (doc_id <=> component_id)").select("doc_id").distinct()

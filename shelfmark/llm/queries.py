@@ -25,7 +25,7 @@ def token_pattern() -> str:
 
 
 def op1_ngram_jaccard_join(spark, sf_dir):
-    return ngrams.ngram_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return ngrams.ngram_components(_table(spark, sf_dir, "documents"), words=4, similar=85).select("doc_id", "n_shingles", "component_id")
 
 
 def op2_embedding_near_dedup(spark, sf_dir):

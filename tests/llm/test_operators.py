@@ -36,12 +36,12 @@ def test_sql_twins(spark, sf, name):
     assert differ(queries.queries()[name](spark, sf), duck(sf), queries.oracle_sql()[name]) == ""
 
 
-def brute_components(rows):
+def brute_components(rows, n=5, similar=80):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []
     for _, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low))
-        sets.append({tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set())
+        sets.append({tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set())
     top = list(range(len(rows)))
 
     def find(x):
@@ -52,7 +52,7 @@ def brute_components(rows):
     for a in range(len(rows)):
         for b in range(a):
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            if both and 100 * both >= similar * (len(sets[a]) + len(sets[b]) - both):
                 top[find(a)] = find(b)
     least = {}
     for k, (i, _) in enumerate(rows):
@@ -71,8 +71,9 @@ def test_ngrams_against_brute_force(spark):
             copy[rng.randrange(80)] = rng.choice(words)
         rows.append((i, " ".join(copy)))
     rows += [(i, " ".join(base)) for i in range(150, 170)] + [(200, None), (201, ""), (202, "A b"), (203, "a B"), (203, "a B")]
-    found = ngrams.ngram_components(docs_of(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()
-    assert Counter(map(tuple, found)) == brute_components(rows)
+    for n, similar in ((5, 80), (4, 85)):
+        found = ngrams.ngram_components(docs_of(spark, rows), n, similar).select("doc_id", "n_shingles", "component_id").collect()
+        assert Counter(map(tuple, found)) == brute_components(rows, n, similar)
     kept = {r.doc_id for r in ngrams.keep_one(docs_of(spark, rows)).collect()}
     assert kept == {i for i, _, c in brute_components(rows) if i == c}
 
