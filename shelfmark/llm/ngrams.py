@@ -286,25 +286,26 @@ def _dealt(rows: DataFrame) -> DataFrame:
 
 
 def _with_partner(rest: DataFrame, like: Likeness, name: str) -> DataFrame:
-    """Rows of `rest` with a partner under the length and positional filters; a pass with narrow rows."""
+    """Rows of `rest` with a partner under the length and positional filters; a pass with narrow rows.
+
+    Components only grow, so what has no partner in another one now has none later either.
+    """
     live = _dealt(rest).mapInArrow(lambda batches: _live(batches, like), "gram long, cls long").distinct()
     return settle(rest.join(live, ["gram", "cls"], "left_semi"), f"{name}-live")
 
 
-def _nearest_pairs(rest: DataFrame, classes: DataFrame, like: Likeness, name: str) -> DataFrame:
+def _nearest_pairs(rest: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame:
     """Pairs (a, b): each class with the nearest of another component, one pair a class at most."""
-    rest = _with_partner(rest, like, name)
     near = _dealt(rest.join(classes.select("cls", "ranges"), "cls")).mapInArrow(lambda batches: _near(batches, like), "cls long, apart long, other long")
     nearest = near.groupBy("cls").agg(F.min(F.struct("apart", "other")).alias("m"))
     return nearest.select(F.least("cls", "m.other").alias("a"), F.greatest("cls", "m.other").alias("b")).distinct()
 
 
-def _remaining_pairs(rest: DataFrame, classes: DataFrame, like: Likeness, name: str) -> DataFrame:
+def _remaining_pairs(rest: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame:
     """Pairs (a, b) of classes in different components that share a shingle of `rest` and pass the filters, once each.
 
-    Only rows with a partner get what the suffix filter and the choice of a pair's first shingle need.
+    Rows carry what the suffix filter and the choice of a pair's first shingle need.
     """
-    rest = _with_partner(rest, like, name)
     own = rest.groupBy("cls").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "gram"))), lambda x: x["gram"]).alias("own"))
     about = own.join(classes.select("cls", "ranges"), "cls")
     return _dealt(rest.join(about, "cls")).mapInArrow(lambda batches: _meet(batches, like), "a long, b long")
@@ -383,12 +384,12 @@ def ngram_components(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR
     links = _verify(_filtered(star, classes, like), classes, docs, like, "ngram-star")
     root = components(links, "ngram-star")
     placed = grams.select("gram", "cls", F.expr("shiftright(place, 32)").alias("n"), F.expr("place & 4294967295").alias("pos")).distinct()
-    rest = _unconnected(placed, root, "ngram-apart")
+    rest = _with_partner(_unconnected(placed, root, "ngram-apart"), like, "ngram-apart")
     for k in range(ROUNDS):
-        links = links.unionByName(_verify(_nearest_pairs(rest, classes, like, f"ngram-near{k}"), classes, docs, like, f"ngram-near{k}"))
+        links = links.unionByName(_verify(_nearest_pairs(rest, classes, like), classes, docs, like, f"ngram-near{k}"))
         root = components(links, f"ngram-near{k}")
-        rest = _unconnected(rest, root, f"ngram-apart{k}")
-    links = links.unionByName(_verify(_remaining_pairs(rest, classes, like, "ngram-rest"), classes, docs, like, "ngram-rest"))
+        rest = _with_partner(_unconnected(rest, root, f"ngram-apart{k}"), like, f"ngram-apart{k}")
+    links = links.unionByName(_verify(_remaining_pairs(rest, classes, like), classes, docs, like, "ngram-rest"))
     root = components(links, "ngram")
     named = classes.select("cls", "rep").join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     lowest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
