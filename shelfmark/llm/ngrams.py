@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, lower, mix, pieces, settle, small_batches, spaces, spread, utf8, word_hashes, word_table
+from .shared import components, joined_components, lower, mix, pieces, settle, small_batches, spaces, spread, utf8, word_hashes, word_table
 
 #: Words of a shingle, and the similarity in hundredths from which documents link.
 WORDS = 5
@@ -386,11 +386,11 @@ def ngram_components(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR
     placed = grams.select("gram", "cls", F.expr("shiftright(place, 32)").alias("n"), F.expr("place & 4294967295").alias("pos")).distinct()
     rest = _with_partner(_unconnected(placed, root, "ngram-apart"), like, "ngram-apart")
     for k in range(ROUNDS):
-        links = links.unionByName(_verify(_nearest_pairs(rest, classes, like), classes, docs, like, f"ngram-near{k}"))
-        root = components(links, f"ngram-near{k}")
+        links = _verify(_nearest_pairs(rest, classes, like), classes, docs, like, f"ngram-near{k}")
+        root = joined_components(root, links, f"ngram-near{k}")
         rest = _with_partner(_unconnected(rest, root, f"ngram-apart{k}"), like, f"ngram-apart{k}")
-    links = links.unionByName(_verify(_remaining_pairs(rest, classes, like), classes, docs, like, "ngram-rest"))
-    root = components(links, "ngram")
+    links = _verify(_remaining_pairs(rest, classes, like), classes, docs, like, "ngram-rest")
+    root = joined_components(root, links, "ngram-rest")
     named = classes.select("cls", "rep").join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     lowest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     ids = named.join(lowest, "root").select("cls", "component_id")

@@ -130,3 +130,12 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         rounds += 1
         if edges.isEmpty():
             return root
+
+
+def joined_components(root: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """(node, root) of components with more edges (a, b): only the components that these touch are worked on."""
+    a, b = root.select(F.col("node").alias("a"), F.col("root").alias("c")), root.select(F.col("node").alias("b"), F.col("root").alias("d"))
+    between = edges.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("c", "a").alias("a"), F.coalesce("d", "b").alias("b"))
+    moved = components(between, name)
+    known = root.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return settle(known.unionByName(moved.join(root.select("node"), "node", "left_anti")), f"{name}-joined")

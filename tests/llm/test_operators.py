@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from shelfmark.llm import bpe, language, licenses, media, mixing, ngrams, pii, queries, tokens, urls, vectors
+from shelfmark.llm import bpe, language, licenses, media, mixing, ngrams, pii, queries, shared, tokens, urls, vectors
 
 from ..compare import differ, duck
 
@@ -78,6 +78,13 @@ def test_ngrams_against_brute_force(spark):
     assert kept == {i for i, _, c in brute_components(rows) if i == c}
 
 
+def test_components_grow_with_more_edges(spark):
+    edges = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    root = shared.components(edges([(1, 2), (3, 4), (5, 6)]), "t")
+    for more, want in (([], {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5}), ([(2, 4), (1, 3), (7, 8), (6, 9)], {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 9: 5, 7: 7, 8: 7})):
+        assert sorted(map(tuple, shared.joined_components(root, edges(more), "t").collect())) == sorted(want.items())
+
+
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((200, 16)).astype(np.float32)
