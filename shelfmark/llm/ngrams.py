@@ -27,7 +27,7 @@ RANGES = 128
 SET_BYTES = 5
 #: So many doc_ids (some 10 MB) are sent to all tasks, which then need no shuffle of texts; more are joined by a shuffle.
 FEW_IDS = 500_000
-PACKED = "doc_id long, packed binary"
+PACKED, SETS = "doc_id long, packed binary", "cls long, members binary"
 #: Rounds in which every class is verified with the nearest of other components, before all remaining pairs are.
 ROUNDS = 2
 #: Classes of a block: the classes of a shingle that more share are dealt out as pairs of blocks.
@@ -139,12 +139,16 @@ def _prefixes(table, like: Likeness):
 
 def _sets(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
     """Whole sets, each shingle as SET_BYTES of its hash."""
+    for batch in pieces(batches):
+        found = [x for x in shingle_arrays(batch.column("text"), like.words) if len(x)]
+        packed = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :SET_BYTES]).tobytes() for x in found]
+        yield pa.RecordBatch.from_pydict({"cls": pa.array([set_id(x) for x in found], pa.int64()), "members": pa.array(packed, pa.binary())})
+
+
+def _unpack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = pa.array([zstandard.decompress(x).decode() for x in batch.column("packed").to_pylist()], pa.large_string())
-        for piece in pieces([pa.RecordBatch.from_arrays([texts], ["text"])]):
-            found = [x for x in shingle_arrays(piece.column("text"), like.words) if len(x)]
-            packed = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :SET_BYTES]).tobytes() for x in found]
-            yield pa.RecordBatch.from_pydict({"cls": pa.array([set_id(x) for x in found], pa.int64()), "members": pa.array(packed, pa.binary())})
+        for packed in batch.column("packed"):
+            yield pa.RecordBatch.from_pydict({"text": pa.array([zstandard.decompress(packed.as_py()).decode()], pa.string())})
 
 
 def _unpack(members: memoryview) -> np.ndarray:
@@ -328,10 +332,11 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, like: Likenes
     wanted = left.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select(F.col("rep").alias("doc_id")).distinct()
     wanted = settle(wanted, f"{name}-wanted")
     if wanted.count() <= FEW_IDS:
-        texts = docs.join(F.broadcast(wanted), "doc_id", "left_semi").mapInArrow(_pack, PACKED)
+        sets = docs.join(F.broadcast(wanted), "doc_id", "left_semi").mapInArrow(lambda batches: _sets(batches, like), SETS)
     else:
-        texts = docs.mapInArrow(_pack, PACKED).join(wanted, "doc_id", "left_semi")
-    sets = settle(texts.select("packed").mapInArrow(lambda batches: _sets(batches, like), "cls long, members binary"), f"{name}-sets")
+        packed = docs.mapInArrow(_pack, PACKED).join(wanted, "doc_id", "left_semi").select("packed")
+        sets = packed.mapInArrow(lambda batches: _sets(_unpack_texts(batches), like), SETS)
+    sets = settle(sets, f"{name}-sets")
     whole = left.join(_side(sets, "a", sa="members"), "a").join(_side(sets, "b", sb="members"), "b")
     return settle(whole.select("a", "b", "sa", "sb").mapInArrow(lambda batches: _linked(batches, like), "a long, b long"), f"{name}-links")
 

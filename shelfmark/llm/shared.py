@@ -14,6 +14,8 @@ from ..sources.shared_dir import scratch, settle  # noqa: F401
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Bytes of text that one numpy step handles; temporary arrays take about 50 times as much.
 PIECE = 1 << 19
+#: Bytes from which an Arrow batch takes no more rows.
+BATCH_BYTES = 4 << 20
 _BASE = 0x9E3779B97F4A7C15
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -24,9 +26,13 @@ def spread(spark: SparkSession) -> int:
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Whole texts travel in Arrow batches: keep these small so that long documents don't add up."""
+    """Whole texts travel in Arrow batches: keep these small so that long documents don't add up.
+
+    Rows are never cut: one that is longer than BATCH_BYTES is a batch of its own.
+    """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
