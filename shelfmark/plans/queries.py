@@ -249,6 +249,12 @@ def walk_order(remote):
     return verify.walk_positions(remote, "/r4").select("path", "position")
 
 
+@query("walk_order_all", ("remote_manifest",), "SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) AS position FROM remote_manifest")
+def walk_order_all(remote):
+    """The walk of the whole tree; `walk_order` is that of one root."""
+    return verify.walk_positions(remote).select("path", "position")
+
+
 @query("selected_roots", ("remote_manifest", "selected_roots"), "SELECT * FROM remote_manifest WHERE split_part(path, '/', 2) IN (SELECT root FROM selected_roots)")
 def selected_roots(remote, roots):
     return diff.prune_roots(remote, roots)

@@ -2,6 +2,7 @@
 
 import pytest
 
+from shelfmark.fixtures import load
 from shelfmark.plans.queries import ORACLES, QUERIES
 
 from .compare import differ, duck
@@ -20,3 +21,10 @@ def test_stream_health_is_part_of_the_batch_result(spark, sf):
 def test_no_python_in_plans_and_no_nested_loop_in_change_detection(spark, sf):
     plan = QUERIES["change_detection"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_walk_order_all_gives_each_file_of_each_root_a_position(spark, sf):
+    paths = [r.path for r in load(spark, sf, "remote_manifest").collect()]
+    assert len({p.split("/")[1] for p in paths}) > 1
+    want = [(p, i) for i, p in enumerate(sorted(paths, key=lambda p: p.split("/")), 1)]
+    assert sorted(map(tuple, QUERIES["walk_order_all"](spark, sf).collect()), key=lambda r: r[1]) == want
