@@ -119,15 +119,14 @@ class Scanner:
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, self.order[at], -1)
 
-    def spans(self, words: list[int], start: int) -> list[tuple[int, int, str, int]]:
-        """(first word, end, label, words covered) of the chains in a run of vocabulary words.
+    def chain(self, words: list[int], start: int, chains: dict[int, list[list[int]]]) -> None:
+        """Carry a document's chains [first word, end, words covered] of each template on over its next run of vocabulary words.
 
         Matches that end where the next word's match isn't their continuation are the maximal ones.
         Each counts for the templates that have it, if it is long, or covers all of a short template;
-        matches of one template with few words between them are chained.
+        matches of one template with few words of any kind between them are chained.
         """
         stats = [*self.automaton.statistics(words)]
-        chains: dict[int, list[list[int]]] = defaultdict(list)
         for i, (length, state) in enumerate(stats):
             if i + 1 < len(stats) and stats[i + 1][0] == length + 1:
                 continue
@@ -141,6 +140,9 @@ class Scanner:
                     last[1] = end
                 else:
                     chains[k].append([first, end, length])
+
+    def spans(self, chains: dict[int, list[list[int]]]) -> list[tuple[int, int, str, int]]:
+        """(first word, end, label, words covered) of a document's chains."""
         return [(a, b, self.names[k], n) for k, found in chains.items() for a, b, n in found]
 
 
@@ -172,18 +174,18 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     hit &= ids[j : j + m] == word
                 for i in np.flatnonzero(hit):
                     places[doc[i]].append((int(i - first[doc[i]]), label))
-        runs: dict[int, list[tuple[int, int, str, int]]] = defaultdict(list)
+        chains: dict[int, dict[int, list[list[int]]]] = defaultdict(lambda: defaultdict(list))
         known = np.concatenate(([False], ids >= 0, [False]))
         new_doc = np.concatenate(([True], doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, bool)
         opens = np.flatnonzero(known[1:-1] & (~known[:-2] | new_doc))
         closes = np.flatnonzero(known[1:-1] & (~known[2:] | np.concatenate((new_doc[1:], [True])))) + 1 if len(doc) else opens
         enough = closes - opens >= tool.least
         for a, b in zip(opens[enough].tolist(), closes[enough].tolist()):
-            runs[doc[a]] += tool.spans(ids[a:b].tolist(), a - int(first[doc[a]]))
+            tool.chain(ids[a:b].tolist(), a - int(first[doc[a]]), chains[doc[a]])
         count = np.diff(first)
         out: dict[str, list] = {k: [] for k in ("n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")}
         for i in range(batch.num_rows):
-            base, spans = places.get(i, ()), _best(runs.get(i, []))
+            base, spans = places.get(i, ()), _best(tool.spans(chains.get(i, {})))
             covered = set().union(*(range(a, b) for a, b, _, _ in spans)) if spans else ()
             out["n_base"].append(len(base))
             out["first_word"].append(min((p for p, _ in base), default=None))
@@ -201,7 +203,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     Null texts are empty: no words, no labels, score 0. The score is the share of a text's words that
     template spans cover. A plain map over the scan; the automaton has some hundred words. Words that
     no template has end every match, so only runs of vocabulary words are streamed through it, which
-    changes no matching statistic. Equal rows give equal rows.
+    changes no matching statistic; chains go on from run to run. Equal rows give equal rows.
     """
     small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_scan, SCHEMA)

@@ -158,6 +158,17 @@ def test_licences(spark):
     assert out[3].labels == "" and out[4].n_words == 0 and out[4].first_word is None
 
 
+def test_licences_go_on_over_foreign_words(spark):
+    lgpl = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    bsd = "Redistribution and use in source and binary forms, with or without tiny modification, are permitted provided that the following conditions are met"
+    far = bsd.replace("tiny", "tiny wee little mini")
+    out = {r.doc_id: r for r in licenses.license_scan(docs_of(spark, [(1, lgpl), (2, bsd), (3, far), (4, "are permitted provided that the"), (5, "following conditions are met and")])).collect()}
+    assert out[1].labels == "lgpl" and out[1].spans == "lgpl:0:30"
+    assert out[2].labels == "bsd" and out[2].spans == "bsd:0:22" and out[2].score == 1.0
+    assert out[3].spans == "bsd:0:11,bsd:15:25"
+    assert out[4].spans == "bsd:0:5"
+
+
 def test_mix_comes_near_its_targets(spark, sf):
     out = queries.op10_mixing(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source"), "doc_id")
     for r in out.groupBy("source").agg({"taken": "sum", "target": "max", "size": "max"}).collect():
