@@ -13,13 +13,16 @@ from .shared import settle
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: Segments from this depth on are one wildcard.
 DEPTH = 6
-#: A segment stays literal if it has this share of its parent's urls, and as many urls; others are variable.
+#: A segment stays apart if it has this share of its parent's urls, and as many urls; others are variable. Where
+#: some of the parent's urls have no label, one with LABELLED labels stays apart whatever its share.
 SHARE, SUPPORT = 0.05, 5
 #: Labelled urls that a branch needs to be compared, and the squared z value (95 %) from which it differs.
 LABELLED, Z2 = 5, 3.8416
 #: Labelled urls that smoothing adds to each template, half of them blocked, and the purity that rejects it:
 #: without labels of its own no template is rejected.
 PRIOR, PURITY = 4.0, 0.9
+#: Share of a template's urls that must be labelled before it rejects others.
+KNOWN = 0.5
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -46,7 +49,7 @@ def _level(rows: DataFrame, depth: int) -> DataFrame:
     live = at.where("seg IS NOT NULL")
     nodes = live.groupBy("host", "template", "seg").agg(F.count("*").alias("n"), F.sum("block").alias("b"), F.sum("labelled").alias("m"))
     parents = nodes.groupBy("host", "template").agg(F.sum("n").alias("pn"), F.sum("b").alias("pb"), F.sum("m").alias("pm"))
-    kept = nodes.where(F.col("n") >= SUPPORT).join(parents, ["host", "template"]).where(F.col("n") >= SHARE * F.col("pn"))
+    kept = nodes.where(F.col("n") >= SUPPORT).join(parents, ["host", "template"]).where((F.col("n") >= SHARE * F.col("pn")) | ((F.col("m") >= LABELLED) & (F.col("pn") > F.col("pm"))))
     rate, rest = F.col("b") / F.col("m"), (F.col("pb") - F.col("b")) / (F.col("pm") - F.col("m"))
     pool = F.col("pb") / F.col("pm")
     spread = pool * (1 - pool) * (1 / F.col("m") + 1 / (F.col("pm") - F.col("m")))
@@ -64,7 +67,11 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     Urls that a rule decides are the labelled ones. For each host a tree of path segments is grown
     level by level: rare segments become `*`; frequent ones with labels are merged with those
     siblings that the same test puts above, below or with the other siblings (`{+} {-} {=}`); frequent
-    ones without labels stay. A template whose smoothed share of blocked urls reaches PURITY is blocked.
+    ones without labels stay. A template whose smoothed share of blocked urls reaches PURITY is blocked
+    if KNOWN of its urls are labelled.
+
+    The SQL twin has neither the second way for a segment to stay apart nor KNOWN: it answers alike
+    where no segment with labels is rare among others without, and no template of few labels reaches PURITY.
 
     All steps are sums by (host, template, segment) and joins with the few frequent segments; no host
     is gathered in one task. Null urls and those without `://` have an empty host and path and the
@@ -80,10 +87,10 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     deep = rows.agg(F.max(F.size("segs"))).first()[0] or 0
     for depth in range(deep):
         rows = settle(_level(rows, depth), f"urls{depth}")
-    sums = rows.groupBy("host", "template").agg(F.sum("block").alias("tb"), F.sum("labelled").alias("tm"))
+    sums = rows.groupBy("host", "template").agg(F.sum("block").alias("tb"), F.sum("labelled").alias("tm"), F.count("*").alias("tn"))
     purity = (F.col("tb") + PRIOR / 2) / (F.col("tm") + PRIOR)
-    rows = rows.join(sums.select("host", "template", purity.alias("purity")), ["host", "template"])
-    return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("purity") >= PURITY, "block").otherwise("allow")).alias("verdict"), "template", "purity")
+    rows = rows.join(sums.select("host", "template", purity.alias("purity"), (F.col("tm") >= KNOWN * F.col("tn")).alias("known")), ["host", "template"])
+    return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when((F.col("purity") >= PURITY) & F.col("known"), "block").otherwise("allow")).alias("verdict"), "template", "purity")
 
 
 def _sql() -> str:

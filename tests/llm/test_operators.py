@@ -169,6 +169,20 @@ def test_licences_go_on_over_foreign_words(spark):
     assert out[4].spans == "bsd:0:5"
 
 
+@pytest.mark.parametrize("size", [1, 20])
+def test_urls_without_labels_stand_apart_from_rare_labelled_sections(spark, size):
+    paths = [f"/de/p{i}" for i in range(3 * size)] + [f"/s{k}/p{i}" for k in range(10) for i in range(3 * size)] + [f"/en/p{i}" for i in range(67 * size)]
+    rows = [(i, f"http://example.com{p}") for i, p in enumerate(paths)]
+    out = {r.path: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert {p: r.verdict for p, r in out.items()} == {p: "block" if p.startswith("/de/") else "allow" for p in paths}
+
+
+def test_few_labels_reject_no_template(spark):
+    paths = [f"/pa{i}" for i in range(60)] + [f"/q{i}" for i in range(900)]  # one url a segment: all are variable
+    out = urls.judge_urls(spark.createDataFrame([(i, f"http://e.com{p}") for i, p in enumerate(paths)], "page_id long, url string"), (("block", "e.com/pa"),))
+    assert {r.path: r.verdict for r in out.collect()} == {p: "block" if p.startswith("/pa") else "allow" for p in paths}
+
+
 def test_mix_comes_near_its_targets(spark, sf):
     out = queries.op10_mixing(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source"), "doc_id")
     for r in out.groupBy("source").agg({"taken": "sum", "target": "max", "size": "max"}).collect():
