@@ -69,6 +69,23 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return found
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the account numbers whose check holds.
+
+    The pattern takes words and numbers that follow with a number, so that of each match all ends at
+    blanks are tried, the longest first. The search goes on behind what was found, or if no end
+    holds, behind the match's first blank.
+    """
+    at = 0
+    while m := IBAN.search(text, at):
+        start, end = m.span()
+        while end > start and not (15 <= len(account := text[start:end].replace(" ", "")) <= 34 and mod97(account)):
+            end = text.rfind(" ", start, end)
+        if end > start:
+            yield start, end
+        at = end if end > start else text.find(" ", start, m.end()) if " " in m[0] else m.end()
+
+
 def near(text: str, start: int, end: int, kind: str) -> bool:
     around = re.split(r"[^a-z]+", f"{text[max(0, start - WINDOW):start]} {text[end:end + WINDOW]}".lower())
     return any(word in CONTEXT[kind] for word in around)
@@ -81,10 +98,7 @@ def find(text: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, in
     if DIGIT.search(text):
         taken = sorted((s, e) for s, _, e in base)
         free = lambda s, e: all(e <= a or s >= b for a, b in taken)
-        for m in IBAN.finditer(text):
-            account = m[0].replace(" ", "")
-            if 15 <= len(account) <= 34 and mod97(account) and free(m.start(), m.end()):
-                more.append((m.start(), "iban", m.end()))
+        more += [(start, "iban", end) for start, end in ibans(text) if free(start, end)]
         taken += [(s, e) for s, _, e in more]
         more += [(m.start(), "account", m.end()) for m in ACCOUNT.finditer(text) if free(m.start(), m.end())]
     scored = []

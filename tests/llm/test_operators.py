@@ -131,6 +131,16 @@ def test_personal_data():
     assert "4111 1111 1111 1111" not in pii.redact_text(text) and pii.redact_text("plain 12 words") == "plain 12 words"
 
 
+@pytest.mark.parametrize("after", [" BIC COBADEFF", " EUR 500", " 2024-01-05", " TRANSFER", " NO9386011117947", " GB82 WEST 1234 5698 7654 32", "; OK", ""])
+def test_account_numbers_with_capitals_and_digits_around_them(after):
+    for number in ("DE89370400440532013000", "DE89 3704 0044 0532 0130 00"):
+        for before in ("", "AB12 ", "REF AB12 3456 7890 "):
+            text = before + number + after
+            found = [text[a:b] for a, kind, b, _ in pii.find(text)[1] if kind == "iban"]
+            assert found == [number, *([after[1:]] if after[1:3] in ("NO", "GB") else [])]
+            assert number not in pii.redact_text(text) and "<IBAN>" in pii.redact_text(text)
+
+
 def test_media_round_trip(spark, odd):
     rows = {(r.doc_id, r.n_bytes): r for r in media.media_columns(odd).collect()}
     for i, t in ODD:
