@@ -358,6 +358,16 @@ def _stream(df):
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def _arrive(frames, process):
+    """Write each frame's files once those of the frames before are processed, and process() what is there:
+    batches come in the frames' order, whatever the times of files."""
+    spark = frames[0].sparkSession
+    path = scratch(spark, "stream")
+    for df in frames:
+        df.write.mode("append").parquet(path)
+        process(spark.readStream.schema(df.schema).parquet(path)).awaitTermination()
+
+
 @query("stream_upsert", ("local_manifest", "remote_manifest"), _KEPT)
 def stream_upsert(local, remote):
     """The local manifest and then the remote one arrive as files; the last snapshot is what K1 gives."""
@@ -378,10 +388,28 @@ def stream_change_detection(remote, local):
     return spark.read.schema("path string, action string").parquet(out)
 
 
+#: Arrivals that the probes are replayed in.
+REPLAYS = 3
+
+
+def _by_time(probes):
+    """The probes in REPLAYS frames, one after the other in time, and a row of no mirror so late that the watermark closes all windows of a day."""
+    at = F.col("ts").cast("timestamp")
+    seconds = F.unix_seconds(at)
+    cuts, last = probes.agg(F.percentile_approx(seconds, [k / REPLAYS for k in range(1, REPLAYS)]), F.max(seconds)).first()
+    if last is None:
+        return [probes]
+    edges = [None, *sorted(set(cuts)), None]
+    frames = [probes.where((F.lit(True) if a is None else seconds > a) & (F.lit(True) if b is None else seconds <= b)) for a, b in zip(edges, edges[1:])]
+    late = probes.sparkSession.range(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) if f.name != "ts" else F.timestamp_seconds(F.lit(last + 3 * 86400)).cast(f.dataType).alias("ts") for f in probes.schema))
+    return [*frames, late]
+
+
 @query("stream_mirror_health", ("mirror_probes",))
 def stream_mirror_health(probes):
-    """Windows that the watermark has closed, as batches publish them."""
+    """The probes arrive in time order; windows that the watermark has closed, in the end all, as batches publish them."""
     spark = probes.sparkSession
-    out = scratch(spark, "health")
-    streams.stream_mirror_health(_stream(probes), lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"), scratch(spark, "health-notes"), "1 day").awaitTermination()
+    out, notes = scratch(spark, "health"), scratch(spark, "health-notes")
+    publish = lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
+    _arrive(_by_time(probes), lambda arrived: streams.stream_mirror_health(arrived, publish, notes, "1 day"))
     return spark.read.schema("start timestamp, mirror string, n long, ok_count long, avg_ns long").parquet(out)
