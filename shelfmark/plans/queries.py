@@ -373,8 +373,7 @@ def stream_upsert(local, remote):
     """The local manifest and then the remote one arrive as files; the last snapshot is what K1 gives."""
     spark = local.sparkSession
     root, notes = scratch(spark, "snapshots"), scratch(spark, "upsert-notes")
-    newer = remote.unionByName(diff.stale(local, remote))
-    streams.stream_upsert(_stream(newer.repartition(2, "path")), root, notes).awaitTermination()
+    _arrive([local, remote.select(local.columns)], lambda arrived: streams.stream_upsert(arrived, root, notes))
     return read_manifest(spark, root).drop("root")
 
 

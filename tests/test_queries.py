@@ -35,6 +35,20 @@ def test_stream_health_is_the_batch_result_for_several_unordered_files(spark, sf
     assert want.count() > 0 and sorted(map(tuple, have.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_stream_upsert_replaces_local_rows_by_remote_ones(spark, sf, monkeypatch):
+    replaced = []
+
+    def upsert(base, changes):
+        replaced.append(base.join(changes, "path", "left_semi").count())
+        return upsert_manifest(base, changes)
+
+    monkeypatch.setattr(jobs, "upsert_manifest", upsert)
+    have, want = QUERIES["stream_upsert"](spark, sf), QUERIES["manifest_upsert"](spark, sf)
+    assert sorted(map(tuple, have.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    both = load(spark, sf, "local_manifest").join(load(spark, sf, "remote_manifest"), "path", "left_semi").count()
+    assert both > 0 and sum(replaced) == both
+
+
 def test_walk_order_all_gives_each_file_of_each_root_a_position(spark, sf):
     paths = [r.path for r in load(spark, sf, "remote_manifest").collect()]
     assert len({p.split("/")[1] for p in paths}) > 1
