@@ -24,6 +24,12 @@ _RANGES = ((0xC3, 0xC9, 1), (0xCD, 0xCF, 2), (0xD0, 0xD3, 3), (0xD4, 0xD5, 4), (
 #: A language is a candidate for a script if at least this share of its letters is in it.
 SCRIPT_SHARE = 0.001
 UNKNOWN = "und"
+#: A text counts as in a learned language if its trigrams are likelier there than by even chance, by so much on
+#: average (natural log), if letters (bytes) are this share of its bytes that aren't blank, and no more than half
+#: of its letters are in scripts that nothing was learned in.
+LEAST_GAIN, LEAST_LETTERS = 0.0, 0.2
+#: First bytes of punctuation, symbols and emoji for the most part; these are letters of no script.
+SIGNS = (0xE2, 0xF0)
 SCHEMA = "doc_id long, lang_pred string, score double, spans string"
 
 
@@ -87,10 +93,12 @@ class Model:
         self.langs = sorted(counts)
         cells = np.array([counts[x][:CELLS] for x in self.langs], float).reshape(-1, CELLS) + SMOOTH
         self.score = np.log(cells / cells.sum(1, keepdims=True)).T.astype(np.float32)
-        self.score -= self.score.mean(1, keepdims=True) if self.langs else 0
+        self.level = self.score.mean(1) if self.langs else np.zeros(CELLS, np.float32)
+        self.score -= self.level[:, None] if self.langs else 0
         seen = np.array([counts[x][CELLS:] for x in self.langs], float).reshape(-1, len(SCRIPTS))
         self.admits = (seen >= SCRIPT_SHARE * np.maximum(seen.sum(1, keepdims=True), 1)).T
-        self.admits[~self.admits.any(1)] = True
+        self.learned = self.admits.any(1)
+        self.admits[~self.learned] = True
 
     def word_scores(self, cell: np.ndarray, first: np.ndarray, script: np.ndarray) -> np.ndarray:
         scores = np.add.reduceat(self.score[cell], first, axis=0).astype(np.float64)
@@ -152,10 +160,18 @@ def one_language(scores: np.ndarray, text: np.ndarray, switch: float) -> np.ndar
 
 def predict(model: Model, texts: pa.Array, switch: float = SWITCH) -> tuple[list[str], list[float], list[str]]:
     """(language, score, spans `lang:first word:end`) of each text."""
+    return judge(model, texts, switch)[:3]
+
+
+def judge(model: Model, texts: pa.Array, switch: float = SWITCH) -> tuple[list[str], list[float], list[str], np.ndarray]:
+    """What predict() gives, and how much likelier the trigrams are, each word in the language that suits it best, than by even chance."""
     cell, first, script, text = words_of(*utf8(texts))
     langs, shares, spans = [], [], []
     scores = model.word_scores(cell, first, script) if len(first) and model.langs else np.zeros((len(first), len(model.langs)))
     fixed = one_language(scores, text, switch) if model.langs else None
+    sums = lambda x, at: np.diff(np.concatenate(([0.0], np.cumsum(x, dtype=np.float64)))[at])
+    ends = np.concatenate((first, [len(cell)]))[text]
+    gains = (sums(scores.max(1, initial=-1e6), text) + sums(model.level[cell], ends)) / np.maximum(np.diff(ends), 1) + np.log(CELLS)
     for i in range(len(texts)):
         a, b = int(text[i]), int(text[i + 1])
         if a == b or not model.langs or not any(c.isalpha() for c in texts[i].as_py()):
@@ -176,7 +192,19 @@ def predict(model: Model, texts: pa.Array, switch: float = SWITCH) -> tuple[list
         langs.append(model.langs[won])
         shares.append(float(mine.mean() / odds.sum()))
         spans.append(",".join(f"{model.langs[k]}:{x}:{y}" for x, y, k in runs))
-    return langs, shares, spans
+    return langs, shares, spans, gains
+
+
+def spoken(model: Model, texts: pa.Array, gains: np.ndarray) -> np.ndarray:
+    """Whether each text, with its gain by judge(), is in a learned language: see LEAST_GAIN."""
+    data, at = utf8(texts)
+    data = lower(data)
+    script = SCRIPT_OF[data]
+    script[np.isin(data, SIGNS)] = 0
+    sums = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[at])
+    ours, others = sums((script > 0) & model.learned[script]), sums((script > 0) & ~model.learned[script])
+    letters, solid = sums(((data >= 97) & (data <= 122)) | (data >= 128)), sums(data > 32)
+    return (gains >= LEAST_GAIN) & (letters >= LEAST_LETTERS * solid) & (ours > 0) & (ours >= others)
 
 
 def _predict(blob: bytes, switch: float):
@@ -212,17 +240,23 @@ def identify_held_out(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
-    """docs without those in which no language is found (null texts, no letters); a null lang becomes the one found."""
+    """docs without those in which no learned language is found; a null lang becomes the one found.
+
+    These are null texts, texts without letters or with few, texts mostly in a script that nothing was
+    learned in, and those whose trigrams are no likelier in any learned language than by chance. A text in
+    an unknown language stays if its trigrams are those of a learned one.
+    """
     small_batches(docs.sparkSession)
     blob = pickle.dumps(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Model = pickle.loads(blob)
         for batch in pieces(batches):
-            found = predict(known, batch.column("text"), switch)[0]
+            found, _, _, gains = judge(known, batch.column("text"), switch)
             at = batch.schema.get_field_index("lang")
             filled = pa.array([a if a is not None else b for a, b in zip(batch.column(at).to_pylist(), found)], batch.schema.field(at).type)
             rows = pa.RecordBatch.from_arrays([filled if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
-            yield rows.filter(pa.array([x != UNKNOWN for x in found], pa.bool_()))
+            keep = spoken(known, batch.column("text"), gains) & (np.array(found) != UNKNOWN)
+            yield rows.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

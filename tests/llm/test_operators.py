@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shelfmark.llm import bpe, language, licenses, media, mixing, ngrams, pii, queries, shared, tokens, urls, vectors
 
@@ -193,6 +194,15 @@ def test_few_labels_reject_no_template(spark):
     assert {r.path: r.verdict for r in out.collect()} == {p: "block" if p.startswith("/pa") else "allow" for p in paths}
 
 
+def test_documents_in_no_learned_language_go(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language.learn(docs)
+    odd = [(1, "1234 a 5678 ### $$ 99"), (2, "q"), (3, "x7f9 zz kq 0x"), (4, "Привет мир как дела"), (5, "你好 世界"), (6, "Zażółć gęślą jaźń, proszę przeczytać ten krótki tekst"), (7, None), (8, "12 !"), (9, "the and of that"), (10, "αβγδ the")]
+    odd = docs_of(spark, odd).withColumn("lang", F.lit(None).cast("string"))
+    assert {(r.doc_id, r.lang) for r in language.keep_identified(odd, model).collect()} == {(9, "en")}
+    assert language.keep_identified(docs, model).exceptAll(docs).isEmpty() and docs.exceptAll(language.keep_identified(docs, model)).isEmpty()
+
+
 def test_mix_comes_near_its_targets(spark, sf):
     out = queries.op10_mixing(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source"), "doc_id")
     for r in out.groupBy("source").agg({"taken": "sum", "target": "max", "size": "max"}).collect():
