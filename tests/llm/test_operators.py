@@ -116,14 +116,6 @@ def test_bpe_equals_the_library(spark):
     assert sorted((r.doc_id, bytes(r.data).decode()) for r in bpe.decode_ids(ids, path).collect()) == sorted((i, t or "") for i, t in ODD if i)
 
 
-def test_long_texts_count_as_whole_ones():
-    tool = tokens.tokenizer(queries.tokenizer_path("byte_bpe_50k.json"))
-    one = lambda t: tool.encode(t, add_special_tokens=False)
-    rng = random.Random(4)
-    for text in (" ".join("abc"[: rng.randint(1, 3)] * rng.randint(1, 9) for _ in range(900)), "x" * 5000, ("word <|endoftext|>  two\n\n " * 200), "a" * 700 + " " * 900 + "b c " * 300):
-        assert tokens.count_long(one, text, chunk=256, overlap=8) == len(one(text).ids)
-
-
 def test_personal_data():
     text = "mail a.b@c.de or 10.1.2.3, 999.1.1.1, card 4111 1111 1111 1111, +49 (170) 1234567, DE89 3704 0044 0532 0130 00; 4111 1111 1111 1112"
     base, spans = pii.find(text)
