@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame
 
 from .shared import pieces, small_batches
 
-#: Words whose ids a worker keeps; beyond that it forgets all and goes on.
-KEEP_WORDS = 200_000
+#: Bytes of words and their ids, and number of token pairs, that a worker keeps; beyond these it forgets all
+#: and goes on. An entry counts ENTRY bytes besides its texts; words of more than SHORT bytes are never kept.
+KEEP_BYTES, KEEP_PAIRS, ENTRY, SHORT = 48 << 20, 400_000, 300, 64
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -36,7 +37,7 @@ class Encoder:
         for token, rank in ranks.items():
             self.tree.add_word(token.decode("latin-1"), rank)
         self.shorter: dict[int, int] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
 
     def merges(self, data: bytes) -> list[int]:
         """Plain merging, lowest rank first: for the few bytes of two neighbours, and for tests."""
@@ -49,11 +50,12 @@ class Encoder:
         return [self.ranks[p] for p in parts]
 
     def fit(self, left: int, right: int) -> bool:
-        known = self.fits.get((left, right))
+        pair = left << 32 | right
+        known = self.fits.get(pair)
         if known is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) >= KEEP_PAIRS:
                 self.fits.clear()
-            known = self.fits[left, right] = self.merges(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+            known = self.fits[pair] = self.merges(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
         return known
 
     def next_shorter(self, token: int) -> int:
@@ -107,19 +109,29 @@ def encoder(path: str) -> Encoder:
 
 
 class Codec:
-    """Texts -> ids and back, with the ids of words kept between texts."""
+    """Texts -> ids and back, with the ids of short words kept between texts."""
 
     def __init__(self, path: str, pattern: str):
         self.encoder, self.words = encoder(path), regex.compile(pattern)
         self.known: dict[str, tuple[int, str, bytes]] = {}
         self.lists: dict[str, list[int]] = {}
+        self.kept = 0
+
+    def keep(self, into: dict, word: str, value, size: int) -> None:
+        """Remember a word's ids, unless it is long."""
+        if len(word) > SHORT:
+            return
+        self.kept += ENTRY + size
+        if self.kept > KEEP_BYTES:
+            into.clear()
+            self.kept = ENTRY + size
+        into[word] = value
 
     def word(self, word: str) -> tuple[int, str, bytes]:
         """(number of ids, the ids in decimal, their bytes)."""
-        if len(self.known) > KEEP_WORDS:
-            self.known.clear()
         ids = self.encoder.whole(word.encode())
-        out = self.known[word] = (len(ids), ",".join(map(str, ids)), self.encoder.decode(ids))
+        out = len(ids), ",".join(map(str, ids)), self.encoder.decode(ids)
+        self.keep(self.known, word, out, 4 * len(word) + len(out[1]) + len(out[2]))
         return out
 
     def text(self, text: str) -> tuple[int, str, bytes]:
@@ -135,9 +147,8 @@ class Codec:
         for word in self.words.findall(text):
             ids = self.lists.get(word)
             if ids is None:
-                if len(self.lists) > KEEP_WORDS:
-                    self.lists.clear()
-                ids = self.lists[word] = self.encoder.whole(word.encode())
+                ids = self.encoder.whole(word.encode())
+                self.keep(self.lists, word, ids, 4 * len(word) + 40 * len(ids))
             out += ids
         return out
 
@@ -159,15 +170,21 @@ def _digests(path: str, pattern: str):
 def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """docs (doc_id, text, any more) -> number of ids, digest of the ids, digest of the bytes decoded from them.
 
-    Null texts are empty: no ids. A plain map over the scan; the vocabulary is read by each worker
-    from `path`, which must exist on every machine. What a worker keeps is bounded by KEEP_WORDS.
+    Null texts are empty: no ids. Equal rows give equal rows, null doc_ids stay null, other columns are
+    never read, an empty table gives an empty one. A plain map over the scan; the vocabulary is read by
+    each worker from `path`, which must exist on every machine. What a worker keeps is bounded by
+    KEEP_BYTES and KEEP_PAIRS, besides it holds a piece of texts, or the longest one, and its ids.
     """
     small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_digests(path, pattern), SCHEMA)
 
 
 def encode_ids(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """docs -> doc_id, the columns to keep, n_tokens and ids: the encoded documents themselves."""
+    """docs -> doc_id, the columns to keep, n_tokens and ids: the encoded documents themselves.
+
+    Null texts have no ids; rows, null doc_ids and bounds are as in encode_digests. The columns to keep
+    must not be called text, n_tokens or ids.
+    """
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", *keep, "text")
     fields = [f for f in rows.schema if f.name != "text"]
@@ -183,7 +200,8 @@ def encode_ids(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] =
 
 
 def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids) -> (doc_id, data binary): the inverse of encode_ids."""
+    """(doc_id, ids) -> (doc_id, data binary): the inverse of encode_ids, row by row; null ids give no bytes,
+    other columns are never read, an empty table gives an empty one."""
 
     def run(batches):
         table = encoder(path)
