@@ -7,31 +7,27 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, joined_components, lower, mix, pieces, settle, small_batches, spaces, spread, utf8, word_hashes, word_table
+from .shared import Shelf, components, joined_components, lower, mix, pieces, small_batches, spaces, spread, summed, utf8, word_hashes, word_table
 
 #: Words of a shingle, and the similarity in hundredths from which documents link.
 WORDS = 5
 SIMILAR, PARTS = 80, 100
-#: Cells (a power of two) of the table of shingle frequencies, in slices that are summed apart.
+#: Cells (a power of two) of the table of shingle frequencies, in slices that are summed apart. Four bytes a cell
+#: go to every task; more cells tell rare shingles apart in corpora of far more than a million documents.
 CELL_BITS, SLICES = 20, 16
 #: Ranges of the shingle order whose counts the suffix filter compares.
 RANGES = 128
-#: Bytes of a shingle's hash that are compared when two sets are verified: chance agreement of two among
-#: some thousand shingles is below one in a million, and matters only exactly at the threshold.
-SET_BYTES = 5
-#: So many doc_ids (some 10 MB) are sent to all tasks, which then need no shuffle of texts; more are joined by a shuffle.
-FEW_IDS = 500_000
-PACKED, SETS = "doc_id long, packed binary", "cls long, members binary"
 #: Rounds in which every class is verified with the nearest of other components, before all remaining pairs are.
 ROUNDS = 2
 #: Classes of a block: the classes of a shingle that more share are dealt out as pairs of blocks.
 BLOCK = 512
+#: Names of sets: a class goes by the first 64 bits of a digest, the next 64 tell sets apart that agree in these.
+NAME_BITS = 64
 
 
 @dataclass(frozen=True)
@@ -78,9 +74,10 @@ def shingle_arrays(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def set_id(found: np.ndarray) -> int:
-    """A 64-bit digest of a set: the name of its class."""
-    return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_names(found: np.ndarray, bits: int = NAME_BITS) -> tuple[int, int]:
+    """(name of the set's class, further 64 bits of the same digest)."""
+    digest = hashlib.blake2b(found, digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True) >> (64 - bits), int.from_bytes(digest[8:], "little", signed=True)
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
@@ -89,12 +86,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[
         found = [*shingle_arrays(batch.column("text"), like.words)]
         total += np.bincount(np.concatenate(found) >> np.uint64(64 - CELL_BITS), minlength=len(total)).astype(np.int32)
     if total.any():
-        yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "counts": [p.tobytes() for p in np.split(total, SLICES)]})
-
-
-def _add(rows: pd.DataFrame) -> pd.DataFrame:
-    total = np.sum([np.frombuffer(x, np.int32) for x in rows["counts"]], axis=0, dtype=np.int64)
-    return pd.DataFrame({"slice": rows["slice"][:1], "counts": [total.tobytes()]})
+        yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "task": pa.array([TaskContext.get().partitionId()] * SLICES, pa.int32()), "counts": [p.tobytes() for p in np.split(total, SLICES)]})
 
 
 def frequency_table(docs: DataFrame, like: Likeness) -> np.ndarray:
@@ -103,9 +95,9 @@ def frequency_table(docs: DataFrame, like: Likeness) -> np.ndarray:
     Cells stand in for shingles only in the order of rarity. Any order common to all documents gives
     the same result; this one moves what many documents share out of their prefixes.
     """
-    rows = docs.select("text").mapInArrow(lambda batches: _frequencies(batches, like), "slice int, counts binary").groupBy("slice").applyInPandas(_add, "slice int, counts binary").collect()
+    rows = docs.select("text").mapInArrow(lambda batches: _frequencies(batches, like), "slice int, task int, counts binary")
     table = np.zeros((SLICES, (1 << CELL_BITS) // SLICES), np.int64)
-    for part, counts in rows:
+    for part, counts in summed(rows, ("slice",), "int32").collect():  # SLICES rows
         table[part] = np.frombuffer(bytes(counts), np.int64)
     return np.minimum(table.reshape(-1), (1 << 31) - 1).astype(np.uint32)
 
@@ -114,54 +106,56 @@ def _ranges(found: np.ndarray) -> bytes:
     return np.minimum(np.bincount(found >> np.uint64(57), minlength=RANGES), 255).astype(np.uint8).tobytes()
 
 
-def _prefixes(table, like: Likeness):
-    """A row for each document: size, digest of the set, counts by range, and the rarest shingles in order."""
+def _prefixes(table, like: Likeness, bits: int):
+    """A row for each document: its key and place, size, names of the set, counts by range, and the rarest shingles in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = table.value
         for batch in pieces(batches):
-            sizes, digests, ranges, prefixes = [], [], [], []
+            sizes, names, ranges, prefixes = [], [], [], []
             for found in shingle_arrays(batch.column("text"), like.words):
                 n = len(found)
                 sizes.append(n)
-                digests.append(set_id(found) if n else None)
-                ranges.append(_ranges(found))
+                names.append(set_names(found, bits) if n else (None, None))
+                ranges.append(_ranges(found) if n else None)
                 if n:
                     rare = np.argsort(counts[found >> np.uint64(64 - CELL_BITS)], kind="stable")[: like.prefix_size(n)]
                     prefixes.append(found[rare].view(np.int64))
                 else:
                     prefixes.append(np.zeros(0, np.int64))
             ends = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": pa.array(sizes, pa.int64()), "cls": pa.array(digests, pa.int64()), "ranges": pa.array(ranges, pa.binary()), "prefix": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))})
+            cls, more = zip(*names)
+            yield pa.RecordBatch.from_pydict({**{c: batch.column(c) for c in ("doc_id", "digest", "place")}, "n": pa.array(sizes, pa.int64()), "cls": pa.array(cls, pa.int64()), "more": pa.array(more, pa.int64()), "ranges": pa.array(ranges, pa.binary()), "prefix": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))})
 
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
-    """Whole sets, each shingle as SET_BYTES of its hash."""
-    for batch in pieces(batches):
-        found = [x for x in shingle_arrays(batch.column("text"), like.words) if len(x)]
-        packed = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :SET_BYTES]).tobytes() for x in found]
-        yield pa.RecordBatch.from_pydict({"cls": pa.array([set_id(x) for x in found], pa.int64()), "members": pa.array(packed, pa.binary())})
+KNOWN = "doc_id long, digest long, place long, n long, cls long, more long, ranges binary, prefix array<long>"
 
 
-def _unpack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for packed in batch.column("packed"):
-            yield pa.RecordBatch.from_pydict({"text": pa.array([zstandard.decompress(packed.as_py()).decode()], pa.string())})
+def _sets(like: Likeness, bits: int):
+    """Whole sets of the documents, once for a class and task."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for batch in pieces(batches):
+            rows = []
+            for found in shingle_arrays(batch.column("text"), like.words):
+                if len(found) and (names := set_names(found, bits)) not in seen:
+                    seen.add(names)
+                    rows.append((*names, found.tobytes()))
+            if rows:
+                cls, more, members = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(more, pa.int64()), pa.array(members, pa.binary())], ["cls", "more", "members"])
 
-def _unpack(members: memoryview) -> np.ndarray:
-    out = np.zeros((len(members) // SET_BYTES, 8), np.uint8)
-    out[:, :SET_BYTES] = np.frombuffer(members, np.uint8).reshape(-1, SET_BYTES)
-    return out.view(np.uint64).reshape(-1)
+    return run
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts in small form, for the one shuffle that carries them."""
-    for batch in pieces(batches):
-        tool = zstandard.ZstdCompressor(level=3)
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "packed": pa.array([tool.compress((t or "").encode()) for t in batch.column("text").to_pylist()], pa.binary())})
+def _apart(rows: DataFrame, clash: DataFrame | None) -> DataFrame:
+    """Rows whose `cls` stands for several sets are named by `more`, but for the set that comes first."""
+    if clash is None:
+        return rows
+    return rows.join(clash, "cls", "left").withColumn("cls", F.when(F.col("more") > F.col("least"), F.col("more")).otherwise(F.col("cls"))).drop("least")
 
 
 def _suffix_ok(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
@@ -178,8 +172,8 @@ def _linked(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.Re
     for batch in batches:
         keep = []
         for a, b in zip(batch.column("sa"), batch.column("sb")):
-            both = np.concatenate((_unpack(a.as_buffer()), _unpack(b.as_buffer())))
-            both.sort()
+            both = np.concatenate((np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)))
+            both.sort(kind="stable")  # two runs in order
             keep.append(like.links(int((both[1:] == both[:-1]).sum()), len(both)))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -199,8 +193,11 @@ def _grouped(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Itera
 
 
 def _feasible(rows: list[tuple], same: bool, like: Likeness) -> Iterator[tuple[int, np.ndarray]]:
-    """Of a shingle's (side, root, n, pos, ...) each row number of the left side, and those on the right
-    that its class may link with: of another component, with sizes alike, and enough shingles left."""
+    """Of a shingle's (side, root, n, pos, ...), in order of n, each row number of the left side, and those on the
+    right that its class may link with: of another component, with sizes alike, and enough shingles left.
+
+    Sizes in order bound the rows that are looked at.
+    """
     if len(rows) == 2:
         (s, r, n, p), (t, q, m, o) = rows[0][:4], rows[1][:4]
         if (same or s != t) and r != q and like.sizes_fit(min(n, m), max(n, m)) and like.overlap_fits(1 + min(n - p - 1, m - o - 1), n + m):
@@ -209,13 +206,15 @@ def _feasible(rows: list[tuple], same: bool, like: Likeness) -> Iterator[tuple[i
     side, root, n, pos = np.array([r[:4] for r in rows]).T
     left = np.arange(len(rows)) if same else np.flatnonzero(side == 0)
     right = left if same else np.flatnonzero(side == 1)
-    rest = n - pos - 1
-    for i in left.tolist():
-        j = right[right > i] if same else right
-        fits = (root[j] != root[i]) & like.sizes_fit(np.minimum(n[i], n[j]), np.maximum(n[i], n[j]))
-        j = j[fits & like.overlap_fits(1 + np.minimum(rest[i], rest[j]), n[i] + n[j])]
+    sizes, rest = n[right], n - pos - 1
+    most = np.searchsorted(sizes, n[left] * PARTS // like.similar, "right")
+    least = left + 1 if same else np.searchsorted(sizes, -(-n[left] * like.similar // PARTS))
+    for i, a, b in zip(left.tolist(), least.tolist(), most.tolist()):
+        j = right[a:b]
         if len(j):
-            yield i, j
+            j = j[(root[j] != root[i]) & like.overlap_fits(1 + np.minimum(rest[i], rest[j]), n[i] + n[j])]
+            if len(j):
+                yield i, j
 
 
 def _live(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
@@ -258,19 +257,28 @@ def _meet(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.Reco
 
 def _near(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
     """For each class of a shingle (cls, apart, other): of the classes it may link with, the one whose counts by
-    range differ least."""
+    range differ least, but for those with which it is known not to link."""
     found: tuple[list, list, list] = [], [], []
-    for (_, one, two), rows in _grouped(batches, ("side", "root", "n", "pos", "cls", "ranges")):
+    for (_, one, two), rows in _grouped(batches, ("side", "root", "n", "pos", "cls", "ranges", "failed")):
         counts = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(-1, RANGES).astype(np.int32)
         sizes = np.array([r[2] for r in rows])
+        at = {r[4]: k for k, r in enumerate(rows)}
+        failed: dict[int, set[int]] = {}
+        for k, r in enumerate(rows):
+            for other in r[6] or ():
+                if other in at:
+                    failed.setdefault(k, set()).add(at[other])
+                    failed.setdefault(at[other], set()).add(k)
         least, other = np.full(len(rows), 1 << 31), np.full(len(rows), -1)
         for i, j in _feasible(rows, one == two, like):
+            if i in failed:
+                j = j[~np.isin(j, [*failed[i]])]
             apart = np.abs(counts[j] - counts[i]).sum(1)
             fits = like.ranges_fit(apart, sizes[j] + sizes[i])
             j, apart = j[fits], apart[fits]
-            for k, at, d in ((j, i, apart), (i, j[apart.argmin()], apart.min())) if len(j) else ():
+            for k, to, d in ((j, i, apart), (i, j[apart.argmin()], apart.min())) if len(j) else ():
                 nearer = d < least[k]
-                least[k], other[k] = np.where(nearer, d, least[k]), np.where(nearer, at, other[k])
+                least[k], other[k] = np.where(nearer, d, least[k]), np.where(nearer, to, other[k])
         for i in np.flatnonzero(other >= 0).tolist():
             for column, value in zip(found, (rows[i][4], int(least[i]), rows[other[i]][4])):
                 column.append(value)
@@ -281,28 +289,21 @@ def _near(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.Reco
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
-    """Rows of each gram together and sorted; grams with more than BLOCK rows as pairs of blocks."""
-    sizes = rows.groupBy("gram").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    rows = rows.join(sizes, "gram").withColumn("mine", F.pmod(F.xxhash64("cls", "gram"), F.col("blocks")))
-    deal = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("mine")).alias("one"), F.greatest(x, F.col("mine")).alias("two"), F.when(x < F.col("mine"), 1).otherwise(0).alias("side")))
-    rows = rows.withColumn("d", F.explode(deal)).select("*", "d.one", "d.two", "d.side").drop("d", "mine", "blocks")
-    return rows.repartition(spread(rows.sparkSession), "gram", "one", "two").sortWithinPartitions("gram", "one", "two")
+    """Rows of each gram together and in order of size; grams with more than BLOCK rows as pairs of blocks.
 
-
-def _with_partner(rest: DataFrame, like: Likeness, name: str) -> DataFrame:
-    """Rows of `rest` with a partner under the length and positional filters; a pass with narrow rows.
-
-    Components only grow, so what has no partner in another one now has none later either.
+    Of each gram the largest component stands apart: its rows only meet those of other components, so
+    that a group that is connected but for a few is compared with these few only.
     """
-    live = _dealt(rest).mapInArrow(lambda batches: _live(batches, like), "gram long, cls long").distinct()
-    return settle(rest.join(live, ["gram", "cls"], "left_semi"), f"{name}-live")
-
-
-def _nearest_pairs(rest: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame:
-    """Pairs (a, b): each class with the nearest of another component, one pair a class at most."""
-    near = _dealt(rest.join(classes.select("cls", "ranges"), "cls")).mapInArrow(lambda batches: _near(batches, like), "cls long, apart long, other long")
-    nearest = near.groupBy("cls").agg(F.min(F.struct("apart", "other")).alias("m"))
-    return nearest.select(F.least("cls", "m.other").alias("a"), F.greatest("cls", "m.other").alias("b")).distinct()
+    by_root = rows.groupBy("gram", "root").agg(F.count("*").alias("n"))
+    sizes = by_root.groupBy("gram").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("rows"))
+    sizes = sizes.select("gram", F.col("m.root").alias("main"), F.ceil((F.col("rows") - F.col("m.n")) / BLOCK).alias("few"), F.ceil(F.col("m.n") / BLOCK).alias("many"))
+    rows = rows.join(sizes, "gram").withColumn("apart", F.col("root") == F.col("main"))
+    hashed = F.xxhash64("cls", "gram")
+    rows = rows.withColumn("mine", F.when(F.col("apart"), F.col("few") + F.pmod(hashed, F.col("many"))).otherwise(F.pmod(hashed, F.col("few"))))
+    to = F.sequence(F.lit(0).cast("long"), F.when(F.col("apart"), F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)
+    deal = F.transform(to, lambda x: F.struct(F.least(x, F.col("mine")).alias("one"), F.greatest(x, F.col("mine")).alias("two"), F.when(x < F.col("mine"), 1).otherwise(0).alias("side")))
+    rows = rows.withColumn("d", F.explode(deal)).select("*", "d.one", "d.two", "d.side").drop("d", "mine", "main", "few", "many", "apart")
+    return rows.repartition(spread(rows.sparkSession), "gram", "one", "two").sortWithinPartitions("gram", "one", "two", "n")
 
 
 def _remaining_pairs(rest: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame:
@@ -319,40 +320,97 @@ def _side(df: DataFrame, name: str, **columns: str) -> DataFrame:
     return df.select(F.col("cls").alias(name), *(F.col(c).alias(alias) for alias, c in columns.items()))
 
 
-def _filtered(pairs: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame:
-    """Pairs (a, b) of classes that pass the length and suffix filters."""
-    long_enough = like.sizes_fit(F.least("na", "nb"), F.greatest("na", "nb"))
-    narrow = pairs.join(_side(classes, "a", na="n", ra="ranges"), "a").join(_side(classes, "b", nb="n", rb="ranges"), "b").where(long_enough)
-    return narrow.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(lambda batches: _suffix_ok(batches, like), "a long, b long")
-
-
-def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, like: Likeness, name: str) -> DataFrame:
-    """Of filtered pairs (a, b) of classes those that link, by both whole sets, once a pair."""
-    left = settle(pairs, f"{name}-pairs")
-    wanted = left.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select(F.col("rep").alias("doc_id")).distinct()
-    wanted = settle(wanted, f"{name}-wanted")
-    if wanted.count() <= FEW_IDS:
-        sets = docs.join(F.broadcast(wanted), "doc_id", "left_semi").mapInArrow(lambda batches: _sets(batches, like), SETS)
-    else:
-        packed = docs.mapInArrow(_pack, PACKED).join(wanted, "doc_id", "left_semi").select("packed")
-        sets = packed.mapInArrow(lambda batches: _sets(_unpack_texts(batches), like), SETS)
-    sets = settle(sets, f"{name}-sets")
-    whole = left.join(_side(sets, "a", sa="members"), "a").join(_side(sets, "b", sb="members"), "b")
-    return settle(whole.select("a", "b", "sa", "sb").mapInArrow(lambda batches: _linked(batches, like), "a long, b long"), f"{name}-links")
-
-
-def _unconnected(grams: DataFrame, root: DataFrame, name: str) -> DataFrame:
-    """Rows (gram, cls, n, pos) of the shingles whose classes stand in more than one component, with their component."""
-    placed = grams.select("gram", "cls", "n", "pos").join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    mixed = placed.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram")
-    return settle(placed.join(mixed, "gram"), name)
-
-
-def ngram_components(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
-    """docs (doc_id, text, any more) -> doc_id, n_shingles, component_id, cls (digest of the set; null if empty).
+class _Join:
+    """One run of the join: its classes, tables and pairs verified so far."""
+
+    def __init__(self, docs: DataFrame, like: Likeness, bits: int):
+        self.spark, self.like, self.bits = docs.sparkSession, like, bits
+        self.shelf = Shelf(self.spark, "ngrams")
+        key = F.col("doc_id").cast("long")
+        digest = F.xxhash64(F.col("text"))
+        self.docs = docs.select(key.alias("doc_id"), digest.alias("digest"), F.coalesce(key, digest).alias("place"), "text")
+        self.clash: DataFrame | None = None
+        self.classes: DataFrame | None = None
+        self.sets: DataFrame | None = None
+
+    def known(self) -> DataFrame:
+        """All documents with their classes' names; the classes."""
+        table = self.spark.sparkContext.broadcast(frequency_table(self.docs, self.like))
+        known = self.shelf.put(self.docs.mapInArrow(_prefixes(table, self.like, self.bits), KNOWN), "known")
+        self.classes = self._classes(known, "classes")
+        clash = self.classes.where("least <> most")
+        if not clash.isEmpty():
+            self.clash = clash.select("cls", "least")
+            known = _apart(known, self.clash)
+            self.classes = self._classes(known, "named")
+        return known
+
+    def _classes(self, known: DataFrame, name: str) -> DataFrame:
+        rows = known.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("low"), F.min("place").alias("place"), F.first("n").alias("n"), F.first("ranges").alias("ranges"), F.min("more").alias("least"), F.max("more").alias("most"))
+        return self.shelf.put(rows, name)
+
+    def fetch(self, wanted: DataFrame, name: str) -> None:
+        """Whole sets of the classes wanted, from one scan of the texts; Spark broadcasts their places if these are few."""
+        places = self.shelf.put(wanted.select("cls").distinct().join(self.classes, "cls").select("place").distinct(), f"{name}-places")
+        sets = self.docs.join(places, "place", "left_semi").select("text").mapInArrow(_sets(self.like, self.bits), "cls long, more long, members binary")
+        self.sets = self.shelf.put(_apart(sets, self.clash).select("cls", "members"), f"{name}-sets")
+
+    def filtered(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) of classes that pass the length and suffix filters."""
+        long_enough = self.like.sizes_fit(F.least("na", "nb"), F.greatest("na", "nb"))
+        narrow = pairs.join(_side(self.classes, "a", na="n", ra="ranges"), "a").join(_side(self.classes, "b", nb="n", rb="ranges"), "b").where(long_enough)
+        like = self.like
+        return narrow.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(lambda batches: _suffix_ok(batches, like), "a long, b long")
+
+    def verify(self, pairs: DataFrame, name: str) -> DataFrame:
+        """Of the pairs (a, b) of classes, whose sets were fetched, those that link, by both whole sets."""
+        one = self.sets.groupBy("cls").agg(F.first("members").alias("members"))
+        whole = pairs.join(_side(one, "a", sa="members"), "a").join(_side(one, "b", sb="members"), "b")
+        like = self.like
+        return self.shelf.put(whole.select("a", "b", "sa", "sb").mapInArrow(lambda batches: _linked(batches, like), "a long, b long"), f"{name}-links")
+
+    def with_partner(self, rest: DataFrame, name: str) -> DataFrame:
+        """Rows of `rest` with a partner under the length and positional filters; a pass with narrow rows.
+
+        Components only grow, so what has no partner in another one now has none later either.
+        """
+        like = self.like
+        live = _dealt(rest).mapInArrow(lambda batches: _live(batches, like), "gram long, cls long").distinct()
+        return self.shelf.put(rest.join(live, ["gram", "cls"], "left_semi"), f"{name}-live")
+
+    def unconnected(self, grams: DataFrame, root: DataFrame, name: str) -> DataFrame:
+        """Rows (gram, cls, n, pos) of the shingles whose classes stand in more than one component, with their component."""
+        placed = grams.select("gram", "cls", "n", "pos").join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        mixed = placed.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram")
+        return self.with_partner(self.shelf.put(placed.join(mixed, "gram"), name), name)
+
+    def nearest(self, rest: DataFrame, failed: DataFrame, name: str) -> DataFrame:
+        """(cls, other): each class with the nearest of another component that it isn't known not to link with.
+
+        failed (cls, other) holds for a class the heads of its own prefix and its nearest of earlier
+        rounds, no more than its prefix and ROUNDS rows.
+        """
+        like = self.like
+        about = self.classes.select("cls", "ranges").join(failed.groupBy("cls").agg(F.collect_list("other").alias("failed")), "cls", "left")
+        near = _dealt(rest.join(about, "cls")).mapInArrow(lambda batches: _near(batches, like), "cls long, apart long, other long")
+        return self.shelf.put(near.groupBy("cls").agg(F.min(F.struct("apart", "other")).alias("m")).select("cls", F.col("m.other").alias("other")), name)
+
+
+def _pair(df: DataFrame) -> DataFrame:
+    """(cls, other) -> pairs (a, b), once each."""
+    return df.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
+
+
+def _failed(chosen: DataFrame, links: DataFrame) -> DataFrame:
+    """Of (cls, other) those that don't link."""
+    return chosen.withColumn("a", F.least("cls", "other")).withColumn("b", F.greatest("cls", "other")).join(links, ["a", "b"], "left_anti").select("cls", "other")
+
+
+def ngram_components(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR, name_bits: int = NAME_BITS) -> DataFrame:
+    """docs (doc_id, text, any more) -> doc_id, n_shingles, component_id, and digest (of the text), component (null if empty).
 
     Documents link when their sets of shingles of `words` words have a Jaccard similarity of `similar`
-    hundredths at least.
+    hundredths at least. Components of links come out, not the links inside them.
 
     1. Shingle frequencies over all documents (a table of fixed size) give the rare-first order.
     2. Documents of equal sets are one class. A class is known by its prefix: the rarest shingles, of
@@ -361,63 +419,77 @@ def ngram_components(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR
        and each pair is verified once: length and suffix filter, then whole sets. Groups of near
        copies are thus connected at a cost in proportion to their size.
     4. Where a shingle's classes are not in one component by then, each class is verified with the
-       nearest of another component that passes the filters, in ROUNDS rounds. What belongs to a
-       group of near copies mostly joins it here, again at a cost in proportion to the group's size.
+       nearest of another component that passes the filters and wasn't verified with it before, in
+       ROUNDS rounds. What belongs to a group of near copies mostly joins it here, again at a cost in
+       proportion to the group's size.
     5. Shingles whose classes still are not in one component give their remaining pairs, between
-       different components only, with length, positional and suffix filter and the same
-       verification. No link between components is lost; pairs inside one don't matter to it and are
-       never made.
-
-    All joins are by shingle, class or component key with plain sums beside them, so that adaptive
-    execution can split a key with many rows. Equality of sets is that of 64-bit digests, which leaves
-    one expected mistake among some billion different documents. Null texts, and texts without
-    words, have no shingles and stay alone; repeated rows and repeated doc_ids are answered row by
-    row; an empty table gives none. Other columns are never read.
+       different components only and without those verified before, with length, positional and
+       suffix filter and the same verification. No link between components is lost; pairs inside one
+       don't matter to it and are never made.
+
+    Whole sets are fetched by two scans of the texts, one for step 3, one for steps 4 and 5. All joins are
+    by shingle, class or component key with plain sums beside them, so that adaptive execution can split
+    a key with many rows. Sets are told apart by 128 bits of a digest, shingles by 64 bits of a hash;
+    name_bits is lowered by tests only. Null texts, and texts without words, have no shingles and stay
+    alone. Repeated rows and repeated doc_ids are answered row by row; rows without doc_id link like all
+    others, and have a null component_id if no row of their component has one. An empty table gives an
+    empty one. Other columns are never read.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     like = Likeness(words, similar)
-    docs = docs.select("doc_id", "text")
-    table = spark.sparkContext.broadcast(frequency_table(docs, like))
-    known = settle(docs.mapInArrow(_prefixes(table, like), "doc_id long, n long, cls long, ranges binary, prefix array<long>"), "ngram-prefixes")
-    classes = settle(known.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("ranges").alias("ranges")), "ngram-classes")
-    rows = known.select("cls", "n", F.posexplode("prefix").alias("pos", "gram"))
+    run = _Join(docs, like, name_bits)
+    shelf = run.shelf
+    known = run.known()
+    rows = known.where("cls IS NOT NULL").select("cls", "n", F.posexplode("prefix").alias("pos", "gram"))
     heads = rows.select("gram", "cls").groupBy("gram").agg(F.min("cls").alias("head"), F.max("cls").alias("other")).where("head <> other").select("gram", "head")
-    grams = rows.select("gram", "cls", (F.col("n") * 4294967296 + F.col("pos")).alias("place")).join(heads, "gram")
-    grams = settle(grams, "ngram-grams")
-    star = grams.where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
-    links = _verify(_filtered(star, classes, like), classes, docs, like, "ngram-star")
-    root = components(links, "ngram-star")
-    placed = grams.select("gram", "cls", F.expr("shiftright(place, 32)").alias("n"), F.expr("place & 4294967295").alias("pos")).distinct()
-    rest = _with_partner(_unconnected(placed, root, "ngram-apart"), like, "ngram-apart")
+    grams = shelf.put(rows.select("gram", "cls", (F.col("n") * 4294967296 + F.col("pos")).alias("where")).join(heads, "gram"), "grams")
+    answers = shelf.put(known.select("doc_id", "digest", "n", "cls"), "answers")
+    shelf.drop("known")
+    star = shelf.put(run.filtered(grams.where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()), "star")
+    run.fetch(star.select(F.explode(F.array("a", "b")).alias("cls")), "star")
+    links = run.verify(star, "star")
+    shelf.drop("star-sets", "star-places")
+    root = components(links, "ngrams-star")
+    placed = grams.select("gram", "cls", F.expr("shiftright(where, 32)").alias("n"), F.expr("where & 4294967295").alias("pos")).distinct()
+    rest = run.unconnected(placed, root, "apart")
+    shelf.drop("grams", "apart")
+    run.fetch(rest, "rest")
+    done, failed = star, _failed(star.select(F.col("b").alias("cls"), F.col("a").alias("other")), links)
     for k in range(ROUNDS):
-        links = _verify(_nearest_pairs(rest, classes, like), classes, docs, like, f"ngram-near{k}")
-        root = joined_components(root, links, f"ngram-near{k}")
-        rest = _with_partner(_unconnected(rest, root, f"ngram-apart{k}"), like, f"ngram-apart{k}")
-    links = _verify(_remaining_pairs(rest, classes, like), classes, docs, like, "ngram-rest")
-    root = joined_components(root, links, "ngram-rest")
-    named = classes.select("cls", "rep").join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    lowest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    ids = named.join(lowest, "root").select("cls", "component_id")
-    return known.select("doc_id", "n", "cls").join(ids, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "cls")
+        chosen = run.nearest(rest, failed, f"near{k}")
+        pairs = shelf.put(_pair(chosen), f"near{k}-pairs")
+        links = run.verify(pairs, f"near{k}")
+        done, failed = done.unionByName(pairs), failed.unionByName(_failed(chosen, links))
+        root = joined_components(root, links, f"ngrams-near{k}")
+        rest = run.unconnected(rest, root, f"apart{k}")
+        shelf.drop(f"apart{k}")
+    pairs = shelf.put(_remaining_pairs(rest, run.classes, like).join(done, ["a", "b"], "left_anti"), "last")
+    root = joined_components(root, run.verify(pairs, "last"), "ngrams-last")
+    shelf.drop("rest-sets", "rest-places")
+    named = run.classes.select("cls", "low").join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    ids = named.join(lowest, "root").select("cls", "component_id", F.col("root").alias("component"))
+    return answers.join(ids, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "digest", "component")
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
-    """docs with one document of each component, the one of the smallest doc_id; documents without shingles all stay.
+    """docs with one row of each component; those without shingles all stay.
 
-    Of rows that repeat the kept doc_id with one text a single one stays. Rows without doc_id stay
-    unless their text links to a document that has one.
+    The row of the smallest doc_id stays, of rows that repeat it the one of the smallest digest of the
+    text, of rows that repeat that text, too, a single one. Rows without doc_id stay unless their
+    component has a row with one. Columns of docs keep any name; an empty table gives an empty one.
     """
-    found = settle(ngram_components(docs, words, similar), "ngram-found")
-    keep = settle(found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "ngram-keep")
-    twice = keep.where("doc_id IS NOT NULL AND rows > 1")
-    gone = found.where("NOT (doc_id <=> component_id)").select("doc_id").distinct()
-    gone = settle(gone.join(keep, gone["doc_id"].eqNullSafe(keep["doc_id"]), "left_anti"), "ngram-gone")
+    shelf = Shelf(docs.sparkSession, "ngrams-keep")
+    found = shelf.put(ngram_components(docs, words, similar).where("component IS NOT NULL").select("doc_id", "digest", "component"), "found")
+    best = found.where("doc_id IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("best"))
+    judged = found.join(best, "component").withColumn("stays", F.coalesce(F.struct("doc_id", "digest") == F.col("best"), F.lit(False)))
+    gone = shelf.put(judged.where("NOT stays").select("doc_id", "digest").distinct(), "gone")
+    twice = shelf.put(judged.where("stays").groupBy("doc_id", "digest").agg(F.count("*").alias("rows")).where("rows > 1").drop("rows"), "twice")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"))
 
-    def only(ids: DataFrame, how: str = "left_semi") -> DataFrame:
-        return docs.join(ids.select(F.col("doc_id").alias("_keep")), docs["doc_id"].eqNullSafe(F.col("_keep")), how)
+    def only(ids: DataFrame, how: str) -> DataFrame:
+        return rows.join(ids, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("digest")), how)
 
-    few = gone.count() <= FEW_IDS
     if twice.isEmpty():
-        return only(F.broadcast(gone), "left_anti") if few else only(keep)
-    return only(keep.where("doc_id IS NULL OR rows = 1")).unionByName(only(twice).dropDuplicates(["doc_id", "text"]))
+        return only(gone, "left_anti").select("row.*")
+    return only(gone.unionByName(twice), "left_anti").unionByName(only(twice, "left_semi").dropDuplicates(["id", "key"])).select("row.*")

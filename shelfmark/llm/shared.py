@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared_dir import scratch, settle  # noqa: F401
+from ..sources.shared_dir import Shelf, scratch, settle  # noqa: F401
 
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Bytes of text that one numpy step handles; temporary arrays take about 50 times as much.
@@ -28,7 +28,8 @@ def spread(spark: SparkSession) -> int:
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Whole texts travel in Arrow batches: keep these small so that long documents don't add up.
 
-    Rows are never cut: one that is longer than BATCH_BYTES is a batch of its own.
+    Rows are never cut: one that is longer than BATCH_BYTES is a batch of its own. The two settings stay,
+    since plans read them when they run; they change the size of batches, never a result.
     """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
@@ -108,31 +109,62 @@ def spaces(data: np.ndarray) -> np.ndarray:
     return (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
 
 
+#: Tasks whose counts meet in one group when counts are summed in levels.
+FAN = 6
+
+
+def _sum_of(dtype: str):
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.column("counts")
+        total = np.zeros(len(rows[0].as_buffer()) // np.dtype(dtype).itemsize, np.int64)
+        for row in rows:
+            total += np.frombuffer(row.as_buffer(), dtype)
+        return table.slice(0, 1).set_column(table.column_names.index("counts"), "counts", pa.array([total.tobytes()], table.schema.field("counts").type))
+
+    return run
+
+
+def summed(rows: DataFrame, keys: tuple[str, ...], dtype: str) -> DataFrame:
+    """rows (keys, task int, counts: an array of `dtype` as bytes) -> (keys, counts as int64), added up for each key.
+
+    In three levels by task number, so that no group holds the arrays of more than 2 ** FAN tasks
+    until there are more than 2 ** (3 * FAN) of them.
+    """
+    for shift in (FAN, FAN, 31):
+        rows = rows.withColumn("task", F.shiftright("task", shift).cast("int"))
+        rows = rows.groupBy(*keys, "task").applyInArrow(_sum_of(dtype), rows.schema)
+        dtype = "int64"
+    return rows.drop("task")
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """edges (a, b) -> (node, root) for each node on an edge; nodes share a root iff edges connect them.
 
     Contraction: each node points to its smallest neighbour, pointers are followed twice more, edges
     are mapped to their ends' targets and only those between different ones remain. Each round is
-    written out, its size is all that the driver sees. Groups are summed by partial aggregates, a node
-    with very many edges meets only joins that adaptive execution can split.
+    written out, its size is all that the driver sees, and the tables of the round before go. Groups are
+    summed by partial aggregates, a node with very many edges meets only joins that adaptive execution
+    can split.
     """
-    edges = settle(edges.where("a <> b").select("a", "b").distinct(), f"{name}-edges")
+    shelf = Shelf(edges.sparkSession, name)
+    edges = shelf.put(edges.where("a <> b").select("a", "b").distinct(), "edges")
     root = None
     rounds = 0
     while True:
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("to")))
-        to = settle(both.groupBy("node").agg(F.min("to").alias("low")).select("node", F.least("node", "low").alias("to")), f"{name}-to{rounds}")
+        to = shelf.put(both.groupBy("node").agg(F.min("to").alias("low")).select("node", F.least("node", "low").alias("to")), f"to{rounds}")
         for _ in range(2):
             follow = to.select(F.col("node").alias("to"), F.col("to").alias("then"))
             to = to.join(follow, "to").select("node", F.col("then").alias("to"))
-        to = settle(to, f"{name}-jump{rounds}")
+        to = shelf.put(to, f"jump{rounds}")
         if root is None:
             root = to.withColumnRenamed("to", "root")
         else:
             root = root.join(to.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        root = settle(root, f"{name}-root{rounds}")
+        root = shelf.put(root, f"root{rounds}")
         a, b = to.select(F.col("node").alias("a"), F.col("to").alias("c")), to.select(F.col("node").alias("b"), F.col("to").alias("d"))
-        edges = settle(edges.join(a, "a").join(b, "b").where("c <> d").select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct(), f"{name}-edges{rounds}")
+        edges = shelf.put(edges.join(a, "a").join(b, "b").where("c <> d").select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct(), f"edges{rounds}")
+        shelf.drop(f"to{rounds}", f"jump{rounds}", *([f"root{rounds - 1}", f"edges{rounds - 1}"] if rounds else ["edges"]))
         rounds += 1
         if edges.isEmpty():
             return root
