@@ -3,24 +3,56 @@
 from __future__ import annotations
 
 import pickle
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import lower, pieces, small_batches, utf8
+from .shared import lower, pieces, small_batches, summed, utf8
 
 #: Hashed cells of byte trigrams (word edges included), in slices that are summed apart.
 CELLS, SLICES = 1 << 15, 8
 #: Log odds that a change of language from one word to the next costs.
 SWITCH = 8.0
 SMOOTH = 0.5
-#: First byte of a UTF-8 letter -> script; ASCII letters are Latin, and so on by Unicode's blocks.
-SCRIPTS = ("none", "latin", "greek", "cyrillic", "armenian", "hebrew", "arabic", "indic", "kana", "han", "hangul", "other")
-_RANGES = ((0xC3, 0xC9, 1), (0xCD, 0xCF, 2), (0xD0, 0xD3, 3), (0xD4, 0xD5, 4), (0xD6, 0xD7, 5), (0xD8, 0xDF, 6), (0xE0, 0xE0, 7), (0xE1, 0xE2, 11), (0xE3, 0xE3, 8), (0xE4, 0xE9, 9), (0xEA, 0xED, 10), (0xEE, 0xF4, 11))
+#: Unicode's ranges of the scripts. Only letters and marks in them count; letters elsewhere are `other`.
+RANGES = {
+    "latin": ((0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0x24F), (0x250, 0x2AF), (0x300, 0x36F), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xAB30, 0xAB6F), (0xFB00, 0xFB06), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A)),
+    "greek": ((0x370, 0x3FF), (0x1F00, 0x1FFF)),
+    "cyrillic": ((0x400, 0x52F), (0x1C80, 0x1C8F), (0x2DE0, 0x2DFF), (0xA640, 0xA69F)),
+    "armenian": ((0x531, 0x58F), (0xFB13, 0xFB17)),
+    "hebrew": ((0x591, 0x5F4), (0xFB1D, 0xFB4F)),
+    "arabic": ((0x600, 0x6FF), (0x750, 0x77F), (0x870, 0x8FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFC)),
+    "devanagari": ((0x900, 0x97F), (0xA8E0, 0xA8FF)),
+    "bengali": ((0x980, 0x9FF),),
+    "gurmukhi": ((0xA00, 0xA7F),),
+    "gujarati": ((0xA80, 0xAFF),),
+    "odia": ((0xB00, 0xB7F),),
+    "tamil": ((0xB80, 0xBFF),),
+    "telugu": ((0xC00, 0xC7F),),
+    "kannada": ((0xC80, 0xCFF),),
+    "malayalam": ((0xD00, 0xD7F),),
+    "sinhala": ((0xD80, 0xDFF),),
+    "thai": ((0xE00, 0xE7F),),
+    "lao": ((0xE80, 0xEFF),),
+    "tibetan": ((0xF00, 0xFFF),),
+    "myanmar": ((0x1000, 0x109F), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F)),
+    "georgian": ((0x10A0, 0x10FF), (0x1C90, 0x1CBF), (0x2D00, 0x2D2F)),
+    "hangul": ((0x1100, 0x11FF), (0x3131, 0x318E), (0xA960, 0xA97F), (0xAC00, 0xD7FF)),
+    "ethiopic": ((0x1200, 0x139F), (0x2D80, 0x2DDF), (0xAB00, 0xAB2F)),
+    "khmer": ((0x1780, 0x17FF),),
+    "mongolian": ((0x1800, 0x18AF),),
+    "kana": ((0x3041, 0x30FF), (0x31F0, 0x31FF), (0xFF66, 0xFF9D)),
+    "han": ((0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF)),
+}
+SCRIPTS = ("none", *RANGES, "other")
+#: Code points beyond the table have no letters.
+LAST_POINT = 0x323AF
 #: A language is a candidate for a script if at least this share of its letters is in it.
 SCRIPT_SHARE = 0.001
 UNKNOWN = "und"
@@ -28,26 +60,52 @@ UNKNOWN = "und"
 #: average (natural log), if letters (bytes) are this share of its bytes that aren't blank, and no more than half
 #: of its letters are in scripts that nothing was learned in.
 LEAST_GAIN, LEAST_LETTERS = 0.0, 0.2
-#: First bytes of punctuation, symbols and emoji for the most part; these are letters of no script.
-SIGNS = (0xE2, 0xF0)
 SCHEMA = "doc_id long, lang_pred string, score double, spans string"
 
 
-def _script_table() -> np.ndarray:
-    table = np.zeros(256, np.uint8)
-    table[ord("a") : ord("z") + 1] = 1
-    for low, high, script in _RANGES:
-        table[low : high + 1] = script
+@lru_cache(maxsize=1)
+def script_table() -> np.ndarray:
+    """Number of the script of each code point, 0 for what is no letter or mark."""
+    letter = np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(LAST_POINT + 1)), bool, LAST_POINT + 1)
+    table = np.where(letter, SCRIPTS.index("other"), 0).astype(np.uint8)
+    for name, ranges in RANGES.items():
+        for low, high in ranges:
+            table[low : high + 1] = np.where(letter[low : high + 1], SCRIPTS.index(name), 0)
     return table
 
 
-SCRIPT_OF = _script_table()
+def scripts_of(data: np.ndarray) -> np.ndarray:
+    """Script of each byte of UTF-8 text: that of the code point it belongs to."""
+    table = script_table()
+    out = np.where(data < 128, table[np.minimum(data, 127)], 0)
+    for low, high, size, bits in ((0xC0, 0xDF, 2, 0x1F), (0xE0, 0xEF, 3, 0x0F), (0xF0, 0xF7, 4, 0x07)):
+        lead = np.flatnonzero((data >= low) & (data <= high))
+        lead = lead[lead + size <= len(data)]
+        point = (data[lead] & bits).astype(np.int64)
+        for k in range(1, size):
+            point = point << 6 | (data[lead + k] & 0x3F)
+        script = np.where(point <= LAST_POINT, table[np.minimum(point, LAST_POINT)], 0)
+        for k in range(size):
+            out[lead + k] = script
+    return out
+
+
+def word_scripts(scripts: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Script of each word: that of most of its bytes, the first in the list of scripts if several have as many."""
+    if not len(first):
+        return np.zeros(0, np.uint8)
+    low, out = np.minimum.reduceat(scripts, first), np.maximum.reduceat(scripts, first)
+    ends = np.append(first[1:], len(scripts))
+    for k in np.flatnonzero(low != out).tolist():
+        out[k] = np.bincount(scripts[first[k] : ends[k]]).argmax()
+    return out
 
 
 def words_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(trigram cell of each letter byte, first cell of each word, script of each word, first word of each text)."""
     data = lower(data)
-    letter = ((data >= 97) & (data <= 122)) | (data >= 128)
+    scripts = scripts_of(data)
+    letter = scripts > 0
     n = len(data)
     edge = np.zeros(n + 1, bool)
     edge[at] = True
@@ -60,8 +118,7 @@ def words_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     cell = ((before << np.uint32(16)) | (data.astype(np.uint32) << np.uint32(8)) | after) * np.uint32(2654435761) >> np.uint32(17)
     inside = np.flatnonzero(letter)
     first = np.searchsorted(inside, np.flatnonzero(begin))
-    script = np.maximum.reduceat(SCRIPT_OF[data[inside]], first) if len(first) else np.zeros(0, np.uint8)
-    return cell[inside], first, script, np.searchsorted(np.flatnonzero(begin), at)
+    return cell[inside], first, word_scripts(scripts[inside], first), np.searchsorted(np.flatnonzero(begin), at)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,12 +135,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             into[CELLS:] += np.bincount(np.concatenate([script[text[i] : text[i + 1]] for i in rows]), minlength=len(SCRIPTS))
     for lang, counts in total.items():
         parts = [*np.split(counts[:CELLS], SLICES), counts[CELLS:]]
-        yield pa.RecordBatch.from_pydict({"lang": [lang] * len(parts), "slice": pa.array(range(len(parts)), pa.int32()), "counts": [p.astype(np.int64).tobytes() for p in parts]})
-
-
-def _add(rows: pd.DataFrame) -> pd.DataFrame:
-    total = np.sum([np.frombuffer(x, np.int64) for x in rows["counts"]], axis=0)
-    return pd.DataFrame({"lang": rows["lang"][:1], "slice": rows["slice"][:1], "counts": [total.tobytes()]})
+        task = pa.array([TaskContext.get().partitionId()] * len(parts), pa.int32())
+        yield pa.RecordBatch.from_pydict({"lang": [lang] * len(parts), "slice": pa.array(range(len(parts)), pa.int32()), "task": task, "counts": [p.astype(np.int64).tobytes() for p in parts]})
 
 
 class Model:
@@ -106,11 +159,12 @@ class Model:
 
 
 def learn(labelled: DataFrame) -> Model:
-    """Counts over all labelled documents (text, lang), one small row set for each task and language; the
-    model's size depends on the number of languages only."""
+    """Counts over all labelled documents (text, lang), one small row set for each task and language, added up
+    in levels; the model's size depends on the number of languages only. Rows without text or lang teach
+    nothing; without any other row the model has no language."""
     small_batches(labelled.sparkSession)
-    counts = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang").mapInArrow(_count, "lang string, slice int, counts binary")
-    rows = counts.groupBy("lang", "slice").applyInPandas(_add, counts.schema).collect()
+    counts = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang").mapInArrow(_count, "lang string, slice int, task int, counts binary")
+    rows = summed(counts, ("lang", "slice"), "int64").collect()  # a few rows for each language
     by: dict[str, dict[int, np.ndarray]] = {}
     for lang, part, data in rows:
         by.setdefault(lang, {})[part] = np.frombuffer(bytes(data), np.int64)
@@ -198,18 +252,21 @@ def judge(model: Model, texts: pa.Array, switch: float = SWITCH) -> tuple[list[s
 def spoken(model: Model, texts: pa.Array, gains: np.ndarray) -> np.ndarray:
     """Whether each text, with its gain by judge(), is in a learned language: see LEAST_GAIN."""
     data, at = utf8(texts)
-    data = lower(data)
-    script = SCRIPT_OF[data]
-    script[np.isin(data, SIGNS)] = 0
+    script = scripts_of(data)
     sums = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[at])
     ours, others = sums((script > 0) & model.learned[script]), sums((script > 0) & ~model.learned[script])
-    letters, solid = sums(((data >= 97) & (data <= 122)) | (data >= 128)), sums(data > 32)
+    letters, solid = sums(script > 0), sums(data > 32)
     return (gains >= LEAST_GAIN) & (letters >= LEAST_LETTERS * solid) & (ours > 0) & (ours >= others)
 
 
-def _predict(blob: bytes, switch: float):
+def _sent(docs: DataFrame, model: Model):
+    """The model for all tasks: CELLS floats for each language, the one thing its size depends on."""
+    return docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+
+
+def _predict(blob, switch: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = pickle.loads(blob)
+        model: Model = pickle.loads(blob.value)
         for batch in pieces(batches):
             langs, scores, spans = predict(model, batch.column("text"), switch)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lang_pred": langs, "score": pa.array(scores, pa.float64()), "spans": spans})
@@ -220,12 +277,14 @@ def _predict(blob: bytes, switch: float):
 def identify(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
     """docs (doc_id, text, any more) -> lang_pred, score (0 to 1) and spans `lang:first word:end` of each text.
 
-    Words are runs of letter bytes; a word's script leaves as candidates the languages learned in it.
-    Texts that are null or have no letter are `und` with score 0, as are all if nothing was learned.
-    A plain map over the scan; the model travels with the task (CELLS floats for each language).
+    Words are runs of letters and their marks; a word's script, by Unicode's ranges, leaves as candidates the
+    languages learned in it. Texts that are null or have no letter are `und` with score 0, as are all if
+    nothing was learned. Of languages that score alike the first by name wins; equal rows give equal rows,
+    null doc_ids stay null, other columns are never read, an empty table gives an empty one. A plain map
+    over the scan; the model is broadcast (CELLS floats for each language).
     """
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_predict(pickle.dumps(model), switch), SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(_predict(_sent(docs, model), switch), SCHEMA)
 
 
 def held_out():
@@ -244,13 +303,14 @@ def keep_identified(docs: DataFrame, model: Model, switch: float = SWITCH) -> Da
 
     These are null texts, texts without letters or with few, texts mostly in a script that nothing was
     learned in, and those whose trigrams are no likelier in any learned language than by chance. A text in
-    an unknown language stays if its trigrams are those of a learned one.
+    an unknown language stays if its trigrams are those of a learned one. Equal rows fare alike, null
+    doc_ids stay null, further columns may have any name, an empty table gives an empty one.
     """
     small_batches(docs.sparkSession)
-    blob = pickle.dumps(model)
+    blob = _sent(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: Model = pickle.loads(blob)
+        known: Model = pickle.loads(blob.value)
         for batch in pieces(batches):
             found, _, _, gains = judge(known, batch.column("text"), switch)
             at = batch.schema.get_field_index("lang")
