@@ -36,6 +36,14 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataF
     return rows.select("source", "source_size", F.when(F.col("k") < F.col("first.k"), F.col("cap").cast("double")).otherwise(F.col("first.level") * F.col("w")).alias("target"))
 
 
+def _digits(rows: int, most: int) -> int:
+    """Hexadecimal digits that split so many rows into buckets of no more than `most`."""
+    digits = 0
+    while rows > most:
+        digits, rows = digits + 1, rows / 16
+    return digits
+
+
 def mix_sources(docs: DataFrame, size: Column | None = None, weights=WEIGHTS, most: int = MOST, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """docs (doc_id, source, text or `size`, any more) -> docs' columns in `row`, and size, source_size, target, copies, taken.
 
@@ -54,20 +62,31 @@ def mix_sources(docs: DataFrame, size: Column | None = None, weights=WEIGHTS, mo
     size = n_words(F.col("text")) if size is None else size
     name = F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("s"), "source"))
     digits = F.length(F.bin("_mix.size"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.struct(F.col("source"), name.alias("name"), size.cast("long").alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("key")).alias("_mix"))
-    rows = rows.select("row", "_mix.*", (digits * 16 + F.expr("shiftright(_mix.size, greatest(length(bin(_mix.size)) - 4, 0))")).cast("int").alias("class"))
-    counts = settle(rows.groupBy("source", "name", "class", F.substring("key", 1, 2).alias("sub")).agg(F.count("*").alias("n"), F.sum("size").alias("words")), "mix-counts")
-    largest = counts.agg(F.max("n")).first()[0] or 0
-    depth = 2
-    while largest > bucket_rows:
-        depth, largest = depth + 1, largest / 16
-    if depth > 2:
-        counts = settle(rows.groupBy("source", "name", "class", F.substring("key", 1, depth).alias("sub")).agg(F.count("*").alias("n"), F.sum("size").alias("words")), "mix-counts")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.struct(F.col("source"), name.alias("name"), size.cast("long").alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("key")).alias("_mix"))
+    rows = rows.select("row", "_mix.*", F.monotonically_increasing_id().alias("nth"), (digits * 16 + F.expr("shiftright(_mix.size, greatest(length(bin(_mix.size)) - 4, 0))")).cast("int").alias("class"))
+
+    def counted(depth: int, extra: int) -> tuple[DataFrame, int]:
+        """Sums of the buckets, and the rows of the largest."""
+        found = settle(rows.groupBy("source", "name", "class", bucket(depth, extra).alias("sub")).agg(F.count("*").alias("n"), F.sum("size").alias("words")), "mix-counts")
+        return found, found.agg(F.max("n")).first()[0] or 0
+
+    def bucket(depth: int, extra: int) -> Column:
+        """Leading digits of the hash, and of the row's number's where these alone leave too many rows with one doc_id."""
+        return F.concat(F.substring("key", 1, depth), F.substring(F.md5(F.col("nth").cast("string").cast("binary")), 1, extra)) if extra else F.substring("key", 1, depth)
+
+    depth, extra = 2, 0
+    counts, largest = counted(depth, extra)
+    if largest > bucket_rows:
+        depth += _digits(largest, bucket_rows)
+        counts, largest = counted(depth, extra)
+    if largest > 2 * bucket_rows:  # no chance of the hash, but one doc_id
+        extra = _digits(largest, bucket_rows)
+        counts, largest = counted(depth, extra)
     earlier = Window.partitionBy("name").orderBy("class", "sub").rowsBetween(Window.unboundedPreceding, -1)
     targets = source_targets(counts.groupBy("source", "name").agg(F.sum("words").alias("source_size")).select("source", "source_size"), weights, most)
     targets = targets.withColumn("name", name).drop("source")
     start = counts.select("name", "class", "sub", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start")).join(targets, "name")
-    rows = rows.withColumn("sub", F.substring("key", 1, depth)).join(start, ["name", "class", "sub"])
+    rows = rows.withColumn("sub", bucket(depth, extra)).join(start, ["name", "class", "sub"])
     rank = F.col("start") + F.row_number().over(Window.partitionBy("name", "class", "sub").orderBy("key", "size"))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), "name").cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -77,9 +96,9 @@ def mix_sources(docs: DataFrame, size: Column | None = None, weights=WEIGHTS, mo
 
 
 def emit_mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus itself: docs' rows, each as often as the mix takes it."""
+    """The mixed corpus itself: docs' rows, each as often as the mix takes it; odd rows and tables as in mix_sources."""
     mixed = mix_sources(docs, **options)
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+    return mixed.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 SQL = """
