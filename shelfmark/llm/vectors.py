@@ -9,17 +9,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import components, mix, settle, spread
+from .shared import Shelf, components, mix, spread
 
 COSINE = 0.9
-#: One-dimensional projections sorted together as a band, their cell width, and the share of pairs at
-#: exactly COSINE that the bands should bring together.
-PER_BAND, CELL, RECALL = 8, 1.8, 0.975
-#: Further projections whose collisions are counted, the half width of a query's window on each, and
-#: the share of pairs at exactly COSINE that the count should let pass.
-COUNTED, WINDOW, COUNT_RECALL = 24, 0.9, 0.995
-#: Vectors of a block: larger cells are dealt out as pairs of blocks.
+#: Cell width of the projections that a band nests, and half width of a query's window on sorted and counted projections.
+CELL, WINDOW = 1.8, 0.9
+#: Places on sorted projections are whole numbers, so that all decide alike what lies in a window: steps of a unit,
+#: half width of a window, and width of the slabs that a sorted projection is dealt out in.
+STEPS = 1 << 20
+REACH = round(WINDOW * STEPS)
+SLAB = 4 * REACH
+#: Unlike vectors that a band may leave together with a vector: more vectors nest more projections.
+MATES = 64
+#: Share of pairs at exactly the least cosine that the bands should bring together.
+RECALL = 0.975
+#: Projections whose collisions are counted, and the share of pairs at exactly the least cosine that the count lets pass.
+COUNTED, COUNT_RECALL = 24, 0.995
+#: Vectors of a block: larger groups are dealt out as pairs of blocks.
 BLOCK = 256
 SEED = 20240229
 
@@ -30,72 +38,104 @@ def _same_cell(distance: float, width: float) -> float:
     return erf(t / sqrt(2)) - 2 / (sqrt(2 * pi) * t) * (1 - exp(-t * t / 2))
 
 
-def calibrate(cosine: float = COSINE) -> tuple[int, int]:
-    """(bands, least count) that reach RECALL and COUNT_RECALL for pairs at just this cosine; closer pairs have more."""
-    distance = sqrt(2 - 2 * cosine)
-    bands = ceil(log(1 - RECALL) / log(1 - _same_cell(distance, CELL) ** PER_BAND))
-    inside = erf(WINDOW / distance / sqrt(2))
+def _in_window(distance: float) -> float:
+    """Chance that one point's projection lies in the window centred on the other's."""
+    return erf(WINDOW / distance / sqrt(2))
+
+
+def calibrate(n: int, cosine: float = COSINE) -> tuple[int, int, int]:
+    """(nested projections, bands, least count) for n vectors that reach RECALL and COUNT_RECALL for pairs at just this
+    cosine; closer pairs have more. Unlike vectors are taken to be at right angles."""
+    near, far = sqrt(2 - 2 * cosine), sqrt(2)
+    nested = max(1, ceil(log(max(n * _in_window(far) / MATES, 1)) / -log(_same_cell(far, CELL))))
+    bands = ceil(log(1 - RECALL) / log(1 - _same_cell(near, CELL) ** nested * _in_window(near)))
+    inside = _in_window(near)
     least = max(k for k in range(COUNTED + 1) if sum(comb(COUNTED, j) * inside**j * (1 - inside) ** (COUNTED - j) for j in range(k, COUNTED + 1)) >= COUNT_RECALL)
-    return bands, least
+    return nested, bands, least
+
+
+class Planes:
+    """Random projections of vectors of one length: for each band `nested` that are cut into cells and one that is
+    sorted, and COUNTED further ones."""
 
+    def __init__(self, dim: int, nested: int, bands: int):
+        rng = np.random.default_rng(SEED)
+        self.dim, self.nested, self.bands = dim, nested, bands
+        self.cut, self.shift = rng.standard_normal((dim, bands * nested)), rng.uniform(0, CELL, bands * nested)
+        self.sort, self.counted = rng.standard_normal((dim, bands)), rng.standard_normal((dim, COUNTED))
+        self.odd = (mix(np.arange(1, nested + 1, dtype=np.uint64)) | np.uint64(1)).reshape(1, 1, -1)
 
-def _planes(dim: int, bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(SEED)
-    return rng.standard_normal((dim, bands * PER_BAND)), rng.uniform(0, CELL, bands * PER_BAND), rng.standard_normal((dim, COUNTED))
+    def cells(self, unit: np.ndarray) -> np.ndarray:
+        """For each vector and band, a key of the cell that the nested projections fall into."""
+        grid = np.floor((unit @ self.cut + self.shift) / CELL).astype(np.int64).view(np.uint64).reshape(-1, self.bands, self.nested)
+        return (mix((grid * self.odd).sum(2, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _cells(dim: int, bands: int):
-    """Unit vectors and, for each band, a key of the cell that the band's projections fall into."""
+def _unit(data: bytes, dtype: str, dim: int) -> np.ndarray:
+    x = np.frombuffer(data, dtype).astype(np.float64).reshape(-1, dim)
+    unit = x / np.abs(x).max(1, keepdims=True)
+    return unit / np.linalg.norm(unit, axis=1, keepdims=True)
+
+
+def _place(planes: Planes, dtype: str):
+    """Each vector's bytes, and for each band its cell and its place on the sorted projection."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes, shift, _ = _planes(dim, bands)
-        odd = (mix(np.arange(1, PER_BAND + 1, dtype=np.uint64)) | np.uint64(1)).reshape(1, 1, -1)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-            unit = x / np.abs(x).max(1, keepdims=True)
-            unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-            grid = np.floor((unit @ planes + shift) / CELL).astype(np.int64).view(np.uint64).reshape(-1, bands, PER_BAND)
-            keys = (mix((grid * odd).sum(2, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            yield pa.RecordBatch.from_pydict({"cls": batch.column("cls"), "copies": batch.column("copies"), "unit": pa.array([r.tobytes() for r in unit], pa.binary()), "cells": pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.reshape(-1)))})
+            x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(-1, planes.dim)
+            unit = _unit(x.tobytes(), dtype, planes.dim)
+            cells, places = planes.cells(unit), np.round((unit @ planes.sort) * STEPS).astype(np.int32)
+            ends = pa.array(np.arange(0, cells.size + 1, planes.bands), pa.int32())
+            yield pa.RecordBatch.from_pydict({"cls": batch.column("cls"), "copies": batch.column("copies"), "vector": pa.array([r.tobytes() for r in x], pa.binary()), "cells": pa.ListArray.from_arrays(ends, pa.array(cells.reshape(-1))), "places": pa.ListArray.from_arrays(ends, pa.array(places.reshape(-1)))})
 
     return run
 
 
-def _link_cells(dim: int, bands: int, least: int, cosine: float):
-    """Links inside each (band, cell, block pair): partial link counts, and enough edges to connect what is linked.
+def _windows(left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of two lists of places in order, all (i, j) of which j lies in the window centred on i; i < j if both lists are one."""
+    first = np.arange(1, len(left) + 1) if same else np.searchsorted(right, left - REACH, "left")
+    last = np.searchsorted(right, left + REACH, "right")
+    n = np.maximum(last - first, 0)
+    start = np.concatenate(([0], np.cumsum(n)))
+    i = np.repeat(np.arange(len(left)), n)
+    return i, np.arange(start[-1]) - np.repeat(start[:-1] - first, n)
+
+
+def _collide(planes: Planes, least: int, cosine: float, dtype: str):
+    """Links inside each (band, cell, slab, block pair): partial link counts, and enough edges to connect what is linked.
 
-    Rows come sorted by group. A pair counts in the first band that brings it together, so that no
-    pair is told twice and none has to be shuffled. Of a group's links a spanning forest goes out.
+    Rows come sorted by group and by their place on the band's sorted projection. Pairs are those in a
+    query's window there; of each the collisions on the counted projections are counted, and pairs
+    with enough of them are verified. A pair counts in the first band that brings it together, so
+    that no pair is told twice and none has to be shuffled. Of a group's links a spanning forest goes out.
     """
 
-    def group(rows: list, planes: np.ndarray, band: int, same: bool) -> tuple[list, dict]:
-        left = [i for i, r in enumerate(rows) if r[1] == 0]
-        right = left if same else [i for i, r in enumerate(rows) if r[1] == 1]
+    def group(rows: list[tuple], band: int, same: bool) -> tuple[list, dict]:
         counts: dict[int, int] = {}
         edges: list[tuple[int, int]] = []
-        if not left or not right:
-            return edges, counts
-        unit = np.frombuffer(b"".join(r[3] for r in rows), np.float64).reshape(-1, dim)
-        cells = np.array([r[4] for r in rows], np.int32)
-        where = unit @ planes
-        a, b = np.array(left), np.array(right)
-        hits = np.zeros((len(a), len(b)), np.uint8)
-        for j in range(planes.shape[1]):
-            hits += np.abs(where[a, j][:, None] - where[b, j][None, :]) <= WINDOW
-        found = hits >= least
-        if same:
-            found = np.triu(found, 1)
-        i, j = np.nonzero(found)
-        if not len(i):
+        side = np.array([r[1] for r in rows])
+        a = np.arange(len(rows)) if same else np.flatnonzero(side == 0)
+        b = a if same else np.flatnonzero(side == 1)
+        if not len(a) or not len(b):
             return edges, counts
+        at = np.array([r[5][band] for r in rows], np.int64)
+        i, j = _windows(at[a], at[b], same)
         i, j = a[i], b[j]
-        if band:
-            fresh = ~(cells[i, :band] == cells[j, :band]).any(1)
-            i, j = i[fresh], j[fresh]
+        unit = _unit(b"".join(r[3] for r in rows), dtype, planes.dim)
+        where = unit @ planes.counted
+        hits = np.zeros(len(i), np.uint8)
+        for k in range(COUNTED):
+            hits += np.abs(where[i, k] - where[j, k]) <= WINDOW
+        found = hits >= least
+        i, j = i[found], j[found]
         ok = np.einsum("ij,ij->i", unit[i], unit[j]) >= cosine
         i, j = i[ok], j[ok]
+        if band and len(i):
+            cells, places = np.array([r[4] for r in rows], np.int32), np.array([r[5] for r in rows], np.int64)
+            before = (cells[i, :band] == cells[j, :band]) & (np.abs(places[i, :band] - places[j, :band]) <= REACH)
+            i, j = i[~before.any(1)], j[~before.any(1)]
         top = list(range(len(rows)))
 
         def find(x: int) -> int:
@@ -114,13 +154,12 @@ def _link_cells(dim: int, bands: int, least: int, cosine: float):
         return edges, counts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = _planes(dim, bands)[2]
         now, rows = None, []
 
         def done() -> pa.RecordBatch | None:
             if len(rows) < 2:
                 return None
-            edges, counts = group(rows, planes, now[0], now[2] == now[3])
+            edges, counts = group(rows, now[0], now[3] == now[4])
             if not counts:
                 return None
             n = len(edges)
@@ -128,13 +167,13 @@ def _link_cells(dim: int, bands: int, least: int, cosine: float):
             return pa.RecordBatch.from_pydict({"cls": pa.array([a for a, _ in edges] + ids, pa.int64()), "to": pa.array([b for _, b in edges] + [None] * len(ids), pa.int64()), "links": pa.array([0] * n + [counts[k] for k in ids], pa.int64())})
 
         for batch in batches:
-            for *key, cls, side, copies, unit, cells in zip(*(batch.column(c).to_pylist() for c in ("band", "cell", "one", "two", "cls", "side", "copies", "unit", "cells"))):
+            for *key, cls, side, copies, vector, cells, places in zip(*(batch.column(c).to_pylist() for c in ("band", "cell", "slab", "one", "two", "cls", "side", "copies", "vector", "cells", "places"))):
                 if key != now:
                     out = done()
                     if out is not None:
                         yield out
                     now, rows = key, []
-                rows.append((cls, side, copies, unit, cells))
+                rows.append((cls, side, copies, vector, cells, places))
         out = done()
         if out is not None:
             yield out
@@ -142,40 +181,65 @@ def _link_cells(dim: int, bands: int, least: int, cosine: float):
     return run
 
 
+def _dealt(placed: DataFrame) -> DataFrame:
+    """Narrow rows (band, cell, slab, one, two, side, place, cls): who meets whom.
+
+    A slab's vectors meet each other (in pairs of blocks, if there are more than a block) and those at
+    the begin of the next slab that a window can reach; those meet nobody else here.
+    """
+    rows = placed.select("cls", F.posexplode(F.arrays_zip("cells", "places")).alias("band", "k")).select("cls", "band", F.col("k.cells").alias("cell"), F.col("k.places").alias("place"))
+    rows = rows.withColumn("slab", F.floor(F.col("place") / SLAB))
+    reach = F.col("place") - F.col("slab") * SLAB <= REACH
+    rows = rows.withColumn("own", F.explode(F.when(reach, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True))))).withColumn("slab", F.when(F.col("own"), F.col("slab")).otherwise(F.col("slab") - 1))
+    sizes = rows.groupBy("band", "cell", "slab").agg(F.count_if("own").alias("few"), F.count_if(~F.col("own")).alias("many")).where("few > 0 AND few + many > 1")
+    sizes = sizes.select("band", "cell", "slab", F.ceil(F.col("few") / BLOCK).alias("few"), F.ceil(F.col("many") / BLOCK).alias("many"))
+    rows = rows.join(sizes, ["band", "cell", "slab"])
+    hashed = F.xxhash64("cls", "band")
+    rows = rows.withColumn("mine", F.when(F.col("own"), F.pmod(hashed, F.col("few"))).otherwise(F.col("few") + F.pmod(hashed, F.col("many"))))
+    to = F.sequence(F.lit(0).cast("long"), F.when(F.col("own"), F.col("few") + F.col("many")).otherwise(F.col("few")) - 1)
+    deal = F.transform(to, lambda x: F.struct(F.least(x, F.col("mine")).alias("one"), F.greatest(x, F.col("mine")).alias("two"), F.when(x < F.col("mine"), 1).otherwise(0).alias("side")))
+    return rows.select("band", "cell", "slab", "place", "cls", F.explode(deal).alias("d")).select("band", "cell", "slab", "place", "cls", "d.*")
+
+
 def vector_links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vectors (vec_id, embedding, any more) -> vec_id, n_links, component_id, kept.
 
     Equal vectors are one class with a number of copies; copies link among themselves without being
-    paired. Classes meet in the cells of several bands of sorted projections (a random grid), the
-    pairs of a cell are those whose query-centred windows collide on enough of further projections,
-    and these are verified by their cosine in double precision. Numbers of bands and collisions are
-    calibrated for pairs at exactly `cosine` (see calibrate), closer pairs are found more surely.
-    Large cells are dealt out as pairs of blocks; only partial counts and spanning edges leave a task.
+    paired. Many random one-dimensional projections are sorted. On each the pairs in a query-centred
+    window collide; the pairs' collisions on further projections are counted, and pairs with enough of
+    them are verified by their cosine in double precision. As a window on one projection holds a
+    fixed share of all vectors, each sorted projection is taken within the cells of nested ones (a
+    band), the more of these the more vectors there are, so that a window holds some MATES unlike
+    vectors at any size. Numbers of nested projections, bands and collisions are calibrated for pairs
+    at exactly `cosine` (see calibrate); closer pairs are found more surely. Large groups are dealt
+    out as pairs of blocks; only partial counts and spanning edges leave a task.
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, as do
-    vectors of different lengths. Repeated vec_ids count as vectors of their own, answered alike.
-    An empty table gives an empty result.
+    vectors of different lengths. Repeated vec_ids count as vectors of their own, answered alike; a null
+    vec_id stays null, with a component_id as all others. Other columns are never read. An empty table
+    gives an empty result.
     """
     spark = vectors.sparkSession
+    shelf = Shelf(spark, "vectors")
+    kind = vectors.schema["embedding"].dataType
+    dtype = "<f4" if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else "<f8"
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     sound = F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("vector", F.when(sound, F.transform("embedding", lambda x: x + F.lit(0.0)))).drop("embedding")
     rows = rows.withColumn("hash", F.when(F.col("vector").isNotNull(), F.sha2(F.array_join(F.transform("vector", lambda x: x.cast("string")), ","), 256)))
     classes = rows.where("hash IS NOT NULL").groupBy("hash").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.first("vector").alias("embedding"))
-    classes = settle(classes.withColumn("cls", F.xxhash64("hash", F.lit(SEED))), "vectors-classes")
-    bands, least = calibrate(cosine)
+    classes = shelf.put(classes.withColumn("cls", F.xxhash64("hash", F.lit(SEED))), "classes")
     parts = []
-    for (dim,) in classes.select(F.size("embedding")).distinct().collect():
-        some = classes.where(F.size("embedding") == dim)
-        placed = settle(some.select("cls", "copies", "embedding").mapInArrow(_cells(dim, bands), "cls long, copies long, unit binary, cells array<int>"), f"vectors-cells{dim}")
-        keyed = placed.select("cls", F.posexplode("cells").alias("band", "cell"))
-        sizes = keyed.groupBy("band", "cell").agg(F.count("*").alias("n")).where("n > 1")
-        blocks = F.ceil(F.col("n") / BLOCK)
-        full = placed.select("*", F.posexplode("cells").alias("band", "cell")).join(sizes, ["band", "cell"]).withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("cls", "band"), F.col("blocks")))
-        pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("mine")).alias("one"), F.greatest(x, F.col("mine")).alias("two"), F.when(x < F.col("mine"), 1).otherwise(0).alias("side")))
-        dealt = full.select("band", "cell", "cls", "copies", "unit", "cells", F.explode(pairs).alias("p")).select("band", "cell", "p.one", "p.two", "p.side", "cls", "copies", "unit", "cells")
-        dealt = dealt.repartition(spread(spark), "band", "cell", "one", "two").sortWithinPartitions("band", "cell", "one", "two")
-        parts.append(settle(dealt.mapInArrow(_link_cells(dim, bands, least, cosine), "cls long, to long, links long"), f"vectors-found{dim}"))
+    for dim, n in classes.groupBy(F.size("embedding")).count().collect():
+        nested, bands, least = calibrate(n, cosine)
+        planes = Planes(dim, nested, bands)
+        some = classes.where(F.size("embedding") == dim).select("cls", "copies", "embedding")
+        placed = shelf.put(some.mapInArrow(_place(planes, dtype), "cls long, copies long, vector binary, cells array<int>, places array<int>"), f"placed{dim}")
+        dealt = shelf.put(_dealt(placed), f"dealt{dim}").join(placed, "cls")
+        groups = ["band", "cell", "slab", "one", "two"]
+        dealt = dealt.repartition(spread(spark), *groups).sortWithinPartitions(*groups, "place")
+        parts.append(shelf.put(dealt.mapInArrow(_collide(planes, least, cosine, dtype), "cls long, to long, links long"), f"found{dim}"))
+        shelf.drop(f"dealt{dim}", f"placed{dim}")
     if not parts:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     found = parts[0]
