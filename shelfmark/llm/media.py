@@ -27,7 +27,8 @@ MAGIC = b"\x89PNG\r\n\x1a\n"
 #: Bytes from a file's begin that hold its header: magic and the IHDR chunk.
 HEADER = 33
 CATALOG = "doc_id long, n_bytes long, digest string, shard string, offset long, length long"
-READ = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, width long, height long, bit_depth int, feature string"
+READ = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, least int, most int, total long"
+HEAD = "digest string, width long, height long, bit_depth int, colour_type int"
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
@@ -128,62 +129,83 @@ def index(catalog: DataFrame) -> DataFrame:
     return catalog.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
 
 
-def headers(places: DataFrame, folder: str) -> DataFrame:
-    """Metadata columns from range reads of HEADER bytes, without the payloads."""
+def _in_order(places: DataFrame) -> DataFrame:
+    """Places dealt out by ranges of their shards, in order of offset: a task reads neighbours one after the other."""
+    near = F.floor(F.col("offset") / RANGE)
+    return places.repartition(spread(places.sparkSession), "shard", near).sortWithinPartitions("shard", "offset")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, root = fs.FileSystem.from_uri(folder)
-        for batch in batches:
-            rows = []
-            for shard, offset in zip(batch.column("shard").to_pylist(), batch.column("offset").to_pylist()):
-                with files.open_input_file(f"{root}/{shard}") as file:
-                    rows.append(png_header(file.read_at(HEADER, offset)))
-            width, height, depth, _ = zip(*rows) if rows else ([], [], [], [])
-            yield pa.RecordBatch.from_pydict({"digest": batch.column("digest"), "width": pa.array(width, pa.int64()), "height": pa.array(height, pa.int64()), "bit_depth": pa.array(depth, pa.int32())})
 
-    return places.select("digest", "shard", "offset").mapInArrow(run, "digest string, width long, height long, bit_depth int")
+class Reader:
+    """Range reads of the shards in a folder; the last one stays open."""
+
+    def __init__(self, folder: str):
+        self.fs, self.root = fs.FileSystem.from_uri(folder)
+        self.name, self.file = None, None
+
+    def read(self, shard: str, offset: int, length: int) -> bytes:
+        if shard != self.name:
+            self.close()
+            self.name, self.file = shard, self.fs.open_input_file(f"{self.root}/{shard}")
+        return self.file.read_at(length, offset)
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+            self.name, self.file = None, None
 
 
-def read_back(places: DataFrame, folder: str) -> DataFrame:
-    """Digests and features of the stored files, read by ranges of their shards in order of offset."""
+def _reads(folder: str, schema: str, row):
+    """Rows (digest, *row(reader, shard, offset, length)) of each place."""
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
+    fields = pa.schema([(name, kinds[kind]) for name, kind in map(str.split, schema.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, root = fs.FileSystem.from_uri(folder)
-        name, file = None, None
+        reader = Reader(folder)
         for batch in batches:
-            out: dict[str, list] = {x.split()[0]: [] for x in READ.split(", ")}
-            for digest, shard, offset, length in zip(*(batch.column(c).to_pylist() for c in ("digest", "shard", "offset", "length"))):
-                if shard != name:
-                    if file is not None:
-                        file.close()
-                    name, file = shard, files.open_input_file(f"{root}/{shard}")
-                width, height, depth, colour = png_header(file.read_at(HEADER, offset))
-                media = file.read_at(length, offset)
-                payload = from_png(media)
-                samples = np.frombuffer(payload, np.uint8)
-                feature = f"png:{width}x{height}:{depth}:{colour}:min={samples.min()}:max={samples.max()}:sum={int(samples.sum(dtype=np.int64))}"
-                row = (digest, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), width, height, depth, feature)
-                for k, v in zip(out, row):
-                    out[k].append(v)
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, {"bit_depth": pa.int32(), "digest": pa.string(), "payload_sha256": pa.string(), "media_sha256": pa.string(), "feature": pa.string()}.get(k, pa.int64())) for k, v in out.items()})
-        if file is not None:
-            file.close()
+            rows = [(digest, *row(reader, *at)) for digest, *at in zip(*(batch.column(c).to_pylist() for c in ("digest", "shard", "offset", "length")))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [()] * len(fields), fields)], schema=fields)
+        reader.close()
 
-    spark = places.sparkSession
-    near = F.floor(F.col("offset") / RANGE)
-    return places.repartition(spread(spark), "shard", near).sortWithinPartitions("shard", "offset").mapInArrow(run, READ)
+    return run
+
+
+def _header(reader: Reader, shard: str, offset: int, length: int) -> tuple[int, int, int, int]:
+    return png_header(reader.read(shard, offset, HEADER))
+
+
+def _content(reader: Reader, shard: str, offset: int, length: int) -> tuple:
+    media = reader.read(shard, offset, length)
+    payload = from_png(media)
+    samples = np.frombuffer(payload, np.uint8)
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), int(samples.min()), int(samples.max()), int(samples.sum(dtype=np.int64))
+
+
+def headers(places: DataFrame, folder: str) -> DataFrame:
+    """Metadata columns (digest, width, height, bit_depth, colour_type) from range reads of HEADER bytes, without the payloads."""
+    return _in_order(places.select("digest", "shard", "offset", "length")).mapInArrow(_reads(folder, HEAD, _header), HEAD)
+
+
+def read_back(places: DataFrame, folder: str) -> DataFrame:
+    """Digests and sums of the stored files' samples, read by ranges of their shards in order of offset."""
+    return _in_order(places.select("digest", "shard", "offset", "length")).mapInArrow(_reads(folder, READ, _content), READ)
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, any more) -> a row for each document with digests and features of its stored payload.
 
     The shards and the catalog stand in the shared folder before anything is read back, so an executor
-    lost later costs no payload. A payload is decoded once, at the place that the index gives it, and
-    its features join the rows by digest; adaptive execution splits the rows of a digest that many share.
-    Null texts count as empty, which is one row of blanks; equal texts give equal values; an empty table gives none.
+    lost later costs no payload; what a task that ran again had written before is in no row of the
+    catalog. A payload is stored once in a task's shard; where several tasks met it, the index gives all
+    rows one place, and only that is read. Metadata columns come from header-only reads, all else from
+    a payload decoded once; both join the rows by digest, where adaptive execution splits the rows of a
+    digest that many share. Null texts count as empty, which is one row of blanks; equal texts give equal
+    values, repeated rows a row each, null doc_ids stay null; other columns are never read; an empty
+    table gives an empty one.
     """
     folder = scratch(docs.sparkSession, "media")
     catalog = settle(store(docs, folder), "media-catalog")
-    features = read_back(index(catalog), folder)
+    places = settle(index(catalog), "media-index")
+    features = read_back(places, folder).join(headers(places, folder), "digest")
+    feature = F.format_string("png:%dx%d:%d:%d:min=%d:max=%d:sum=%d", "width", "height", "bit_depth", "colour_type", "least", "most", "total")
     rows = catalog.select("doc_id", "n_bytes", "digest").join(features, "digest")
-    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "width", "height", "bit_depth")
