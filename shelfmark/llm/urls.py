@@ -7,12 +7,10 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import settle
+from .shared import Shelf
 
 #: The rules (verdict, host and path).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Segments from this depth on are one wildcard.
-DEPTH = 6
 #: A segment stays apart if it has this share of its parent's urls, and as many urls; others are variable. Where
 #: some of the parent's urls have no label, one with LABELLED labels stays apart whatever its share.
 SHARE, SUPPORT = 0.05, 5
@@ -43,12 +41,14 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def _level(rows: DataFrame, depth: int) -> DataFrame:
-    """Extend each url's template by its segment at `depth`, once that is generalised and merged."""
-    seg = F.get("segs", F.lit(depth))
-    at = rows.withColumn("seg", seg)
-    live = at.where("seg IS NOT NULL")
-    nodes = live.groupBy("host", "template", "seg").agg(F.count("*").alias("n"), F.sum("block").alias("b"), F.sum("labelled").alias("m"))
-    parents = nodes.groupBy("host", "template").agg(F.sum("n").alias("pn"), F.sum("b").alias("pb"), F.sum("m").alias("pm"))
+    """Extend each url's template by its segment at `depth`, once that is generalised and merged; `goes_on` says
+    whether there may be more to tell apart below.
+
+    A template of fewer than SUPPORT urls has no frequent segment at any depth: all that follows is variable.
+    """
+    at = rows.withColumn("seg", F.get("segs", F.lit(depth)))
+    nodes = at.groupBy("host", "template", "seg").agg(F.count("*").alias("n"), F.sum("block").alias("b"), F.sum("labelled").alias("m"))
+    parents = nodes.groupBy("host", "template").agg(F.sum("n").alias("pn"), F.sum("b").alias("pb"), F.sum("m").alias("pm")).where(F.col("pn") >= SUPPORT)
     kept = nodes.where(F.col("n") >= SUPPORT).join(parents, ["host", "template"]).where((F.col("n") >= SHARE * F.col("pn")) | ((F.col("m") >= LABELLED) & (F.col("pn") > F.col("pm"))))
     rate, rest = F.col("b") / F.col("m"), (F.col("pb") - F.col("b")) / (F.col("pm") - F.col("m"))
     pool = F.col("pb") / F.col("pm")
@@ -56,9 +56,10 @@ def _level(rows: DataFrame, depth: int) -> DataFrame:
     apart = (F.col("pm") > F.col("m")) & ((rate - rest) * (rate - rest) > Z2 * spread)
     token = F.when(F.col("m") < LABELLED, F.col("seg")).when(F.when(F.col("pm") > F.col("m"), apart).otherwise(False), F.when(rate > rest, "{+}").otherwise("{-}")).otherwise("{=}")
     kept = kept.select("host", "template", "seg", token.alias("token"))
-    out = at.join(kept, ["host", "template", "seg"], "left")
-    longer = F.concat("template", F.lit("/"), F.coalesce("token", F.lit("*")))
-    return out.withColumn("template", F.when(F.col("seg").isNull(), F.col("template")).otherwise(longer)).drop("seg", "token")
+    out = at.join(kept, ["host", "template", "seg"], "left").join(parents.select("host", "template", F.lit(True).alias("many")), ["host", "template"], "left")
+    left = F.size("segs") - depth
+    longer = F.when(F.col("many"), F.concat("template", F.lit("/"), F.coalesce("token", F.lit("*")))).otherwise(F.concat("template", F.repeat(F.lit("/*"), left)))
+    return out.select(*(c for c in rows.columns if c not in ("template", "goes_on")), longer.alias("template"), (F.coalesce("many", F.lit(False)) & (left > 1)).alias("goes_on"))
 
 
 def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -70,29 +71,37 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     ones without labels stay. A template whose smoothed share of blocked urls reaches PURITY is blocked
     if KNOWN of its urls are labelled.
 
-    The SQL twin has neither the second way for a segment to stay apart nor KNOWN: it answers alike
+    The SQL twin follows paths to seven segments, which all given tables keep to, and has neither the second way for a segment to stay apart nor KNOWN: it answers alike
     where no segment with labels is rare among others without, and no template of few labels reaches PURITY.
 
     All steps are sums by (host, template, segment) and joins with the few frequent segments; no host
-    is gathered in one task. Null urls and those without `://` have an empty host and path and the
-    empty template, repeated rows are judged alike, an empty table gives an empty result.
+    is gathered in one task. Levels go on as deep as SUPPORT urls share a template, whatever the length
+    of paths; each writes only the urls that are told apart further. Null urls and those without `://`
+    have an empty host and path and the empty template, repeated rows are judged alike, null page_ids
+    stay null, other columns are never read, an empty table gives an empty result.
     """
+    shelf = Shelf(pages.sparkSession, "urls")
     host, path = split_url(F.col("url"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = pages.select("page_id", host.alias("host"), path.alias("path")).select("*", rule.alias("rule"), verdict.alias("ruled"))
-    parts = F.filter(F.split("path", "/"), lambda x: x != "")
-    segs = F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH), F.array(F.lit("**")))).otherwise(parts)
+    segs = F.filter(F.split("path", "/"), lambda x: x != "")
     rows = rows.select("*", segs.alias("segs"), F.lit("").alias("template"), F.coalesce((F.col("ruled") == "block").cast("int"), F.lit(0)).alias("block"), F.col("ruled").isNotNull().cast("int").alias("labelled"))
-    rows = settle(rows, "urls")
-    deep = rows.agg(F.max(F.size("segs"))).first()[0] or 0
-    for depth in range(deep):
-        rows = settle(_level(rows, depth), f"urls{depth}")
+    rows = shelf.put(rows.withColumn("goes_on", F.size("segs") > 0), "level")
+    done, depth = rows.where("NOT goes_on"), 0
+    while not (rows := rows.where("goes_on")).isEmpty():
+        rows = shelf.put(_level(rows, depth), f"level{depth}")
+        done, depth = done.unionByName(rows.where("NOT goes_on")), depth + 1
+    rows = done
     sums = rows.groupBy("host", "template").agg(F.sum("block").alias("tb"), F.sum("labelled").alias("tm"), F.count("*").alias("tn"))
     purity = (F.col("tb") + PRIOR / 2) / (F.col("tm") + PRIOR)
     rows = rows.join(sums.select("host", "template", purity.alias("purity"), (F.col("tm") >= KNOWN * F.col("tn")).alias("known")), ["host", "template"])
     return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when((F.col("purity") >= PURITY) & F.col("known"), "block").otherwise("allow")).alias("verdict"), "template", "purity")
 
 
+#: Segments that the SQL twin unrolls.
+LEVELS = 7
+
+
 def _sql() -> str:
     out = """WITH u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
@@ -104,7 +113,7 @@ v AS (SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AN
 r0 AS (SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS ruled,
     CASE WHEN len(parts) > 6 THEN list_concat(parts[1:6], ['**']) ELSE parts END AS segs, '' AS template,
     CASE WHEN rule IN ('net/', 'example.com/de/') THEN 1 ELSE 0 END AS block, CASE WHEN rule IS NULL THEN 0 ELSE 1 END AS labelled FROM v)"""
-    for d in range(DEPTH + 1):
+    for d in range(LEVELS):
         out += f""",
 a{d} AS (SELECT *, segs[{d + 1}] AS seg FROM r{d}),
 n{d} AS (SELECT host, template, seg, count(*) AS n, sum(block) AS b, sum(labelled) AS m FROM a{d} WHERE seg IS NOT NULL GROUP BY ALL),
@@ -115,9 +124,9 @@ k{d} AS (SELECT host, template, seg, CASE WHEN m < 5 THEN seg
 r{d + 1} AS (SELECT a.page_id, a.host, a.path, a.rule, a.ruled, a.segs, CASE WHEN a.seg IS NULL THEN a.template ELSE a.template || '/' || coalesce(k.token, '*') END AS template, a.block, a.labelled
     FROM a{d} a LEFT JOIN k{d} k ON a.host = k.host AND a.template = k.template AND a.seg = k.seg)"""
     return out + f""",
-s AS (SELECT host, template, (sum(block) + 2.0::DOUBLE) / (sum(labelled) + 4.0::DOUBLE) AS purity FROM r{DEPTH + 1} GROUP BY host, template)
+s AS (SELECT host, template, (sum(block) + 2.0::DOUBLE) / (sum(labelled) + 4.0::DOUBLE) AS purity FROM r{LEVELS} GROUP BY host, template)
 SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.ruled, CASE WHEN s.purity >= 0.9 THEN 'block' ELSE 'allow' END) AS verdict, r.template, s.purity
-FROM r{DEPTH + 1} r JOIN s ON r.host = s.host AND r.template = s.template"""
+FROM r{LEVELS} r JOIN s ON r.host = s.host AND r.template = s.template"""
 
 
 SQL = _sql()
