@@ -88,7 +88,7 @@ def _place(planes: Planes, dtype: str):
             unit = _unit(x.tobytes(), dtype, planes.dim)
             cells, places = planes.cells(unit), np.round((unit @ planes.sort) * STEPS).astype(np.int32)
             ends = pa.array(np.arange(0, cells.size + 1, planes.bands), pa.int32())
-            yield pa.RecordBatch.from_pydict({"cls": batch.column("cls"), "copies": batch.column("copies"), "vector": pa.array([r.tobytes() for r in x], pa.binary()), "cells": pa.ListArray.from_arrays(ends, pa.array(cells.reshape(-1))), "places": pa.ListArray.from_arrays(ends, pa.array(places.reshape(-1)))})
+            yield pa.RecordBatch.from_pydict({"cls": batch.column("cls"), "copies": batch.column("copies"), "vector": pa.array([r.tobytes() for r in x], pa.binary()), "keys": pa.array([r.tobytes() for r in np.concatenate((cells, places), 1)], pa.binary()), "cells": pa.ListArray.from_arrays(ends, pa.array(cells.reshape(-1))), "places": pa.ListArray.from_arrays(ends, pa.array(places.reshape(-1)))})
 
     return run
 
@@ -103,84 +103,97 @@ def _windows(left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarra
     return i, np.arange(start[-1]) - np.repeat(start[:-1] - first, n)
 
 
+GROUP = ["band", "cell", "slab", "one", "two"]
+
+
+def _forest(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Of the edges between a and b those of a spanning forest."""
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := top.setdefault(x, x)) != x:
+            top[x] = top[up]
+            x = up
+        return x
+
+    out = []
+    for x, y in zip(a, b):
+        p, q = find(x), find(y)
+        if p != q:
+            top[q] = p
+            out.append((x, y))
+    return out
+
+
 def _collide(planes: Planes, least: int, cosine: float, dtype: str):
     """Links inside each (band, cell, slab, block pair): partial link counts, and enough edges to connect what is linked.
 
     Rows come sorted by group and by their place on the band's sorted projection. Pairs are those in a
     query's window there; of each the collisions on the counted projections are counted, and pairs
     with enough of them are verified. A pair counts in the first band that brings it together, so
-    that no pair is told twice and none has to be shuffled. Of a group's links a spanning forest goes out.
+    that no pair is told twice and none has to be shuffled. Of the links a spanning forest goes out.
+    The groups that a batch completes are handled at once.
     """
 
-    def group(rows: list[tuple], band: int, same: bool) -> tuple[list, dict]:
-        counts: dict[int, int] = {}
-        edges: list[tuple[int, int]] = []
-        side = np.array([r[1] for r in rows])
-        a = np.arange(len(rows)) if same else np.flatnonzero(side == 0)
-        b = a if same else np.flatnonzero(side == 1)
-        if not len(a) or not len(b):
-            return edges, counts
-        at = np.array([r[5][band] for r in rows], np.int64)
-        i, j = _windows(at[a], at[b], same)
-        i, j = a[i], b[j]
-        unit = _unit(b"".join(r[3] for r in rows), dtype, planes.dim)
-        where = unit @ planes.counted
+    def links(batch: pa.RecordBatch, group: np.ndarray) -> pa.RecordBatch | None:
+        col = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+        same, side = col("one") == col("two"), col("side")
+        # groups are lifted apart, so that one search serves all
+        place = (group.astype(np.int64) << 40) + col("place")
+        whole, left, right = np.flatnonzero(same), np.flatnonzero(~same & (side == 0)), np.flatnonzero(~same & (side == 1))
+        (i, j), (k, m) = _windows(place[whole], place[whole], True), _windows(place[left], place[right], False)
+        i, j = np.concatenate((whole[i], left[k])), np.concatenate((whole[j], right[m]))
+        if not len(i):
+            return None
+        unit = _unit(b"".join(batch.column("vector").to_pylist()), dtype, planes.dim)
+        where = (unit @ planes.counted).T.copy()
         hits = np.zeros(len(i), np.uint8)
-        for k in range(COUNTED):
-            hits += np.abs(where[i, k] - where[j, k]) <= WINDOW
+        for row in where:
+            hits += np.abs(row[i] - row[j]) <= WINDOW
         found = hits >= least
         i, j = i[found], j[found]
         ok = np.einsum("ij,ij->i", unit[i], unit[j]) >= cosine
         i, j = i[ok], j[ok]
-        if band and len(i):
-            cells, places = np.array([r[4] for r in rows], np.int32), np.array([r[5] for r in rows], np.int64)
-            before = (cells[i, :band] == cells[j, :band]) & (np.abs(places[i, :band] - places[j, :band]) <= REACH)
-            i, j = i[~before.any(1)], j[~before.any(1)]
-        top = list(range(len(rows)))
-
-        def find(x: int) -> int:
-            while top[x] != x:
-                top[x] = top[top[x]]
-                x = top[x]
-            return x
-
-        for x, y in zip(i.tolist(), j.tolist()):
-            counts[rows[x][0]] = counts.get(rows[x][0], 0) + rows[y][2]
-            counts[rows[y][0]] = counts.get(rows[y][0], 0) + rows[x][2]
-            p, q = find(x), find(y)
-            if p != q:
-                top[q] = p
-                edges.append((rows[x][0], rows[y][0]))
-        return edges, counts
+        if not len(i):
+            return None
+        keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.int32).reshape(-1, 2, planes.bands).astype(np.int64)
+        met = (keys[i, 0] == keys[j, 0]) & (np.abs(keys[i, 1] - keys[j, 1]) <= REACH) & (np.arange(planes.bands) < col("band")[i][:, None])
+        fresh = ~met.any(1)
+        i, j = i[fresh], j[fresh]
+        cls, copies = col("cls"), col("copies")
+        counts = np.bincount(i, copies[j], len(cls)) + np.bincount(j, copies[i], len(cls))
+        edges = _forest(cls[i].tolist(), cls[j].tolist())
+        some = np.flatnonzero(counts)
+        return pa.RecordBatch.from_pydict({"cls": pa.array([a for a, _ in edges] + cls[some].tolist(), pa.int64()), "to": pa.array([b for _, b in edges] + [None] * len(some), pa.int64()), "links": pa.array([0] * len(edges) + counts[some].astype(np.int64).tolist(), pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
-
-        def done() -> pa.RecordBatch | None:
-            if len(rows) < 2:
-                return None
-            edges, counts = group(rows, now[0], now[3] == now[4])
-            if not counts:
-                return None
-            n = len(edges)
-            ids = [*counts]
-            return pa.RecordBatch.from_pydict({"cls": pa.array([a for a, _ in edges] + ids, pa.int64()), "to": pa.array([b for _, b in edges] + [None] * len(ids), pa.int64()), "links": pa.array([0] * n + [counts[k] for k in ids], pa.int64())})
-
+        rest: pa.RecordBatch | None = None
         for batch in batches:
-            for *key, cls, side, copies, vector, cells, places in zip(*(batch.column(c).to_pylist() for c in ("band", "cell", "slab", "one", "two", "cls", "side", "copies", "vector", "cells", "places"))):
-                if key != now:
-                    out = done()
-                    if out is not None:
-                        yield out
-                    now, rows = key, []
-                rows.append((cls, side, copies, vector, cells, places))
-        out = done()
-        if out is not None:
+            if not batch.num_rows:
+                continue
+            if rest is not None:
+                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            group = _groups(batch)
+            last = int(np.searchsorted(group, group[-1]))
+            rest = batch.slice(last)
+            out = links(batch.slice(0, last), group[:last]) if last else None
+            if out is not None:
+                yield out
+        if rest is not None and (out := links(rest, _groups(rest))) is not None:
             yield out
 
     return run
 
 
+def _groups(batch: pa.RecordBatch) -> np.ndarray:
+    """Number of each row's group, from 0 on."""
+    new = np.zeros(batch.num_rows, bool)
+    for c in GROUP:
+        x = batch.column(c).to_numpy(zero_copy_only=False)
+        new[1:] |= x[1:] != x[:-1]
+    return np.cumsum(new)
+
+
 def _dealt(placed: DataFrame) -> DataFrame:
     """Narrow rows (band, cell, slab, one, two, side, place, cls): who meets whom.
 
@@ -234,10 +247,9 @@ def vector_links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         nested, bands, least = calibrate(n, cosine)
         planes = Planes(dim, nested, bands)
         some = classes.where(F.size("embedding") == dim).select("cls", "copies", "embedding")
-        placed = shelf.put(some.mapInArrow(_place(planes, dtype), "cls long, copies long, vector binary, cells array<int>, places array<int>"), f"placed{dim}")
-        dealt = shelf.put(_dealt(placed), f"dealt{dim}").join(placed, "cls")
-        groups = ["band", "cell", "slab", "one", "two"]
-        dealt = dealt.repartition(spread(spark), *groups).sortWithinPartitions(*groups, "place")
+        placed = shelf.put(some.mapInArrow(_place(planes, dtype), "cls long, copies long, vector binary, keys binary, cells array<int>, places array<int>"), f"placed{dim}")
+        dealt = shelf.put(_dealt(placed), f"dealt{dim}").join(placed.select("cls", "copies", "vector", "keys"), "cls")
+        dealt = dealt.repartition(spread(spark), *GROUP).sortWithinPartitions(*GROUP, "place")
         parts.append(shelf.put(dealt.mapInArrow(_collide(planes, least, cosine, dtype), "cls long, to long, links long"), f"found{dim}"))
         shelf.drop(f"dealt{dim}", f"placed{dim}")
     if not parts:
