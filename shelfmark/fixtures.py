@@ -33,7 +33,14 @@ VIEWS = {
         ELSE concat('{{"code":200,"message":"success","data":{{"is_dir":false,"modified":"2024-01-02T03:04:05Z","name":"', {_FILE}, '","provider":"x","raw_url":"","readme":"","size":', CAST(n_chars AS STRING), ',"type":2}}}}') END AS body FROM documents""",
     "index_pages": f"""SELECT {_DIR} AS path, concat('http://origin.local', {_DIR}, '/') AS url,
         concat('<html><body><a href="../">Up</a><a href="?C=N">Name</a><a href="d', CAST(doc_id AS STRING), '.nfo">a</a><a class="x" href="/other/d', CAST(doc_id AS STRING), '.jpg">b</a><a href="extras', CAST(doc_id % 3 AS STRING), '/">c</a><!-- <a href="hidden.txt">no</a> --><a name="anchor">d</a></body></html>') AS html FROM documents WHERE doc_id % 4 = 0""",
-    "skip_prefixes": "SELECT '/r4/' AS prefix UNION ALL SELECT '/r12/t12/'",
+    "typed_pages": "SELECT page_id, url, html, CASE WHEN page_id % 5 = 0 THEN 'application/json' WHEN page_id % 5 = 1 THEN 'text/html' ELSE 'text/html; charset=utf-8' END AS content_type FROM pages",
+    "mirror_responses": """SELECT concat('m', CAST(user_id % 19 AS STRING)) AS mirror, ts, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status,
+        CASE WHEN user_id % 7 = 0 THEN 'down for maintenance' ELSE '<a href="films/">films</a>' END AS body, CAST(round(value * 1000000) AS BIGINT) AS ns FROM events""",
+    "mirror_ranks": "SELECT concat('m', CAST(r_regionkey AS STRING)) AS mirror, 4 - r_regionkey AS rank FROM region",
+    "mixed_pointers": "SELECT path, CASE WHEN length(path) % 3 = 0 THEN replace(content, 'origin.local', 'other.local') ELSE content END AS content FROM pointer_files",
+    "tree": f"SELECT path FROM remote_manifest UNION SELECT concat('/r', CAST((doc_id - doc_id % 4) % 44 AS STRING)) AS path FROM documents UNION SELECT {_DIR} AS path FROM documents",
+    "target_prefixes": "SELECT concat('/media lib', prefix) AS prefix FROM skip_prefixes",
+    "skip_prefixes":"SELECT '/r4/' AS prefix UNION ALL SELECT '/r12/t12/'",
     "skip_lines": "SELECT CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN ' / ' WHEN 2 THEN concat(' ', source, '/x ') WHEN 3 THEN concat('/', source, '/') ELSE concat('/', source) END AS line FROM documents",
     "selected_roots": "SELECT 'r0' AS root UNION ALL SELECT 'r4' UNION ALL SELECT 'r12'",
     "stored": f"SELECT {_PATH} AS path FROM documents WHERE doc_id % 9 <> 0",

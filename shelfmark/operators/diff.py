@@ -62,10 +62,13 @@ def normalise_roots(roots: list[str]) -> list[str]:
     return [parts[0] for r in roots if (parts := [p for p in r.split("/") if p])]
 
 
-def prune_roots(df: DataFrame, roots: DataFrame | list[str], ignore: bool = False) -> DataFrame:
-    """files under the selected roots, and those directly under `/`. Off by default: the ignored names."""
+def prune_roots(df: DataFrame, roots: DataFrame | list[str], ignore: bool = False, snapshot: bool = False) -> DataFrame:
+    """files under the selected roots, and those directly under `/`. Off by default: the ignored names.
+
+    A snapshot's own `root` column prunes its partitions; any other table's column of that name is left alone.
+    """
     top = F.size(elements(F.col("path"))) <= 1
-    root = F.col("root") if "root" in df.columns else root_of(F.col("path"))
+    root = F.col("root") if snapshot else root_of(F.col("path"))
     if isinstance(roots, list):
         kept = df.where(top | root.isin(normalise_roots(roots)))
     else:

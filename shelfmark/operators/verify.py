@@ -23,13 +23,15 @@ def split_pointers(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 def exempt_by_prefix(df: DataFrame, column: str, prefixes: DataFrame, strategy: str = "auto") -> DataFrame:
     """Rows whose path stands under none of the prefixes (which end in a slash).
 
-    `broadcast` compares every row with every prefix, which only a short list allows; `ancestors`
-    joins on each path's ancestors and holds for any number. `auto` looks at the list's length.
+    `broadcast` compares every row with every prefix, which only a short list allows, so that a longer
+    one is refused; `ancestors` joins on each path's ancestors and holds for any number. `auto` looks at
+    the list's length.
     """
-    if strategy == "auto":
-        strategy = "broadcast" if len(prefixes.limit(FEW_PREFIXES + 1).collect()) <= FEW_PREFIXES else "ancestors"
+    few = strategy != "ancestors" and len(prefixes.limit(FEW_PREFIXES + 1).collect()) <= FEW_PREFIXES
+    if strategy == "broadcast" and not few:
+        raise ValueError(f"more than {FEW_PREFIXES} prefixes are not broadcast")
     names = prefixes.select(F.col("prefix").alias("_prefix")).distinct()
-    if strategy == "broadcast":
+    if few:
         return df.join(F.broadcast(names), F.startswith(df[column], F.col("_prefix")), "left_anti")
     under = df.select(F.col(column).alias("_key")).distinct().select("_key", F.explode(ancestors(F.col("_key"))).alias("_prefix"))
     hit = under.join(names, "_prefix", "left_semi").select("_key").distinct()
@@ -89,10 +91,19 @@ def totals(states: DataFrame, pointers: DataFrame, purge: bool = True) -> DataFr
 
 
 def walk_order(df: DataFrame, under: str = "/", keep: Column | None = None) -> DataFrame:
-    """Pre-order walk of the tree under a path; `keep` prunes what a visitor would skip."""
+    """Pre-order walk of the tree under a path; where `keep` is not true, a visitor skips the entry and all
+    that stands below it."""
+    return _walked(df, under, keep).orderBy(walk_key(F.col("path")))
+
+
+def _walked(df: DataFrame, under: str, keep: Column | None) -> DataFrame:
     stem = under.rstrip("/")
     rows = df.where((F.col("path") == (stem or "/")) | F.col("path").startswith(stem + "/"))
-    return (rows if keep is None else rows.where(keep)).orderBy(walk_key(F.col("path")))
+    if keep is None:
+        return rows
+    stays = F.coalesce(keep, F.lit(False))
+    skipped = rows.where(~stays).select(F.concat(F.when(F.col("path") != "/", F.col("path")).otherwise(""), F.lit("/")).alias("prefix"))
+    return exempt_by_prefix(rows.where(stays), "path", skipped, "ancestors")
 
 
 def walk_positions(df: DataFrame, under: str = "/", keep: Column | None = None) -> DataFrame:
@@ -103,7 +114,7 @@ def walk_positions(df: DataFrame, under: str = "/", keep: Column | None = None)
     """
     key = walk_key(F.col("path"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = walk_order(df, under, keep).withColumn("_key", key).repartitionByRange(parts, "_key").withColumn("_range", F.spark_partition_id())
+    rows = _walked(df, under, keep).withColumn("_key", key).repartitionByRange(parts, "_key").withColumn("_range", F.spark_partition_id())
     rows = settle(rows, "walk")
     first = rows.groupBy("_range").agg(F.count("*").alias("_n"))
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import ext
 from ..operators import diff, finalise, verify
+from ..sources import captured
 
 
 @dataclass
@@ -55,6 +56,11 @@ def preserve_plan(files: DataFrame, content: DataFrame, dirs: DataFrame, entries
     return diff.preserve(files, drop).select("path"), verify.valid_dirs(states, scan_dir=cfg.media_dir)
 
 
+def preserve_from_pages(files: DataFrame, content: DataFrame, pages: DataFrame, cfg: Config, **skips: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """E2 straight from the catalog's captured pages: a pointer whose directory was listed in part is unverifiable, not absent."""
+    return preserve_plan(files, content, captured.listing_status(pages), captured.catalog_entries(pages), cfg, **skips)
+
+
 def update_plan(preserve: DataFrame, remote: DataFrame, target: DataFrame) -> DataFrame:
     """(path, action): delete, pointer, new or changed."""
     known = diff.with_remote(preserve, remote)

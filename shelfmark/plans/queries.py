@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..fixtures import load, with_views
@@ -9,7 +11,7 @@ from ..functions import http, paths, urls
 from ..operators import diff, finalise, mirrors, verify
 from ..sources import captured
 from ..sources.shared_dir import scratch
-from ..sources.tables import read_manifest
+from ..sources.tables import read_manifest, read_pointers, read_skip_list, stored_files, write_files
 from ..streaming import jobs as streams
 from . import jobs
 
@@ -166,6 +168,122 @@ def targets_by_dir(pointers, dirs, entries):
     return found.select("dir", F.array_join(F.transform(F.map_entries("targets"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("targets"))
 
 
+_OWN = "replace(replace(rtrim(content, chr(10)), '%20', ' '), 'http://origin.local:5678/d', '')"
+_SPLIT = "regexp_extract(target, '^(.*)/[^/]*$', 1) AS dir, regexp_extract(target, '([^/]*)$', 1) AS name"
+#: States of pointers by the captured pages of the catalog.
+_CAPTURED = f"""listings AS (SELECT dir, CASE WHEN NOT bool_and(json_type(body, '$.data') = 'OBJECT') THEN 404
+    WHEN coalesce(sum(json_array_length(body, '$.data.content')), 0) < max(CAST(body->>'$.data.total' AS INTEGER)) THEN 206 ELSE max(CAST(body->>'$.code' AS INTEGER)) END AS code FROM catalog_pages GROUP BY dir),
+listed AS (SELECT DISTINCT dir, e->>'$.name' AS name FROM (SELECT dir, unnest(CAST(json_extract(body, '$.data.content[*]') AS JSON[])) AS e FROM catalog_pages)),
+targets AS (SELECT path, {_OWN} AS target FROM pointer_files), parts AS (SELECT path, {_SPLIT} FROM targets),
+states AS (SELECT p.path, CASE WHEN l.code IS NULL OR l.code <> 200 THEN 'unverifiable' WHEN e.name IS NOT NULL THEN 'present' ELSE 'absent' END AS state
+    FROM parts p LEFT JOIN listings l ON p.dir = l.dir LEFT JOIN listed e ON p.dir = e.dir AND p.name = e.name)"""
+
+
+@query("captured_states", ("pointer_files", "catalog_pages"), _with(_CAPTURED) + " SELECT * FROM states")
+def captured_states(pointers, pages):
+    """A9 in J5: a pointer into a directory that was listed in part is unverifiable."""
+    return verify.verify_pointers(verify.pointer_targets(pointers, CFG.endpoint), captured.listing_status(pages), captured.catalog_entries(pages))
+
+
+@query("captured_preserve_set", ("remote_manifest", "pointer_files", "catalog_pages"), _with(_CAPTURED) + " SELECT path FROM remote_manifest WHERE path NOT IN (SELECT path FROM states WHERE state = 'absent')")
+def captured_preserve_set(remote, pointers, pages):
+    """E2 from captured pages, where what can't be verified is kept."""
+    return jobs.preserve_from_pages(remote, pointers, pages, replace(CFG, keep_unverifiable=True))[0]
+
+
+@query("preserve_set_target_skips", ("remote_manifest", *_VERIFIED, "skip_prefixes", "target_prefixes"), _with(_TARGETS) + """ SELECT path FROM remote_manifest WHERE path NOT IN (SELECT s.path FROM states s JOIN parts p ON s.path = p.path
+WHERE s.state <> 'present' AND NOT EXISTS (SELECT 1 FROM target_prefixes t WHERE starts_with(p.target, t.prefix)))""")
+def preserve_set_target_skips(remote, pointers, dirs, entries, _, skips):
+    """pointers whose target stands under a skipped prefix are never dropped."""
+    return jobs.preserve_plan(remote, pointers, dirs, entries, CFG, target_skips=skips)[0]
+
+
+@query("pointer_targets_of_endpoint", ("pointer_files", "mixed_pointers"), f", targets AS (SELECT path, {_OWN} AS target FROM mixed_pointers WHERE starts_with(content, 'http://origin.local:5678')) SELECT path, target, {_SPLIT} FROM targets")
+def pointer_targets_of_endpoint(_, pointers):
+    """pointers to other endpoints have no target."""
+    return verify.pointer_targets(pointers, CFG.endpoint)
+
+
+@query("walk_order_pruned", ("remote_manifest", "tree"), """SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) AS position FROM tree
+WHERE NOT (path IN ('/r8', '/r12/t12') OR starts_with(path, '/r8/') OR starts_with(path, '/r12/t12/'))""")
+def walk_order_pruned(_, tree):
+    """A directory that the visitor skips is left out with all below it."""
+    return verify.walk_positions(tree, keep=~F.col("path").isin("/r8", "/r12/t12")).select("path", "position")
+
+
+@query("selected_root_paths", ("remote_manifest",), "SELECT * FROM remote_manifest WHERE split_part(path, '/', 2) IN ('r0', 'r4', 'r12')")
+def selected_root_paths(remote):
+    """roots given as paths."""
+    return diff.prune_roots(remote, ["/r0/t0/", "r4", "//r12", "/", ""])
+
+
+@query("typed_index_links", ("typed_pages",), r""", a AS (SELECT page_id, content_type, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS page, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>', '', 'g'), '(?is)<a\s[^>]*?href\s*=\s*"([^"]*)"', 1)) AS href FROM typed_pages WHERE starts_with(content_type, 'text/html')),
+b AS (SELECT page_id, content_type, CASE WHEN rtrim(page, '/') = '' THEN '/' ELSE rtrim(page, '/') END AS base, regexp_extract(href, '^([^?#]*)', 1) AS written FROM a),
+c AS (SELECT *, CASE WHEN rtrim(written, '/') = '' THEN '/' ELSE rtrim(written, '/') END AS target FROM b)
+SELECT page_id, content_type, CASE WHEN base = '/' THEN '' ELSE base END || '/' || regexp_extract(target, '([^/]*)$', 1) AS path, regexp_extract(target, '([^/]*)$', 1) AS name, ends_with(written, '/') AS is_dir
+FROM c WHERE NOT (target = base OR target = '/' OR starts_with(base, target || '/'))""")
+def typed_index_links(pages):
+    """F8: listings that aren't HTML are empty."""
+    return captured.extract_links(pages).drop("url")
+
+
+@query("link_kinds", ("index_pages",), r""", a AS (SELECT path, unnest(regexp_extract_all(html, '<a\s[^>]*?href="([^"]*)"', 1)) AS written FROM index_pages)
+SELECT path, written, CASE WHEN ends_with(written, '/') THEN 'dir' WHEN regexp_extract(written, '([^/]*)$', 1) NOT IN ('.', '..') THEN 'file' END AS kind FROM a""")
+def link_kinds(pages):
+    """P4 of all links of the pages, as they are written."""
+    found = pages.select("path", F.explode(F.regexp_extract_all("html", F.lit(r'<a\s[^>]*?href="([^"]*)"'), F.lit(1))).alias("written"))
+    return found.select("path", "written", urls.link_kind(F.col("written")).alias("kind"))
+
+
+@query("listing_lines_of_responses", ("header_responses",), "SELECT CASE WHEN starts_with(content_type, 'text/html') THEN 'drwxr-xr-x' ELSE '-rw-r--r--' END || chr(9) || path AS line FROM header_responses")
+def listing_lines_of_responses(responses):
+    """P18 of files and directories."""
+    return http.listing_line(captured.files_from_headers(responses))
+
+
+@query("stored_pointer_files", ("pointer_files",), "SELECT path, content FROM pointer_files")
+def stored_pointer_files(pointers):
+    """Pointers written as files and read back."""
+    return read_pointers(pointers.sparkSession, _stored(pointers))
+
+
+@query("stored_file_lengths", ("pointer_files",), "SELECT path, CAST(octet_length(encode(content)) AS BIGINT) AS length FROM pointer_files")
+def stored_file_lengths(pointers):
+    """Paths and lengths of stored files."""
+    return stored_files(pointers.sparkSession, _stored(pointers))
+
+
+def _stored(pointers):
+    """A folder with each pointer as a file."""
+    base = scratch(pointers.sparkSession, "pointers")
+    written = write_files(pointers.select(F.col("path").alias("target"), "content"), base)
+    written.agg(F.sum("length")).collect()  # one number: the files are there
+    return base
+
+
+@query("skip_list_file", ("skip_lines",), "SELECT DISTINCT '/' || trim(trim(line), '/') || '/' AS prefix FROM skip_lines WHERE trim(line) NOT IN ('', '/')")
+def skip_list_file(lines):
+    """The skip list as a text file."""
+    path = scratch(lines.sparkSession, "skip-list")
+    lines.select("line").write.text(path)
+    return read_skip_list(lines.sparkSession, path)
+
+
+@query("valid_dirs_report_file", _VERIFIED, _with(_TARGETS) + f" SELECT split_part(path, '/', 2) AS root, count(DISTINCT {_DIRNAME}) AS n FROM states WHERE state = 'present' GROUP BY 1")
+def valid_dirs_report_file(*frames):
+    """K5: the report as JSON lines."""
+    found = verify.valid_dirs(_states(*frames))
+    path = scratch(found.sparkSession, "report")
+    finalise.write_report(found, path)
+    return found.sparkSession.read.schema("root string, n long").json(path)
+
+
+@query("failover_by_ranks", ("mirror_attempts", "mirror_ranks"), "SELECT a.path, min_by(a.mirror, r.rank) FILTER (WHERE a.status = 200) AS mirror FROM mirror_attempts a JOIN mirror_ranks r ON a.mirror = r.mirror GROUP BY a.path")
+def failover_by_ranks(attempts, ranks):
+    """J10 with ranks from a ranking of their own."""
+    return mirrors.first_success(attempts, ranks)
+
+
 _HEALTH = """SELECT mirror, CAST(sum(ns) FILTER (WHERE ok) // count(*) FILTER (WHERE ok) AS BIGINT) AS avg_ns FROM (SELECT *, row_number() OVER (PARTITION BY mirror ORDER BY ts DESC, ns DESC, ok DESC) AS k FROM mirror_probes) WHERE k <= 5 GROUP BY mirror HAVING count(*) FILTER (WHERE ok) >= 4"""
 
 
@@ -176,13 +294,22 @@ def mirror_ranking(probes):
     return mirrors.mirror_health(probes).select("mirror", "avg_ns", F.row_number().over(Window.orderBy("avg_ns", "mirror")).cast("long").alias("rank"))
 
 
+@query("mirror_health_of_responses", ("mirror_responses",), f""", mirror_probes AS (SELECT mirror, ts, status = 200 AND contains(body, 'films/') AS ok, ns FROM mirror_responses) {_HEALTH}""")
+def mirror_health_of_responses(responses):
+    """F10 in A1: what a probe answers decides whether it counts."""
+    return mirrors.mirror_health(mirrors.probes_of(responses, "films/"))
+
+
 @query("best_mirrors", ("mirror_probes",), f"SELECT mirror, avg_ns FROM ({_HEALTH}) ORDER BY avg_ns, mirror LIMIT 3")
 def best_mirrors(probes):
     return mirrors.rank_mirrors(mirrors.mirror_health(probes), 3)
 
 
-@query("mirror_health_window", ("mirror_probes",), """SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start, mirror, count(*) AS n, count(*) FILTER (WHERE ok) AS ok_count,
-CAST(sum(ns) FILTER (WHERE ok) // count(*) FILTER (WHERE ok) AS BIGINT) AS avg_ns FROM mirror_probes GROUP BY 1, 2 HAVING count(*) FILTER (WHERE ok) >= 4 AND count(*) FILTER (WHERE ok) >= 0.8 * count(*)""")
+_HEALTH_BY_DAY = """SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start, mirror, count(*) AS n, count(*) FILTER (WHERE ok) AS ok_count,
+CAST(sum(ns) FILTER (WHERE ok) // count(*) FILTER (WHERE ok) AS BIGINT) AS avg_ns FROM mirror_probes GROUP BY 1, 2 HAVING count(*) FILTER (WHERE ok) >= 4 AND count(*) FILTER (WHERE ok) >= 0.8 * count(*)"""
+
+
+@query("mirror_health_window", ("mirror_probes",), _HEALTH_BY_DAY)
 def mirror_health_window(probes):
     return mirrors.health_by_window(probes, "1 day").withColumn("start", F.unix_timestamp("start"))
 
@@ -412,3 +539,9 @@ def stream_mirror_health(probes):
     publish = lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
     _arrive(_by_time(probes), lambda arrived: streams.stream_mirror_health(arrived, publish, notes, "1 day"))
     return spark.read.schema("start timestamp, mirror string, n long, ok_count long, avg_ns long").parquet(out)
+
+
+@query("stream_mirror_health_epochs", ("mirror_probes",), _HEALTH_BY_DAY)
+def stream_mirror_health_epochs(probes):
+    """T1 with the windows' starts in seconds, as mirror_health_window gives them."""
+    return stream_mirror_health(probes).select(F.unix_timestamp("start").alias("start"), "mirror", "n", "ok_count", "avg_ns")

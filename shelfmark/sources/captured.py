@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.http import content_length, http_date_epoch, media_type
 from ..functions.paths import basename, clean_path
-from ..functions.urls import decode_uri_path, link_path, resolve_link, url_path
+from ..functions.urls import decode_uri_path, link_kind, link_path, resolve_link, url_path
 from ..schemas import GET_RESPONSE, LIST_RESPONSE
 
 _SILENT = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
@@ -22,10 +22,14 @@ def extract_links(pages: DataFrame, same_host_only: bool = False) -> DataFrame:
     """Pages (url, html, any more) -> their columns but html, and path, name, is_dir of each child link.
 
     Links to the page itself or above it are no children. As in the original, whatever else a link
-    leads to becomes a direct child by its last element (unless same_host_only).
+    leads to becomes a direct child by its last element (unless same_host_only). Pages that come with a
+    content_type are listings only if that is HTML. The pages' other columns keep any name.
     """
+    if "content_type" in pages.columns:
+        pages = only_html(pages)
+    keep = [c for c in pages.columns if c not in ("html", "path", "name", "is_dir")]
     found = F.regexp_extract_all(F.regexp_replace("html", _SILENT, ""), F.lit(_ANCHOR), F.lit(1))
-    rows = pages.withColumn("href", F.explode(found)).drop("html")
+    rows = pages.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), "url", F.explode(found).alias("href"))
     href = F.regexp_replace("href", r"""^["']|["']\z""", "")
     for a, b in _ENTITIES.items():
         href = F.replace(href, F.lit(a), F.lit(b))
@@ -34,13 +38,12 @@ def extract_links(pages: DataFrame, same_host_only: bool = False) -> DataFrame:
     if same_host_only:
         host = r"(?i)^https?://([^/?#]+)"
         rows = rows.where(~F.col("href").rlike(host) | (F.regexp_extract("href", host, 1) == F.regexp_extract("url", host, 1)))
-    rows = rows.withColumn("written", link_path(page, F.col("href"))).where("written IS NOT NULL")
+    rows = rows.withColumn("written", link_path(page, F.col("href"))).withColumn("kind", link_kind(F.col("written"))).where("kind IS NOT NULL")
     rows = rows.withColumn("base", clean_path(decode_uri_path(page))).withColumn("target", resolve_link(page, F.col("href")))
     above = (F.col("target") == F.col("base")) | (F.col("target") == "/") | F.startswith("base", F.concat("target", F.lit("/")))
     rows = rows.where(~above).withColumn("name", basename(F.col("target")))
     child = F.concat(F.when(F.col("base") == "/", "").otherwise(F.col("base")), F.lit("/"), "name")
-    keep = [c for c in pages.columns if c not in ("html", "path", "name", "is_dir")]
-    return rows.select(*keep, child.alias("path"), "name", F.endswith("written", F.lit("/")).alias("is_dir"))
+    return rows.select("row.*", child.alias("path"), "name", (F.col("kind") == "dir").alias("is_dir"))
 
 
 def drop_html(responses: DataFrame) -> DataFrame:
@@ -82,6 +85,18 @@ def catalog_dirs(pages: DataFrame) -> DataFrame:
     return rows.select("dir", F.when(F.col("listed"), F.col("code")).otherwise(404).alias("code"))
 
 
+def listing_status(pages: DataFrame) -> DataFrame:
+    """A9 for J5: status of each directory as catalog_dirs gives it, but 206 if rows that its listing announces are
+    missing: what isn't in an incomplete listing can't be called absent."""
+    rows = _parsed(pages).groupBy("dir").agg(
+        F.bool_and(F.col("r.data").isNotNull()).alias("listed"),
+        F.max("r.code").alias("code"),
+        F.coalesce(F.sum(F.size("r.data.content")), F.lit(0)).alias("n"),
+        F.max_by("r.data.total", "page").alias("total"),
+    )
+    return rows.select("dir", F.when(~F.col("listed"), 404).when(F.col("n") < F.col("total"), 206).otherwise(F.col("code")).alias("code"))
+
+
 def catalog_stat(responses: DataFrame) -> DataFrame:
     """(path, body) -> the entry and its state."""
     rows = responses.withColumn("r", F.from_json("body", GET_RESPONSE))

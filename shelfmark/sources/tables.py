@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +69,27 @@ def read_pointers(spark: SparkSession, base: str) -> DataFrame:
     return _relative(files, base).select("path", F.col("value").alias("content"))
 
 
+def write_files(files: DataFrame, base: str) -> DataFrame:
+    """K3: write each row (target, content) as a file of its own below a folder that all executors see; (target, length).
+
+    Nothing is written before an action on the result. A task that runs again writes the same files anew.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(base)
+        for batch in batches:
+            sizes = []
+            for target, content in zip(batch.column("target").to_pylist(), batch.column("content").to_pylist()):
+                data = content.encode()
+                store.create_dir(f"{root}{target.rpartition('/')[0]}", recursive=True)
+                with store.open_output_stream(f"{root}{target}") as out:
+                    out.write(data)
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_pydict({"target": batch.column("target"), "length": pa.array(sizes, pa.int64())})
+
+    return files.where("content IS NOT NULL").select("target", "content").mapInArrow(run, "target string, length long")
+
+
 def read_skip_list(spark: SparkSession, file: str) -> DataFrame:
     """(prefix) of the lines that name one."""
     return spark.read.text(file).select(normalise_prefix(F.col("value")).alias("prefix")).where("prefix IS NOT NULL").distinct()
