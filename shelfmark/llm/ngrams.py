@@ -20,8 +20,9 @@ SIMILAR, PARTS = 80, 100
 #: Cells (a power of two) of the table of shingle frequencies, in slices that are summed apart. Four bytes a cell
 #: go to every task; more cells tell rare shingles apart in corpora of far more than a million documents.
 CELL_BITS, SLICES = 20, 16
-#: Ranges of the shingle order whose counts the suffix filter compares.
-RANGES = 128
+#: Ranges of the shingle order whose counts the suffix filter compares, at least, and shingles of a range on average,
+#: at most: long documents have as many more ranges.
+RANGES, IN_RANGE = 128, 4
 #: Rounds in which every class is verified with the nearest of other components, before all remaining pairs are.
 ROUNDS = 2
 #: Classes of a block: the classes of a shingle that more share are dealt out as pairs of blocks.
@@ -103,7 +104,40 @@ def frequency_table(docs: DataFrame, like: Likeness) -> np.ndarray:
 
 
 def _ranges(found: np.ndarray) -> bytes:
-    return np.minimum(np.bincount(found >> np.uint64(57), minlength=RANGES), 255).astype(np.uint8).tobytes()
+    """Counts by range, a byte each; none where a byte doesn't hold them, which the filter lets pass."""
+    bits = RANGES.bit_length() - 1
+    while len(found) > IN_RANGE << bits:
+        bits += 1
+    counts = np.bincount(found >> np.uint64(64 - bits), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+class _Counts:
+    """Counts by range of some sets: by how much two sets differ in sum, over the ranges of the one that has fewer."""
+
+    def __init__(self, ranges: list[bytes]):
+        self.ranges = ranges
+        self.width = np.array([len(r) for r in ranges])
+        self.folded: dict[int, np.ndarray] = {}
+
+    def at(self, width: int) -> np.ndarray:
+        """Counts of all sets with at least so many ranges, in that many; 0 for others."""
+        if width not in self.folded:
+            out = self.folded[width] = np.zeros((len(self.ranges), width), np.int32)
+            for own in {int(w) for w in self.width if w >= width}:
+                rows = np.flatnonzero(self.width == own)
+                counts = np.frombuffer(b"".join(self.ranges[k] for k in rows.tolist()), np.uint8)
+                out[rows] = counts.reshape(len(rows), width, own // width).sum(2)
+        return self.folded[width]
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Of pairs of sets; 0 where one has no counts."""
+        out = np.zeros(len(j), np.int64)
+        widths = np.minimum(self.width[i], self.width[j])
+        for width in {int(w) for w in widths if w}:
+            counts, some = self.at(width), np.flatnonzero(widths == width)
+            out[some] = np.abs(counts[j[some]] - counts[i[some]]).sum(1)
+        return out
 
 
 def _prefixes(table, like: Likeness, bits: int):
@@ -162,8 +196,8 @@ def _suffix_ok(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa
     """Suffix filter: the sets' counts in ranges of the order differ in sum by no more than a linked pair's sets can."""
     for batch in batches:
         if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, RANGES).astype(np.int32) for c in ("ra", "rb"))
-            apart = np.abs(a - b).sum(1)
+            n = np.arange(batch.num_rows)
+            apart = _Counts([*batch.column("ra").to_pylist(), *batch.column("rb").to_pylist()]).apart(n, n + len(n))
             sizes = np.asarray(batch.column("na")) + np.asarray(batch.column("nb"))
             yield batch.select(["a", "b"]).filter(pa.array(like.ranges_fit(apart, sizes)))
 
@@ -217,14 +251,19 @@ def _feasible(rows: list[tuple], same: bool, like: Likeness) -> Iterator[tuple[i
                 yield i, j
 
 
-def _live(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
-    """The (gram, cls) that have any partner under the length and positional filters."""
+def _live(batches: Iterator[pa.RecordBatch], like: Likeness, suffix: bool) -> Iterator[pa.RecordBatch]:
+    """The (gram, cls) that have any partner under the length and positional filters, and the suffix filter if asked."""
     grams, classes = [], []
-    for (gram, one, two), rows in _grouped(batches, ("side", "root", "n", "pos", "cls")):
+    for (gram, one, two), rows in _grouped(batches, ("side", "root", "n", "pos", "cls", *(["ranges"] if suffix else []))):
+        counts = _Counts([r[5] for r in rows]) if suffix else None
+        sizes = np.array([r[2] for r in rows])
         alive: set[int] = set()
         for i, j in _feasible(rows, one == two, like):
-            alive.add(i)
-            alive.update(j.tolist())
+            if counts is not None:
+                j = j[like.ranges_fit(counts.apart(np.full(len(j), i), j), sizes[j] + sizes[i])]
+            if len(j):
+                alive.add(i)
+                alive.update(j.tolist())
         grams += [gram] * len(alive)
         classes += [rows[i][4] for i in alive]
         if len(grams) > 50_000:
@@ -241,9 +280,9 @@ def _meet(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.Reco
     a, b = [], []
     for (gram, one, two), rows in _grouped(batches, ("side", "root", "n", "pos", "cls", "own", "ranges")):
         owns = [dict.fromkeys(r[5]) for r in rows]
-        counts = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(-1, RANGES).astype(np.int32)
+        counts = _Counts([r[6] for r in rows])
         for i, j in _feasible(rows, one == two, like):
-            apart = np.abs(counts[j] - counts[i]).sum(1)
+            apart = counts.apart(np.full(len(j), i), j)
             sizes = np.array([rows[k][2] for k in j.tolist()]) + rows[i][2]
             for k in j[like.ranges_fit(apart, sizes)].tolist():
                 if next((g for g in owns[i] if g in owns[k]), gram) == gram:
@@ -260,7 +299,7 @@ def _near(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.Reco
     range differ least, but for those with which it is known not to link."""
     found: tuple[list, list, list] = [], [], []
     for (_, one, two), rows in _grouped(batches, ("side", "root", "n", "pos", "cls", "ranges", "failed")):
-        counts = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(-1, RANGES).astype(np.int32)
+        counts = _Counts([r[5] for r in rows])
         sizes = np.array([r[2] for r in rows])
         at = {r[4]: k for k, r in enumerate(rows)}
         failed: dict[int, set[int]] = {}
@@ -273,7 +312,7 @@ def _near(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.Reco
         for i, j in _feasible(rows, one == two, like):
             if i in failed:
                 j = j[~np.isin(j, [*failed[i]])]
-            apart = np.abs(counts[j] - counts[i]).sum(1)
+            apart = counts.apart(np.full(len(j), i), j)
             fits = like.ranges_fit(apart, sizes[j] + sizes[i])
             j, apart = j[fits], apart[fits]
             for k, to, d in ((j, i, apart), (i, j[apart.argmin()], apart.min())) if len(j) else ():
@@ -364,19 +403,25 @@ class _Join:
 
     def verify(self, pairs: DataFrame, name: str) -> DataFrame:
         """Of the pairs (a, b) of classes, whose sets were fetched, those that link, by both whole sets."""
-        one = self.sets.groupBy("cls").agg(F.first("members").alias("members"))
+        wanted = self.shelf.put(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), f"{name}-wanted")
+        one = self.sets.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("members").alias("members"))
         whole = pairs.join(_side(one, "a", sa="members"), "a").join(_side(one, "b", sb="members"), "b")
         like = self.like
         return self.shelf.put(whole.select("a", "b", "sa", "sb").mapInArrow(lambda batches: _linked(batches, like), "a long, b long"), f"{name}-links")
 
     def with_partner(self, rest: DataFrame, name: str) -> DataFrame:
-        """Rows of `rest` with a partner under the length and positional filters; a pass with narrow rows.
+        """Rows of `rest` with a partner: a pass with narrow rows for the length and positional filters, then one for
+        the suffix filter, too, with what is left.
 
         Components only grow, so what has no partner in another one now has none later either.
         """
         like = self.like
-        live = _dealt(rest).mapInArrow(lambda batches: _live(batches, like), "gram long, cls long").distinct()
-        return self.shelf.put(rest.join(live, ["gram", "cls"], "left_semi"), f"{name}-live")
+        for suffix in (False, True):
+            rows = rest.join(self.classes.select("cls", "ranges"), "cls") if suffix else rest
+            live = _dealt(rows).mapInArrow(lambda batches, suffix=suffix: _live(batches, like, suffix), "gram long, cls long").distinct()
+            rest = self.shelf.put(rest.join(live, ["gram", "cls"], "left_semi"), f"{name}-{'alike' if suffix else 'live'}")
+        self.shelf.drop(f"{name}-live")
+        return rest
 
     def unconnected(self, grams: DataFrame, root: DataFrame, name: str) -> DataFrame:
         """Rows (gram, cls, n, pos) of the shingles whose classes stand in more than one component, with their component."""

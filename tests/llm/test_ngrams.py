@@ -89,3 +89,19 @@ def test_failed_pairs_are_not_verified_again(spark, monkeypatch):
 def test_whole_hashes_are_compared():
     a = np.arange(1000, dtype=np.uint64) << np.uint64(3)
     assert ngrams.set_names(a) != ngrams.set_names(a + np.uint64(1)) and ngrams.set_names(a)[0] >> 60 == ngrams.set_names(a, 4)[0]
+
+
+def test_the_suffix_filter_never_exceeds_the_true_difference():
+    rng = np.random.default_rng(17)
+    base = np.unique(rng.integers(0, 1 << 64, 9000, dtype=np.uint64, endpoint=False))
+    sets = [base[:k] if k < 1000 else np.sort(rng.permutation(base)[:k]) for k in (1, 5, 400, 700, 1100, 2000, 4000, 5000, 9000)]
+    sets.append(np.arange(2000, dtype=np.uint64))  # all in one range
+    counts = ngrams._Counts([ngrams._ranges(np.sort(x)) for x in sets])
+    assert counts.width[-1] == 0 and counts.width[0] == ngrams.RANGES < counts.width[5] < counts.width[8]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(len(sets))]
+    i, j = np.array(pairs).T
+    true = [len(np.setxor1d(sets[a], sets[b])) for a, b in pairs]
+    apart = counts.apart(i, j)
+    assert (apart <= true).all() and all(apart[k] == 0 for k, (a, b) in enumerate(pairs) if a == b)
+    fresh = ngrams._Counts([ngrams._ranges(np.sort(rng.integers(0, 1 << 64, 8000, dtype=np.uint64))) for _ in range(2)])
+    assert not ngrams.Likeness().ranges_fit(fresh.apart(np.array([0]), np.array([1]))[0], 16000)
