@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, id_planes, language, licenses, media, mixing, ngrams, pii, tokens, urls, vectors
+from . import bpe, id_planes, language, licenses, media, mixing, ngrams, pii, runs, tokens, urls, vectors
 from .shared import settle
 
 
@@ -70,8 +70,12 @@ def op11_token_id_files(spark, sf_dir):
     return id_planes.token_files(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op12_periodic_runs(spark, sf_dir):
+    return runs.periodic_runs(_table(spark, sf_dir, "documents"), plant=True)
+
+
 def queries():
-    found = (op1_ngram_jaccard_join, op2_embedding_near_dedup, op3_url_filters, op4_media_columns, op5_language_id, op6_license_scans, op7_token_counts, op8_pii, op9_byte_bpe, op10_mixing, op11_token_id_files)
+    found = (op1_ngram_jaccard_join, op2_embedding_near_dedup, op3_url_filters, op4_media_columns, op5_language_id, op6_license_scans, op7_token_counts, op8_pii, op9_byte_bpe, op10_mixing, op11_token_id_files, op12_periodic_runs)
     return {f.__name__: f for f in found}
 
 
