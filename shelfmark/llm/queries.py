@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, id_planes, language, licenses, media, mixing, ngrams, pii, runs, tokens, urls, vectors
+from . import bpe, id_planes, language, licenses, media, mixing, ngrams, pii, prefix_trie, runs, tokens, urls, vectors
 from .shared import settle
 
 
@@ -74,8 +74,12 @@ def op12_periodic_runs(spark, sf_dir):
     return runs.periodic_runs(_table(spark, sf_dir, "documents"), plant=True)
 
 
+def op13_prefix_trie(spark, sf_dir):
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def queries():
-    found = (op1_ngram_jaccard_join, op2_embedding_near_dedup, op3_url_filters, op4_media_columns, op5_language_id, op6_license_scans, op7_token_counts, op8_pii, op9_byte_bpe, op10_mixing, op11_token_id_files, op12_periodic_runs)
+    found = (op1_ngram_jaccard_join, op2_embedding_near_dedup, op3_url_filters, op4_media_columns, op5_language_id, op6_license_scans, op7_token_counts, op8_pii, op9_byte_bpe, op10_mixing, op11_token_id_files, op12_periodic_runs, op13_prefix_trie)
     return {f.__name__: f for f in found}
 
 
