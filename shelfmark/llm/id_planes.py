@@ -32,7 +32,7 @@ STRETCH, TOGETHER = 1 << 20, 4 << 20
 #: Units that a worker remembers with their ids before it starts anew, and the longest that it remembers.
 KNOWN_UNITS, KNOWN_CHARS = 1 << 19, 64
 BLOCKS = "part int, seq long, file string, block long, n_ids long"
-DOCS = "part int, seq long, doc_id long, first long, n_tokens long, ids_crc32 long"
+DOCS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 #: Where units begin (see tokens.check), and white space with a blank behind it; a text without one is cut at each blank.
 _PLACES = re.compile(tokens._STABLE.pattern.replace("[ ", "(?=[ ") + ")")
 _UNSTABLE = re.compile(r"[\s\x1c-\x1f\x85\u200b\ufeff] ")
@@ -319,27 +319,26 @@ def write_ids(docs: DataFrame, path: str, folder: str, planes: str = PLANES, end
 
 
 def read_blocks(blocks: DataFrame, folder: str) -> DataFrame:
-    """(part, seq, doc_id, first, n_tokens, ids_crc32) of the documents in blocks (part, seq, file, block), read from
-    the files; first counts within the file's block."""
+    """(doc_id, start, n_tokens, ids_crc32) of the documents in blocks (file, block, before), read from the files;
+    before says how many ids stand before a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = file_system(folder)
         name = file = reader = None
         for batch in batches:
-            for part, seq, at, block in zip(*(batch.column(c).to_pylist() for c in ("part", "seq", "file", "block"))):
+            for at, block, before in zip(*(batch.column(c).to_pylist() for c in ("file", "block", "before"))):
                 if at != name:
                     if file is not None:
                         file.close()
                     name, file = at, fs.open_input_file(f"{root}/{at}")
                     reader = Reader(file)
-                begin = reader.blocks[block][1]
-                rows = [(part, seq, d, first - begin, n, crc) for d, first, n, crc in reader.block(block)]
-                kinds = (pa.int32(), *[pa.int64()] * 5)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 6, kinds)], names=["part", "seq", "doc_id", "first", "n_tokens", "ids_crc32"])
+                more = before - reader.blocks[block][1]
+                rows = [(d, more + first, n, crc) for d, first, n, crc in reader.block(block)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows) if rows else [()] * 4)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
         if file is not None:
             file.close()
 
-    near = blocks.select("part", "seq", "file", "block").repartition(spread(blocks.sparkSession), "file", "block").sortWithinPartitions("file", "block")
+    near = blocks.select("file", "block", "before").repartition(spread(blocks.sparkSession), "file", "block").sortWithinPartitions("file", "block")
     return near.mapInArrow(run, DOCS)
 
 
@@ -363,10 +362,10 @@ def token_files(docs: DataFrame, path: str, planes: str = PLANES, file_ids: int
     in stretches, their ids written by chunks. Columns of any other name are never read; an empty table
     gives an empty one. Texts shuffle once; files and their list of blocks stand in the shared folder
     before anything is read back, so that a lost executor costs only running tasks. Reading deals out
-    blocks of about BLOCK_IDS ids, not files.
+    blocks of about BLOCK_IDS ids, not files; only
+    the list of blocks is ever joined.
     """
     folder = scratch(docs.sparkSession, "id-planes")
     file_system(folder)
     blocks = settle(write_ids(docs, path, folder, planes, file_ids=file_ids), "id-blocks")
-    found = read_blocks(blocks, folder).join(block_starts(blocks), ["part", "seq"])
-    return found.select("doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
+    return read_blocks(blocks.join(block_starts(blocks), ["part", "seq"]), folder)
