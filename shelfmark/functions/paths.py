@@ -41,6 +41,15 @@ def root_of(path: Column, scan_dir: str = "") -> Column:
     return F.coalesce(F.get(elements(below), F.lit(0)), F.lit(""))
 
 
+#: The partition of files that stand directly under `/`; no clean path has an element of this name.
+TOP = "."
+
+
+def partition_of(path: Column) -> Column:
+    """The snapshot partition of a path: its first element, or TOP if that is all of it."""
+    return F.when(F.size(elements(path)) > 1, root_of(path)).otherwise(TOP)
+
+
 def ancestors(path: Column) -> Column:
     """All proper ancestors with a slash at the end, from the root on: the prefixes that a skip list may hold."""
     parts = F.split(path, "/")

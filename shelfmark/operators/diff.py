@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import dirname, elements, ext, root_of
+from ..functions.paths import TOP, dirname, elements, ext, root_of
 from ..schemas import MANIFEST
 
 #: Ignored folders and extensions that the original declares but never applies.
 IGNORED_DIRS, IGNORED_EXTS = (".sync",), (".ass", ".srt", ".ssa")
 
 
+#: Names of roots that a plan holds as a filter of partitions; more are joined.
+FEW_ROOTS = 10_000
+
+
 def is_changed(new: str = "new", old: str = "old") -> Column:
     """absent before, or later and of other size or etag."""
     n, o = (lambda c: F.col(f"{new}.{c}")), (lambda c: F.col(f"{old}.{c}"))
@@ -65,15 +69,22 @@ def normalise_roots(roots: list[str]) -> list[str]:
 def prune_roots(df: DataFrame, roots: DataFrame | list[str], ignore: bool = False, snapshot: bool = False) -> DataFrame:
     """files under the selected roots, and those directly under `/`. Off by default: the ignored names.
 
-    A snapshot's own `root` column prunes its partitions; any other table's column of that name is left alone.
+    A snapshot's own `root` column prunes its partitions: the names are read when the plan is made, and are a filter
+    unless there are more than FEW_ROOTS; any other table's column of that name is left alone.
     """
-    top = F.size(elements(F.col("path"))) <= 1
-    root = F.col("root") if snapshot else root_of(F.col("path"))
-    if isinstance(roots, list):
-        kept = df.where(top | root.isin(normalise_roots(roots)))
+    if snapshot:
+        names = roots if isinstance(roots, list) else [r.root for r in roots.select("root").where("root IS NOT NULL").distinct().limit(FEW_ROOTS + 1).collect()]
+        if len(names) <= FEW_ROOTS:
+            kept = df.where(F.col("root").isin([*(normalise_roots(names) if isinstance(roots, list) else names), TOP]))
+        else:
+            kept = df.join(roots.select("root").unionByName(df.sparkSession.range(1).select(F.lit(TOP).alias("root"))), "root", "left_semi").select(*df.columns)
     else:
-        names = roots.select(F.col("root").alias("_root"))
-        kept = df.where(top).unionByName(df.where(~top).join(names, root == F.col("_root"), "left_semi"))
+        top, root = F.size(elements(F.col("path"))) <= 1, root_of(F.col("path"))
+        if isinstance(roots, list):
+            kept = df.where(top | root.isin(normalise_roots(roots)))
+        else:
+            names = roots.select(F.col("root").alias("_root"))
+            kept = df.where(top).unionByName(df.where(~top).join(names, root == F.col("_root"), "left_semi"))
     if ignore:
         kept = kept.where(~F.arrays_overlap(elements(F.col("path")), F.array(*map(F.lit, IGNORED_DIRS))) & ~ext(F.col("path")).isin(*IGNORED_EXTS))
     return kept
@@ -99,10 +110,14 @@ def latest(df: DataFrame, key: str = "path", seq: str = "modified") -> DataFrame
 
 
 def upsert_manifest(base: DataFrame, changes: DataFrame) -> DataFrame:
-    """K1: rows of base whose path doesn't change, and the latest row of each path that does."""
+    """K1: rows of base whose path doesn't change, and the latest row of each path that does.
+
+    One full join, so that a base that is bucketed by path stays where it is.
+    """
     columns = MANIFEST.fieldNames()
-    new = latest(changes.select(*columns))
-    return base.select(*columns).join(new.select("path"), "path", "left_anti").unionByName(new)
+    new = latest(changes.select(*columns)).select("path", F.struct(*columns).alias("_new"))
+    both = base.select("path", F.struct(*columns).alias("_old")).join(new, "path", "full_outer")
+    return both.select(F.coalesce("_new", "_old").alias("_row")).select("_row.*")
 
 
 def delete_from_manifest(base: DataFrame, keys: DataFrame) -> DataFrame:

@@ -28,18 +28,27 @@ class Config:
     on_listing_error: str = "fail"
 
 
-def download_plan(remote: DataFrame, local: DataFrame, stored: DataFrame | None = None, roots: DataFrame | list[str] | None = None, failed_listings: DataFrame | None = None, on_listing_error: str = "fail") -> DataFrame:
+def _below(failed_listings: DataFrame) -> DataFrame:
+    """(prefix) of what stands under each failed directory."""
+    return failed_listings.select(F.concat(F.regexp_replace("path", r"/+\z", ""), F.lit("/")).alias("prefix"))
+
+
+def download_plan(remote: DataFrame, local: DataFrame, stored: DataFrame | None = None, roots: DataFrame | list[str] | None = None, failed_listings: DataFrame | None = None, on_listing_error: str = "fail", snapshot: bool = False) -> DataFrame:
     """(path, action): new, changed, same, or delete for local rows that are gone.
 
-    A failed listing stops the plan before anything is written, unless it is to be skipped.
+    A failed listing (failed_listings has its directory as `path`) stops the plan before anything is written. If it
+    is to be skipped, nothing below that directory counts as gone: what could not be listed is not deleted.
+    `snapshot` says that local was read from a snapshot, of which only the selected roots' partitions are then read.
     """
     if failed_listings is not None and on_listing_error == "fail" and not failed_listings.isEmpty():
         raise RuntimeError("a directory listing failed")
     if roots is not None and (not isinstance(roots, list) or roots):
-        remote, local = diff.prune_roots(remote, roots), diff.prune_roots(local, roots)
+        remote, local = diff.prune_roots(remote, roots), diff.prune_roots(local, roots, snapshot=snapshot)
     old = local if stored is None else diff.only_stored(local, stored)
-    changes = diff.detect_changes(remote, old)
-    return changes.unionByName(diff.stale(local, remote).select("path", F.lit("delete").alias("action")))
+    gone = diff.stale(local, remote)
+    if failed_listings is not None:
+        gone = verify.exempt_by_prefix(gone, "path", _below(failed_listings), "ancestors")
+    return diff.detect_changes(remote, old).unionByName(gone.select("path", F.lit("delete").alias("action")))
 
 
 def preserve_plan(files: DataFrame, content: DataFrame, dirs: DataFrame, entries: DataFrame, cfg: Config, path_skips: DataFrame | None = None, target_skips: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -79,12 +88,22 @@ def finalise_plan(updates: DataFrame, remote: DataFrame, target: DataFrame, cont
     return out, plan, diff.upsert_manifest(kept, changed)
 
 
-def reconcile(remote: DataFrame, local: DataFrame, target: DataFrame, content: DataFrame, dirs: DataFrame, entries: DataFrame, cfg: Config, mode: int = 7, **skips: DataFrame) -> dict[str, DataFrame]:
-    """E5: E1 to E4; mode & 4 discovers, mode & 1 synchronises."""
+def reconcile(remote: DataFrame, local: DataFrame, target: DataFrame, content: DataFrame, dirs: DataFrame, entries: DataFrame, cfg: Config, mode: int = 7, stored: DataFrame | None = None, failed_listings: DataFrame | None = None, **skips: DataFrame) -> dict[str, DataFrame]:
+    """E5: E1 to E4; mode & 4 discovers, mode & 1 synchronises.
+
+    Under a directory whose listing failed, what is in the local manifest counts as still there for E2 to E4 as
+    well, as E1 has it: the target's files are neither deleted nor forgotten.
+    """
     out: dict[str, DataFrame] = {}
     if mode & 4:
-        out["download"] = download_plan(remote, local, roots=cfg.roots, on_listing_error=cfg.on_listing_error)
+        out["download"] = download_plan(remote, local, stored, cfg.roots, failed_listings, cfg.on_listing_error)
+    elif failed_listings is not None and cfg.on_listing_error == "fail" and not failed_listings.isEmpty():
+        raise RuntimeError("a directory listing failed")
     if mode & 1:
+        if failed_listings is not None:
+            unseen = diff.stale(local, remote)
+            unseen = diff.stale(unseen, verify.exempt_by_prefix(unseen, "path", _below(failed_listings), "ancestors"))
+            remote = remote.unionByName(unseen.select(*remote.columns))
         keep, out["report"] = preserve_plan(remote, content, dirs, entries, cfg, **skips)
         out["update"] = update_plan(keep, remote, target)
         out["pointers"], out["copies"], out["manifest"] = finalise_plan(out["update"], remote, target, content, cfg)

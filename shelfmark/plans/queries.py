@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..fixtures import load, with_views
 from ..functions import http, paths, urls
 from ..operators import diff, finalise, mirrors, verify
-from ..sources import captured
+from ..sources import captured, snapshots
 from ..sources.shared_dir import scratch
 from ..sources.tables import read_manifest, read_pointers, read_skip_list, stored_files, write_files
 from ..streaming import jobs as streams
@@ -514,6 +514,41 @@ def stream_change_detection(remote, local):
     return spark.read.schema("path string, action string").parquet(out)
 
 
+@query("snapshot_upsert", ("local_manifest", "remote_manifest", "stored"), """SELECT * FROM (SELECT path, name, size, modified, etag FROM local_manifest WHERE path NOT IN (SELECT path FROM remote_manifest WHERE starts_with(path, '/r4/'))
+UNION ALL SELECT path, name, size, modified, etag FROM remote_manifest WHERE starts_with(path, '/r4/')) WHERE NOT (starts_with(path, '/r12/') AND path NOT IN (SELECT path FROM stored))""")
+def snapshot_upsert(local, remote, stored):
+    """K1, K2: the local manifest as a first version, one root's remote rows over it, another root's missing files out of it."""
+    spark = local.sparkSession
+    root = scratch(spark, "manifest")
+    snapshots.commit(spark, root, local)
+    snapshots.commit(spark, root, remote.where(F.col("path").startswith("/r4/")))
+    snapshots.commit(spark, root, deletes=diff.purge(local.where(F.col("path").startswith("/r12/")), stored))
+    return read_manifest(spark, root).drop("root")
+
+
+@query("snapshot_download_plan", ("remote_manifest", "local_manifest", "selected_roots"), """, r AS (SELECT * FROM remote_manifest WHERE split_part(path, '/', 2) IN (SELECT root FROM selected_roots)),
+l AS (SELECT * FROM local_manifest WHERE split_part(path, '/', 2) IN (SELECT root FROM selected_roots))
+SELECT n.path, CASE WHEN o.path IS NULL THEN 'new' WHEN n.modified > o.modified AND (n.size <> o.size OR n.etag <> o.etag) THEN 'changed' ELSE 'same' END AS action FROM r n LEFT JOIN l o ON n.path = o.path
+UNION ALL SELECT path, 'delete' FROM l WHERE path NOT IN (SELECT path FROM r)""")
+def snapshot_download_plan(remote, local, roots):
+    """E1 over the local manifest's snapshot, of which the selected roots' partitions alone are read."""
+    spark = local.sparkSession
+    root = scratch(spark, "manifest")
+    snapshots.commit(spark, root, local)
+    return jobs.download_plan(remote, read_manifest(spark, root), roots=roots, snapshot=True)
+
+
+@query("stream_reconcile", ("remote_manifest", "local_manifest"), f"""SELECT 1 AS batch, path, action FROM ({_CHANGES})
+UNION ALL SELECT 2, path, 'same' FROM remote_manifest UNION ALL SELECT 0, path, 'new' FROM local_manifest""")
+def stream_reconcile(remote, local):
+    """T3 against the live manifest: the local rows arrive, then the remote ones, then these again."""
+    spark = remote.sparkSession
+    root, out, notes = scratch(spark, "manifest"), scratch(spark, "actions"), scratch(spark, "reconcile-notes")
+    remote = remote.select(local.columns)
+    _arrive([local, remote, remote], lambda arrived: streams.stream_reconcile(arrived, root, out, notes))
+    return spark.read.schema("path string, action string, batch int").parquet(out)
+
+
 #: Arrivals that the probes are replayed in.
 REPLAYS = 3
 

@@ -1,4 +1,4 @@
-"""Scans S1-S4, S9, S10 and snapshots K1."""
+"""Scans S3, S4, S9, S10 and files K3; S1, S2 and K1 are in snapshots."""
 
 from __future__ import annotations
 
@@ -9,47 +9,9 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import normalise_prefix, root_of
+from ..functions.paths import normalise_prefix
 from ..functions.urls import decode_uri_path
-from ..schemas import MANIFEST, SNAPSHOT
-
-
-def _files(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
-def versions(spark: SparkSession, root: str) -> list[int]:
-    """Finished snapshots `v=N` under root; the list is as long as there are snapshots, never files."""
-    fs, at = _files(spark, root)
-    if not fs.exists(at):
-        return []
-    names = [(s.getPath(), s.getPath().getName()) for s in fs.listStatus(at)]
-    done = spark._jvm.org.apache.hadoop.fs.Path
-    return sorted(int(n[2:]) for p, n in names if n.startswith("v=") and n[2:].isdigit() and fs.exists(done(p, "_SUCCESS")))
-
-
-def read_manifest(spark: SparkSession, path: str, missing_ok: bool = False, below: int | None = None) -> DataFrame:
-    """The latest snapshot under path (below a version, if given); none counts as empty if missing_ok."""
-    found = [v for v in versions(spark, path) if below is None or v < below]
-    if found:
-        return spark.read.schema(SNAPSHOT).parquet(f"{path}/v={found[-1]}")
-    if missing_ok:
-        return spark.createDataFrame([], SNAPSHOT)
-    raise FileNotFoundError(f"no finished snapshot under {path}")
-
-
-def write_snapshot(df: DataFrame, root: str, version: int | None = None) -> int:
-    """K1: a new snapshot directory, partitioned by the first path element; never overwrites what is read.
-
-    Writing a version again replaces it whole, so that a replayed batch ends as it would have.
-    """
-    spark = df.sparkSession
-    if version is None:
-        version = max(versions(spark, root), default=-1) + 1
-    rows = df.select(*MANIFEST.fieldNames()).withColumn("root", root_of(F.col("path")))
-    rows.write.partitionBy("root").mode("overwrite").parquet(f"{root}/v={version}")
-    return version
+from .snapshots import read_manifest, versions, write_snapshot  # noqa: F401
 
 
 def lookup(keys: DataFrame, manifest: DataFrame) -> DataFrame:
