@@ -43,6 +43,14 @@ VIEWS = {
     "skip_prefixes":"SELECT '/r4/' AS prefix UNION ALL SELECT '/r12/t12/'",
     "skip_lines": "SELECT CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN ' / ' WHEN 2 THEN concat(' ', source, '/x ') WHEN 3 THEN concat('/', source, '/') ELSE concat('/', source) END AS line FROM documents",
     "selected_roots": "SELECT 'r0' AS root UNION ALL SELECT 'r4' UNION ALL SELECT 'r12'",
+    "odd_pages": f"""SELECT {_DIR} AS path, concat('http://origin.local', {_DIR}, '/') AS url,
+        concat('<a data-href="wrong" href="right', CAST(doc_id AS STRING), '.txt">1</a><a title="a > b" href=bare', CAST(doc_id AS STRING), '.txt>2</a><A HREF = ''&#99;ode', CAST(doc_id AS STRING), '.txt''>3</A>',
+        '<a href="caf&eacute;', CAST(doc_id AS STRING), '/">4</a><script>"<a href=no.txt>"</script><!-- <a href="no.txt"> --><textarea><a href=no.txt></textarea><abbr href=no.txt><p title="<a href=no.txt>"><a href="open', CAST(doc_id AS STRING)) AS html FROM documents WHERE doc_id % 4 = 0""",
+    "page_sets": """SELECT concat('/lib/', CAST(doc_id - doc_id % 12 AS STRING)) AS dir, 1 + doc_id % 12 AS page, concat('{"code":200,"message":"success","data":{"content":[{"name":"d', CAST(doc_id - CASE WHEN doc_id % 36 = 9 THEN 1 ELSE 0 END AS STRING),
+        '.mp4","size":1,"is_dir":false,"modified":"2024-01-02T00:00:00Z","type":2}],"provider":"x","readme":"","total":12,"write":false}}') AS body FROM documents WHERE doc_id % 60 <> 31
+        UNION ALL SELECT concat('/lib/', CAST(doc_id - doc_id % 12 AS STRING)), 1 + doc_id % 12, concat('{"code":200,"message":"success","data":{"content":[{"name":"d', CAST(doc_id - CASE WHEN doc_id % 36 = 9 THEN 1 ELSE 0 END AS STRING),
+        '.mp4","size":1,"is_dir":false,"modified":"2024-01-02T00:00:00Z","type":2}],"provider":"x","readme":"","total":12,"write":false}}') FROM documents WHERE doc_id % 5 = 0 AND doc_id % 60 <> 31""",
+    "failed_dirs": "SELECT '/r0/stale' AS path UNION ALL SELECT '/r4/' UNION ALL SELECT '/nowhere'",
     "stored": f"SELECT {_PATH} AS path FROM documents WHERE doc_id % 9 <> 0",
 }
 _TABLES = ("documents", "labels", "events", "region", "pages")

@@ -60,10 +60,11 @@ def rank_mirrors(health: DataFrame, k: int | None = None) -> DataFrame:
 def first_success(attempts: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
     """(path, mirror) of the best ranked success; null where none succeeded.
 
-    ranks (mirror, rank) may come apart; mirrors are few, so Spark broadcasts it by its size.
+    ranks (mirror, rank) may come apart; mirrors are few, so Spark broadcasts it by its size. A mirror without a
+    rank is none to turn to; a path that only such mirrors have stays, with null.
     """
-    rows = attempts if ranks is None else attempts.drop("rank").join(ranks, "mirror")
-    best = F.min(F.when(F.col("status") == 200, F.struct("rank", "mirror")))
+    rows = attempts if ranks is None else attempts.drop("rank").join(ranks, "mirror", "left")
+    best = F.min(F.when((F.col("status") == 200) & F.col("rank").isNotNull(), F.struct("rank", "mirror")))
     return rows.groupBy("path").agg(best.alias("b")).select("path", "b.mirror")
 
 

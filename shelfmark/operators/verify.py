@@ -62,16 +62,52 @@ def verify_pointers(targets: DataFrame, dirs: DataFrame, entries: DataFrame) ->
 
 
 def dir_contents(df: DataFrame) -> DataFrame:
-    """A2: (dir, names), names in order."""
+    """A2: (dir, names), names in order; a row holds a whole directory, see dir_chunks for any size."""
     return df.groupBy(dirname(F.col("path")).alias("dir")).agg(F.array_sort(F.collect_set(basename(F.col("path")))).alias("names"))
 
 
 def targets_by_dir(targets: DataFrame) -> DataFrame:
-    """A3: (dir, map of target name to pointer); of pointers with one target the last by path is named."""
+    """A3: (dir, map of target name to pointer); of pointers with one target the last by path is named.
+
+    A row holds a whole directory, see target_chunks for any size.
+    """
     last = targets.groupBy("dir", "name").agg(F.max("path").alias("path"))
     return last.groupBy("dir").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "path")))).alias("targets"))
 
 
+#: Names that one row of a directory's contents holds at most.
+CHUNK_NAMES = 1000
+
+
+def _ranked(df: DataFrame, key: str, order: str) -> DataFrame:
+    """df with `_rank`, the number (from 0) of a row among those of its key by `order`, which differs within a key.
+
+    Rows are dealt out by ranges of both and written; ranks count within a key's part of a range, and go on
+    from the sums of its earlier parts, so that a key with most of all rows is many tasks' work.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = settle(df.repartitionByRange(parts, key, order).withColumn("_range", F.spark_partition_id()), "ranked")
+    earlier = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    first = rows.groupBy(key, "_range").agg(F.count("*").alias("_n")).select(F.col(key), "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"))
+    inside = F.row_number().over(Window.partitionBy(key, "_range").orderBy(order)) - 1
+    return rows.withColumn("_inside", inside).join(first, [key, "_range"]).withColumn("_rank", F.col("_first") + F.col("_inside")).drop("_range", "_inside", "_first")
+
+
+def dir_chunks(df: DataFrame, size: int = CHUNK_NAMES) -> DataFrame:
+    """A2 for directories of any size: (dir, chunk, names): names in order, `size` of them in a row, chunks from 0."""
+    names = df.select(dirname(F.col("path")).alias("dir"), basename(F.col("path")).alias("name")).distinct()
+    rows = _ranked(names, "dir", "name").withColumn("chunk", F.floor(F.col("_rank") / size))
+    return rows.groupBy("dir", "chunk").agg(F.array_sort(F.collect_list("name")).alias("names"))
+
+
+def target_chunks(targets: DataFrame, size: int = CHUNK_NAMES) -> DataFrame:
+    """A3 for directories of any size: (dir, chunk, map of target name to pointer), `size` names in a row; of pointers
+    with one target the last by path is named."""
+    last = targets.groupBy("dir", "name").agg(F.max("path").alias("path"))
+    rows = _ranked(last, "dir", "name").withColumn("chunk", F.floor(F.col("_rank") / size))
+    return rows.groupBy("dir", "chunk").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "path")))).alias("targets"))
+
+
 def present_by_dir(states: DataFrame) -> DataFrame:
     """Present pointers of each pointer directory."""
     return states.where("state = 'present'").groupBy(dirname(F.col("path")).alias("dir")).agg(F.count("*").alias("n"))
@@ -106,6 +142,31 @@ def _walked(df: DataFrame, under: str, keep: Column | None) -> DataFrame:
     return exempt_by_prefix(rows.where(stays), "path", skipped, "ancestors")
 
 
+def visited(df: DataFrame, verdict: Column, is_dir: Column, under: str = "/") -> DataFrame:
+    """The entries of df (path, any more) that a visitor sees on its walk under a path.
+
+    The verdict on an entry is `skip`, `stop` or anything else, null included, to go on. `skip` on a directory
+    leaves out what stands below it, on a file the entries that follow in the file's own directory, with all
+    below them. `stop` ends the walk. Entries with a verdict are seen themselves; one on an entry that isn't
+    seen has no effect. A path of several rows is one entry, which skips or stops if any of its rows does.
+    """
+    rows = _walked(df, under, None).withColumns({"_verdict": verdict, "_dir": is_dir})
+    path = F.col("path")
+    skips = rows.where("_verdict = 'skip'")
+    below = skips.where("_dir").select(F.concat(F.when(path != "/", path).otherwise(""), F.lit("/")).alias("prefix"))
+    cuts = skips.where("NOT coalesce(_dir, false)").groupBy(dirname(path).alias("_in")).agg(F.min(basename(path)).alias("_least"))
+    # Each element of a path is compared with the first file that skips in the directory in which it stands.
+    parts = F.split(path, "/")
+    steps = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.struct(F.when(n == 1, F.lit("/")).otherwise(F.array_join(F.slice(parts, F.lit(1), n), "/")).alias("_in"), F.get(parts, n).alias("_name")))
+    hit = rows.select("path", F.explode(steps).alias("_step")).select("path", "_step.*").join(cuts, "_in").where("_name > _least").select("path").distinct()
+    seen = exempt_by_prefix(rows.join(hit, "path", "left_anti"), "path", below, "ancestors")
+    seen = settle(seen, "visited")
+    last = seen.where("_verdict = 'stop'").agg(F.min(walk_key(path))).first()[0]  # one path
+    if last is not None:
+        seen = seen.where(walk_key(path) <= F.array(*map(F.lit, last)))
+    return seen.drop("_verdict", "_dir")
+
+
 def walk_positions(df: DataFrame, under: str = "/", keep: Column | None = None) -> DataFrame:
     """O2 with each row's position (from 1) in the walk.
 

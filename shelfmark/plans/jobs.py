@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import ext
 from ..operators import diff, finalise, verify
 from ..sources import captured
+from ..sources.shared_dir import settle
 
 
 @dataclass
@@ -28,8 +29,8 @@ class Config:
     on_listing_error: str = "fail"
 
 
-def _below(failed_listings: DataFrame) -> DataFrame:
-    """(prefix) of what stands under each failed directory."""
+def below(failed_listings: DataFrame) -> DataFrame:
+    """(prefix) of what stands under each directory whose listing failed."""
     return failed_listings.select(F.concat(F.regexp_replace("path", r"/+\z", ""), F.lit("/")).alias("prefix"))
 
 
@@ -47,7 +48,7 @@ def download_plan(remote: DataFrame, local: DataFrame, stored: DataFrame | None
     old = local if stored is None else diff.only_stored(local, stored)
     gone = diff.stale(local, remote)
     if failed_listings is not None:
-        gone = verify.exempt_by_prefix(gone, "path", _below(failed_listings), "ancestors")
+        gone = verify.exempt_by_prefix(gone, "path", below(failed_listings), "ancestors")
     return diff.detect_changes(remote, old).unionByName(gone.select("path", F.lit("delete").alias("action")))
 
 
@@ -92,7 +93,8 @@ def reconcile(remote: DataFrame, local: DataFrame, target: DataFrame, content: D
     """E5: E1 to E4; mode & 4 discovers, mode & 1 synchronises.
 
     Under a directory whose listing failed, what is in the local manifest counts as still there for E2 to E4 as
-    well, as E1 has it: the target's files are neither deleted nor forgotten.
+    well, as E1 has it: the target's files are neither deleted nor forgotten. These rows are written out first, since
+    all later plans read them.
     """
     out: dict[str, DataFrame] = {}
     if mode & 4:
@@ -102,8 +104,8 @@ def reconcile(remote: DataFrame, local: DataFrame, target: DataFrame, content: D
     if mode & 1:
         if failed_listings is not None:
             unseen = diff.stale(local, remote)
-            unseen = diff.stale(unseen, verify.exempt_by_prefix(unseen, "path", _below(failed_listings), "ancestors"))
-            remote = remote.unionByName(unseen.select(*remote.columns))
+            unseen = diff.stale(unseen, verify.exempt_by_prefix(unseen, "path", below(failed_listings), "ancestors"))
+            remote = remote.unionByName(settle(unseen.select(*remote.columns), "unseen"))
         keep, out["report"] = preserve_plan(remote, content, dirs, entries, cfg, **skips)
         out["update"] = update_plan(keep, remote, target)
         out["pointers"], out["copies"], out["manifest"] = finalise_plan(out["update"], remote, target, content, cfg)

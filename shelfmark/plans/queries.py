@@ -211,6 +211,112 @@ def walk_order_pruned(_, tree):
     return verify.walk_positions(tree, keep=~F.col("path").isin("/r8", "/r12/t12")).select("path", "position")
 
 
+@query("walk_visited", ("remote_manifest", "tree"), """SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) AS position FROM tree t
+WHERE NOT (starts_with(path, '/r8/') OR EXISTS (SELECT 1 FROM tree f WHERE f.path LIKE '%.nfo' AND regexp_extract(f.path, '^(.*)/', 1) = regexp_extract(t.path, '^(.*)/', 1) AND regexp_extract(t.path, '([^/]*)$', 1) > regexp_extract(f.path, '([^/]*)$', 1)))
+AND string_split(path, '/') <= (SELECT min(string_split(path, '/')) FROM tree WHERE starts_with(path, '/r40/') AND path LIKE '%.strm')""")
+def walk_visited(_, tree):
+    """What a visitor sees that skips a directory, skips from a file on, and stops at a file."""
+    file = F.col("path").rlike(r"\.[a-z]+$")
+    verdict = F.when(F.col("path") == "/r8", "skip").when(F.col("path").endswith(".nfo"), "skip").when(F.col("path").startswith("/r40/") & F.col("path").endswith(".strm"), "stop")
+    return verify.walk_positions(verify.visited(tree, verdict, ~file)).select("path", "position")
+
+
+@query("dir_content_chunks", ("remote_manifest",), f"""SELECT dir, chunk, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT dir, name, (row_number() OVER (PARTITION BY dir ORDER BY name) - 1) // 3 AS chunk
+FROM (SELECT DISTINCT {_DIRNAME} AS dir, name FROM remote_manifest)) GROUP BY 1, 2""")
+def dir_content_chunks(remote):
+    """A2 in rows of three names."""
+    return verify.dir_chunks(remote, 3).select("dir", "chunk", F.array_join("names", ",").alias("names"))
+
+
+@query("target_chunks_by_root", _VERIFIED, _with(_TARGETS) + """ SELECT dir, chunk, string_agg(name || '=' || path, ',' ORDER BY name) AS targets FROM (SELECT dir, name, path, (row_number() OVER (PARTITION BY dir ORDER BY name) - 1) // 4 AS chunk
+FROM (SELECT regexp_extract(dir, '^(/[^/]*/[^/]*)', 1) AS dir, name, max(path) AS path FROM parts GROUP BY 1, 2)) GROUP BY 1, 2""")
+def target_chunks_by_root(pointers, dirs, entries):
+    """A3 in rows of four names, all targets of a root together."""
+    targets = verify.pointer_targets(pointers, CFG.endpoint).withColumn("dir", F.regexp_extract("dir", "^(/[^/]*/[^/]*)", 1))
+    pairs = F.transform(F.map_entries("targets"), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return verify.target_chunks(targets, 4).select("dir", "chunk", F.array_join(pairs, ",").alias("targets"))
+
+
+@query("odd_page_links", ("odd_pages",), """, a AS (SELECT path AS base, regexp_extract(html, 'right([0-9]+)', 1) AS id FROM odd_pages), b AS (SELECT base, 'right' || id || '.txt' AS name, false AS is_dir FROM a UNION ALL SELECT base, 'bare' || id || '.txt', false FROM a
+UNION ALL SELECT base, 'code' || id || '.txt', false FROM a UNION ALL SELECT base, 'café' || id, true FROM a) SELECT concat('http://origin.local', base, '/') AS url, base || '/' || name AS path, name, is_dir FROM b""")
+def odd_page_links(pages):
+    """S5 of pages with other attributes, bare and quoted values, references, raw text and a tag that never ends."""
+    return captured.extract_links(pages).select("url", "path", "name", "is_dir")
+
+
+_SETS = """, p AS (SELECT DISTINCT dir, page, json_extract_string(body, '$.data.content[0].name') AS name FROM page_sets)"""
+
+
+@query("page_set_completeness", ("page_sets",), _SETS + " SELECT dir, min(page) = 1 AND max(page) = count(DISTINCT page) AND count(DISTINCT name) >= 12 AS complete FROM p GROUP BY dir")
+def page_set_completeness(pages):
+    """A9 of listings of twelve pages, some repeated, some missing, some with a name that another page has."""
+    return captured.listing_complete(pages)
+
+
+@query("page_set_entries", ("page_sets",), _SETS + " SELECT dir, name, CAST(1 AS BIGINT) AS size, epoch_us(TIMESTAMP '2024-01-02 00:00:00') AS modified_us, false AS is_dir FROM p")
+def page_set_entries(pages):
+    """S7 of the same: pages captured twice count once."""
+    return captured.catalog_entries(pages).select("dir", "name", "size", F.unix_micros("modified").alias("modified_us"), "is_dir")
+
+
+@query("catalog_entry_times", ("catalog_pages",), """SELECT dir, e->>'$.name' AS name, epoch_us(CAST(e->>'$.modified' AS TIMESTAMPTZ)) AS modified_us, CAST(e->>'$.is_dir' AS BOOLEAN) AS is_dir
+FROM (SELECT dir, unnest(CAST(json_extract(body, '$.data.content[*]') AS JSON[])) AS e FROM catalog_pages)""")
+def catalog_entry_times(pages):
+    """Times with fractions and zones."""
+    return captured.catalog_entries(pages).select("dir", "name", F.unix_micros("modified").alias("modified_us"), "is_dir")
+
+
+_NOT_FAILED = "NOT (starts_with(path, '/r0/stale/') OR starts_with(path, '/r4/') OR starts_with(path, '/nowhere/'))"
+
+
+@query("download_plan_skip", ("remote_manifest", "local_manifest", "stored", "failed_dirs"), f""", s AS (SELECT * FROM local_manifest WHERE path IN (SELECT path FROM stored)), r AS (SELECT * FROM remote_manifest WHERE {_NOT_FAILED})
+SELECT n.path, CASE WHEN o.path IS NULL THEN 'new' WHEN n.modified > o.modified AND (n.size <> o.size OR n.etag <> o.etag) THEN 'changed' ELSE 'same' END AS action FROM r n LEFT JOIN s o ON n.path = o.path
+UNION ALL SELECT path, 'delete' FROM local_manifest WHERE path NOT IN (SELECT path FROM r) AND {_NOT_FAILED}""")
+def download_plan_skip(remote, local, stored, failed):
+    """E1 where listings failed: their directories' files aren't seen, and none of them is deleted."""
+    seen = verify.exempt_by_prefix(remote, "path", jobs.below(failed), "ancestors")
+    return jobs.download_plan(seen, local, stored, failed_listings=failed, on_listing_error="skip")
+
+
+_FAILED = """r AS (SELECT path, name, size, modified, etag FROM remote_manifest WHERE {0} UNION ALL SELECT path, name, size, modified, etag FROM local_manifest WHERE NOT ({0})),
+k AS (SELECT * FROM r WHERE path NOT IN (SELECT path FROM states WHERE state <> 'present')),
+u AS (SELECT n.path, CASE WHEN n.path LIKE '%.strm' THEN 'pointer' WHEN o.path IS NULL THEN 'new' ELSE 'changed' END AS action FROM k n LEFT JOIN local_manifest o ON n.path = o.path
+WHERE n.path LIKE '%.strm' OR o.path IS NULL OR (n.modified > o.modified AND (n.size <> o.size OR n.etag <> o.etag))
+UNION ALL SELECT path, 'delete' FROM local_manifest WHERE path NOT IN (SELECT path FROM k))""".format(_NOT_FAILED)
+
+
+def _after_failures(remote, local, pointers, dirs, entries, stored, failed, mode):
+    seen = verify.exempt_by_prefix(remote, "path", jobs.below(failed), "ancestors")
+    return jobs.reconcile(seen, local, local, pointers, dirs, entries, replace(CFG, on_listing_error="skip"), mode, stored, failed)
+
+
+@query("reconciled_update_after_failures", ("remote_manifest", "local_manifest", *_VERIFIED, "stored", "failed_dirs"), _with(_TARGETS) + ", " + _FAILED + " SELECT * FROM u")
+def reconciled_update_after_failures(*frames):
+    """E5 that only synchronises: the update where listings failed."""
+    return _after_failures(*frames, mode=1)["update"]
+
+
+@query("reconciled_manifest_after_failures", ("remote_manifest", "local_manifest", *_VERIFIED, "stored", "failed_dirs"), _with(_TARGETS) + ", " + _FAILED + """ SELECT path, name, size, modified, etag FROM r WHERE path IN (SELECT path FROM u WHERE action IN ('new', 'changed'))
+UNION ALL SELECT path, name, size, modified, etag FROM local_manifest WHERE path NOT IN (SELECT path FROM u WHERE action <> 'pointer')""")
+def reconciled_manifest_after_failures(*frames):
+    """E5: the target's manifest where listings failed."""
+    return _after_failures(*frames, mode=7)["manifest"]
+
+
+@query("reconciled_pointers", ("remote_manifest", "local_manifest", *_VERIFIED, "stored", "failed_dirs"), _with(_TARGETS) + ", " + _FAILED + """ SELECT '/media' || path AS target, 'http://media.local:8096/dav' || replace(replace(rtrim(content, chr(10)), 'http://origin.local:5678/d', ''), ' ', '%20') || chr(10) AS content FROM pointer_files WHERE path IN (SELECT path FROM u WHERE action = 'pointer')""")
+def reconciled_pointers(*frames):
+    """E5: the pointers to write; those without a body have none."""
+    return _after_failures(*frames, mode=1)["pointers"].where("content IS NOT NULL")
+
+
+@query("reconciled_download", ("remote_manifest", "local_manifest", *_VERIFIED, "stored", "failed_dirs"), _with(_TARGETS) + f""", s AS (SELECT * FROM local_manifest WHERE path IN (SELECT path FROM stored)), r AS (SELECT * FROM remote_manifest WHERE {_NOT_FAILED})
+SELECT n.path, CASE WHEN o.path IS NULL THEN 'new' WHEN n.modified > o.modified AND (n.size <> o.size OR n.etag <> o.etag) THEN 'changed' ELSE 'same' END AS action FROM r n LEFT JOIN s o ON n.path = o.path
+UNION ALL SELECT path, 'delete' FROM local_manifest WHERE path NOT IN (SELECT path FROM r) AND {_NOT_FAILED}""")
+def reconciled_download(*frames):
+    """E5 that only discovers, with the files that are really stored."""
+    return _after_failures(*frames, mode=4)["download"]
+
+
 @query("selected_root_paths", ("remote_manifest",), "SELECT * FROM remote_manifest WHERE split_part(path, '/', 2) IN ('r0', 'r4', 'r12')")
 def selected_root_paths(remote):
     """roots given as paths."""
@@ -371,14 +477,15 @@ def latest_version(remote, local):
     return diff.latest(remote.unionByName(local))
 
 
-@query("walk_order", ("remote_manifest",), "SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) AS position FROM remote_manifest WHERE starts_with(path, '/r4/')")
-def walk_order(remote):
-    return verify.walk_positions(remote, "/r4").select("path", "position")
+@query("walk_order", ("tree",), "SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) AS position FROM tree")
+def walk_order(tree):
+    """O2 of the whole tree, directories and files."""
+    return verify.walk_positions(tree).select("path", "position")
 
 
 @query("walk_order_all", ("remote_manifest",), "SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) AS position FROM remote_manifest")
 def walk_order_all(remote):
-    """The walk of the whole tree; `walk_order` is that of one root."""
+    """O2 of all files."""
     return verify.walk_positions(remote).select("path", "position")
 
 

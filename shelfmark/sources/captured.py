@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.html import anchors, attribute
 from ..functions.http import content_length, http_date_epoch, media_type
 from ..functions.paths import basename, clean_path
 from ..functions.urls import decode_uri_path, link_kind, link_path, resolve_link, url_path
 from ..schemas import GET_RESPONSE, LIST_RESPONSE
 
-_SILENT = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
-_ANCHOR = r"""(?is)<a\s[^>]*?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
-#: Character references in links.
-_ENTITIES = {"&quot;": '"', "&#39;": "'", "&lt;": "<", "&gt;": ">", "&amp;": "&"}
 HTML = "text/html"
 HTML_DIR_SIZE = 128
 
@@ -28,13 +25,9 @@ def extract_links(pages: DataFrame, same_host_only: bool = False) -> DataFrame:
     if "content_type" in pages.columns:
         pages = only_html(pages)
     keep = [c for c in pages.columns if c not in ("html", "path", "name", "is_dir")]
-    found = F.regexp_extract_all(F.regexp_replace("html", _SILENT, ""), F.lit(_ANCHOR), F.lit(1))
-    rows = pages.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), "url", F.explode(found).alias("href"))
-    href = F.regexp_replace("href", r"""^["']|["']\z""", "")
-    for a, b in _ENTITIES.items():
-        href = F.replace(href, F.lit(a), F.lit(b))
+    rows = pages.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), "url", F.explode(anchors(F.col("html"))).alias("tag"))
+    rows = rows.withColumn("href", attribute(F.col("tag"), "href")).where("href IS NOT NULL")
     page = F.when(url_path(F.col("url")) == "", "/").otherwise(url_path(F.col("url")))
-    rows = rows.withColumn("href", href)
     if same_host_only:
         host = r"(?i)^https?://([^/?#]+)"
         rows = rows.where(~F.col("href").rlike(host) | (F.regexp_extract("href", host, 1) == F.regexp_extract("url", host, 1)))
@@ -73,28 +66,48 @@ def _parsed(pages: DataFrame) -> DataFrame:
     return pages.withColumn("r", F.from_json("body", LIST_RESPONSE))
 
 
+def page_set(pages: DataFrame) -> DataFrame:
+    """Pages (dir, page, body, any more) -> one capture of each page: the latest if there is a `captured` column
+    that says when, else the one whose body sorts last."""
+    return latest_by(pages, ["dir", "page"], ["captured", "body"] if "captured" in pages.columns else ["body"])
+
+
+def latest_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    rest = [*order, *(c for c in rows.columns if c not in (*keys, *order))]
+    return rows.groupBy(*keys).agg(F.max(F.struct(*(F.col(f"`{c}`") for c in rest))).alias("_row")).select(*keys, "_row.*").select(*(F.col(f"`{c}`") for c in rows.columns))
+
+
 def catalog_entries(pages: DataFrame) -> DataFrame:
-    """Pages (dir, page, body) -> CATALOG_ENTRY rows of all pages."""
-    rows = _parsed(pages).select("dir", F.explode("r.data.content").alias("e"))
+    """Pages (dir, page, body) -> CATALOG_ENTRY rows of all pages, of pages captured more than once of one capture."""
+    rows = _parsed(page_set(pages)).select("dir", F.explode("r.data.content").alias("e"))
     return rows.select("dir", "e.name", "e.size", "e.modified", "e.is_dir")
 
 
 def catalog_dirs(pages: DataFrame) -> DataFrame:
     """Status of each listed directory: null data is not found, whatever the code."""
-    rows = _parsed(pages).groupBy("dir").agg(F.bool_and(F.col("r.data").isNotNull()).alias("listed"), F.max("r.code").alias("code"))
+    rows = _parsed(page_set(pages)).groupBy("dir").agg(F.bool_and(F.col("r.data").isNotNull()).alias("listed"), F.max("r.code").alias("code"))
     return rows.select("dir", F.when(F.col("listed"), F.col("code")).otherwise(404).alias("code"))
 
 
-def listing_status(pages: DataFrame) -> DataFrame:
-    """A9 for J5: status of each directory as catalog_dirs gives it, but 206 if rows that its listing announces are
-    missing: what isn't in an incomplete listing can't be called absent."""
-    rows = _parsed(pages).groupBy("dir").agg(
-        F.bool_and(F.col("r.data").isNotNull()).alias("listed"),
+def _received(pages: DataFrame) -> DataFrame:
+    """(dir, listed, code, complete): complete if the pages from 1 on have no gap and hold as many different names as
+    the last page announces."""
+    one = _parsed(page_set(pages)).withColumn("listed", F.col("r.data").isNotNull())
+    heads = one.groupBy("dir").agg(
+        F.bool_and("listed").alias("listed"),
         F.max("r.code").alias("code"),
-        F.coalesce(F.sum(F.size("r.data.content")), F.lit(0)).alias("n"),
         F.max_by("r.data.total", "page").alias("total"),
+        ((F.min("page") == 1) & (F.max("page") == F.count("*"))).alias("whole"),
     )
-    return rows.select("dir", F.when(~F.col("listed"), 404).when(F.col("n") < F.col("total"), 206).otherwise(F.col("code")).alias("code"))
+    names = one.select("dir", F.explode("r.data.content.name").alias("name")).distinct().groupBy("dir").agg(F.count("*").alias("n"))
+    rows = heads.join(names, "dir", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return rows.select("dir", "listed", "code", F.when(F.col("total").isNotNull(), F.col("whole") & (F.col("n") >= F.col("total"))).alias("complete"))
+
+
+def listing_status(pages: DataFrame) -> DataFrame:
+    """A9 for J5: status of each directory as catalog_dirs gives it, but 206 if rows that its listing announces are
+    missing, or a page between others is: what isn't in an incomplete listing can't be called absent."""
+    return _received(pages).select("dir", F.when(~F.col("listed"), 404).when(~F.col("complete"), 206).otherwise(F.col("code")).alias("code"))
 
 
 def catalog_stat(responses: DataFrame) -> DataFrame:
@@ -104,6 +117,5 @@ def catalog_stat(responses: DataFrame) -> DataFrame:
 
 
 def listing_complete(pages: DataFrame) -> DataFrame:
-    """Whether all rows that a listing announces were received; null data is null."""
-    rows = _parsed(pages).groupBy("dir").agg(F.sum(F.size("r.data.content")).alias("n"), F.max_by("r.data.total", "page").alias("total"))
-    return rows.select("dir", (F.col("n") >= F.col("total")).alias("complete"))
+    """Whether all pages and rows that a listing announces were received; null data is null."""
+    return _received(pages).select("dir", "complete")
