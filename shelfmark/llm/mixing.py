@@ -53,7 +53,9 @@ def mix_sources(docs: DataFrame, size: Column | None = None, weights=WEIGHTS, mo
     expected copies are equal within a source, the prefix sum is the rate times the rank. The rank
     comes from bucket counts (source, size class, leading digits of the hash), summed over the few
     buckets, and the row number within a bucket: no source is ever sorted in one task. More digits
-    split the buckets of larger inputs; the order, and so the result, stays the same.
+    split the buckets of larger inputs; the rows of a doc_id that fills a bucket are split by size, and
+    those that agree in doc_id and size, which are interchangeable, by any digits. The order, and so the
+    result, stays the same, whatever the buckets and the partitions of docs.
 
     Null texts and texts without words have size 0; their `taken` is 0. Null sources are one source.
     Null doc_ids hash as ''. Rows that agree in doc_id, source and size are interchangeable. An empty
@@ -65,28 +67,35 @@ def mix_sources(docs: DataFrame, size: Column | None = None, weights=WEIGHTS, mo
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.struct(F.col("source"), name.alias("name"), size.cast("long").alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("key")).alias("_mix"))
     rows = rows.select("row", "_mix.*", F.monotonically_increasing_id().alias("nth"), (digits * 16 + F.expr("shiftright(_mix.size, greatest(length(bin(_mix.size)) - 4, 0))")).cast("int").alias("class"))
 
-    def counted(depth: int, extra: int) -> tuple[DataFrame, int]:
+    def counted(sub: Column, rows: DataFrame) -> tuple[DataFrame, int]:
         """Sums of the buckets, and the rows of the largest."""
-        found = settle(rows.groupBy("source", "name", "class", bucket(depth, extra).alias("sub")).agg(F.count("*").alias("n"), F.sum("size").alias("words")), "mix-counts")
+        found = settle(rows.groupBy("source", "name", "class", sub.alias("sub")).agg(F.count("*").alias("n"), F.sum("size").alias("words")), "mix-counts")
         return found, found.agg(F.max("n")).first()[0] or 0
 
-    def bucket(depth: int, extra: int) -> Column:
-        """Leading digits of the hash, and of the row's number's where these alone leave too many rows with one doc_id."""
-        return F.concat(F.substring("key", 1, depth), F.substring(F.md5(F.col("nth").cast("string").cast("binary")), 1, extra)) if extra else F.substring("key", 1, depth)
-
-    depth, extra = 2, 0
-    counts, largest = counted(depth, extra)
+    prefix = lambda depth: F.substring("key", 1, depth)
+    depth = 2
+    counts, largest = counted(prefix(depth), rows)
     if largest > bucket_rows:
         depth += _digits(largest, bucket_rows)
-        counts, largest = counted(depth, extra)
-    if largest > 2 * bucket_rows:  # no chance of the hash, but one doc_id
-        extra = _digits(largest, bucket_rows)
-        counts, largest = counted(depth, extra)
+        counts, largest = counted(prefix(depth), rows)
+    sub = prefix(depth)
+    if largest > 2 * bucket_rows:  # no chance of the hash, but doc_ids with many rows
+        big = counts.where(F.col("n") > 2 * bucket_rows).select("name", "class", "sub")
+        keys = rows.withColumn("sub", sub).join(big, ["name", "class", "sub"], "left_semi").groupBy("name", "class", "sub", "key").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows)
+        hot = settle(keys.groupBy("name", "class", "sub").agg(F.sort_array(F.collect_list("key")).alias("hot")), "mix-hot")
+        rows = rows.withColumn("sub", sub).join(hot, ["name", "class", "sub"], "left").drop("sub")
+        # Within such a bucket: by how many of its frequent keys come before, a frequent key's rows by size, equal ones anyhow.
+        frequent = F.array_contains("hot", F.col("key"))
+        place = 2 * F.size(F.filter("hot", lambda k: k < F.col("key"))) + frequent.cast("int")
+        any_digits = F.substring(F.md5(F.col("nth").cast("string").cast("binary")), 1, _digits(largest, bucket_rows))
+        within = F.concat(F.lpad(place.cast("string"), 9, "0"), F.when(frequent, F.concat(F.lpad(F.col("size").cast("string"), 19, "0"), any_digits)).otherwise(""))
+        sub = F.when(F.col("hot").isNull(), sub).otherwise(F.concat(sub, F.lit(":"), within))
+        counts, largest = counted(sub, rows)
     earlier = Window.partitionBy("name").orderBy("class", "sub").rowsBetween(Window.unboundedPreceding, -1)
     targets = source_targets(counts.groupBy("source", "name").agg(F.sum("words").alias("source_size")).select("source", "source_size"), weights, most)
     targets = targets.withColumn("name", name).drop("source")
     start = counts.select("name", "class", "sub", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start")).join(targets, "name")
-    rows = rows.withColumn("sub", bucket(depth, extra)).join(start, ["name", "class", "sub"])
+    rows = rows.withColumn("sub", sub).join(start, ["name", "class", "sub"])
     rank = F.col("start") + F.row_number().over(Window.partitionBy("name", "class", "sub").orderBy("key", "size"))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), "name").cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
