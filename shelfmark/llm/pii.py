@@ -56,7 +56,7 @@ CONTEXT_GAIN, CONTEXT_LOSS = 0.4, 0.3
 KEEP = 0.5
 WINDOW = 40
 #: Characters of a secret, and different ones among them, at least.
-SECRET_LENGTH, SECRET_VARIETY = (16, 256), 8
+SECRET_LENGTH, SECRET_VARIETY = 16, 8
 MASK = {k: f"<{k.upper()}>" for k in KINDS}
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, top_score double"
 
@@ -152,8 +152,7 @@ def digits_of(text: str) -> str:
 
 def secret_like(word: str) -> bool:
     """Letters and digits mixed, of many kinds: a word or a number alone is no secret."""
-    low, high = SECRET_LENGTH
-    return low <= len(word) <= high and DIGIT.search(word) is not None and LETTER.search(word) is not None and len(set(word)) >= SECRET_VARIETY
+    return len(word) >= SECRET_LENGTH and DIGIT.search(word) is not None and LETTER.search(word) is not None and len(set(word)) >= SECRET_VARIETY
 
 
 def own_candidates(text: str) -> Iterator[tuple[str, Iterator[tuple[int, int]]]]:

@@ -96,3 +96,10 @@ def test_odd_rows_and_empty_tables(spark):
     none = spark.createDataFrame([], DOC)
     assert pii.pii_spans(none).count() == pii.redact(none).count() == 0
     assert sorted((r.text for r in pii.redact(docs_of(spark, ODD)).collect()), key=repr) == sorted((pii.redact_text(t) for _, t in ODD), key=repr)
+
+
+def test_long_secrets_are_secrets_whatever_their_length(spark):
+    rng = random.Random(9)
+    rows = [(n, f'token = "{"".join(rng.choice("abcdefghjkmnp23456789QRSTUVWX") for _ in range(n))}" end') for n in (16, 250, 260, 5000)]
+    out = {r.doc_id: r.spans for r in pii.pii_spans(docs_of(spark, rows)).collect()}
+    assert all(f"secret:9:{9 + n}" in out[n].split(",") for n, _ in rows), out
