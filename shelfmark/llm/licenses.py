@@ -61,6 +61,8 @@ def templates() -> list[tuple[str, str]]:
 
 #: A match of so many words opens a chain, or as many as the template has; a chain goes on over so many other words.
 LONG, GAP = 5, 3
+#: Templates of so many words, a notice with the licence's name, must be covered whole; of longer ones this share.
+SHORT, COVER = 20, 0.6
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string"
 
 
@@ -70,21 +72,26 @@ class Automaton:
     def __init__(self, texts: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.owners: list[set[int]] = [set()]
-        for k, words in enumerate(texts):
+        self.places: list[dict[int, list[int]]] = [{}]  # where in each template a state's runs end
+        for words in texts:
             last = 0
             for word in words:
                 last = self._add(last, word)
-                state = last
-                while state > 0 and k not in self.owners[state]:
-                    self.owners[state].add(k)
-                    state = self.link[state]
-
-    def _state(self, length: int, link: int, after: dict[int, int], owners: set[int]) -> int:
+        for k, words in enumerate(texts):  # all states are there, so that each prefix leads to its own
+            state = 0
+            for place, word in enumerate(words, 1):
+                state = self.next[state][word]
+                shorter = state
+                while shorter > 0:
+                    self.places[shorter].setdefault(k, []).append(place)
+                    shorter = self.link[shorter]
+        self.owners = [set(found) for found in self.places]
+
+    def _state(self, length: int, link: int, after: dict[int, int]) -> int:
         self.next.append(dict(after))
         self.link.append(link)
         self.length.append(length)
-        self.owners.append(set(owners))
+        self.places.append({})
         return len(self.link) - 1
 
     def _split(self, state: int, word: int) -> int:
@@ -92,7 +99,7 @@ class Automaton:
         to = self.next[state][word]
         if self.length[to] == self.length[state] + 1:
             return to
-        copy = self._state(self.length[state] + 1, self.link[to], self.next[to], self.owners[to])
+        copy = self._state(self.length[state] + 1, self.link[to], self.next[to])
         self.link[to] = copy
         while state >= 0 and self.next[state].get(word) == to:
             self.next[state][word] = copy
@@ -102,7 +109,7 @@ class Automaton:
     def _add(self, last: int, word: int) -> int:
         if word in self.next[last]:
             return self._split(last, word)
-        new, state = self._state(self.length[last] + 1, 0, {}, set()), last
+        new, state = self._state(self.length[last] + 1, 0, {}), last
         while state >= 0 and word not in self.next[state]:
             self.next[state][word] = new
             state = self.link[state]
@@ -149,30 +156,34 @@ class Scanner:
         return np.where(self.hashes[at] == hashes, self.order[at], -1)
 
     def chain(self, words: list[int], start: int, chains: dict[int, list[list[int]]]) -> None:
-        """Carry a document's chains [first word, end, words covered] of each template on over its next run of vocabulary words.
+        """Carry a document's chains [first word, end, words covered, place in the template] of each template on over
+        its next run of vocabulary words.
 
         Matches that end where the next word's match isn't their continuation are the maximal ones.
-        Each counts for the templates that have it, if it is long, or covers all of a short template;
-        matches of one template with few words of any kind between them are chained.
+        Each counts for the templates that have it, if it is long, or covers all of a short template. It goes
+        on with the template's last chain if few words of any kind are between them and it stands in the
+        template behind what the chain has; else it opens a chain.
         """
         stats = [*self.automaton.statistics(words)]
         for i, (length, state) in enumerate(stats):
             if i + 1 < len(stats) and stats[i + 1][0] == length + 1:
                 continue
-            for k in self.automaton.owners[state]:
+            for k, places in self.automaton.places[state].items():
                 if length < min(LONG, self.sizes[k]):
                     continue
                 first, end = start + i + 1 - length, start + i + 1
                 if chains[k] and first <= chains[k][-1][1] + GAP:
                     last = chains[k][-1]
-                    last[2] += end - max(first, last[1])
-                    last[1] = end
-                else:
-                    chains[k].append([first, end, length])
+                    fresh = end - max(first, last[1])
+                    at = bisect_left(places, last[3] + fresh)
+                    if at < len(places):
+                        last[1:] = end, last[2] + fresh, places[at]
+                        continue
+                chains[k].append([first, end, length, places[0]])
 
     def spans(self, chains: dict[int, list[list[int]]]) -> list[tuple[int, int, str, int]]:
-        """(first word, end, label, words covered) of a document's chains."""
-        return [(a, b, self.names[k], n) for k, found in chains.items() for a, b, n in found]
+        """(first word, end, label, words covered) of a document's chains that cover enough of their templates."""
+        return [(a, b, self.names[k], n) for k, found in chains.items() for a, b, n, _ in found if n >= (1 if self.sizes[k] <= SHORT else COVER) * self.sizes[k]]
 
 
 @lru_cache(maxsize=1)
@@ -259,7 +270,9 @@ def license_scan(docs: DataFrame) -> DataFrame:
     Null texts are empty: no words, no labels, score 0. The score is the share of a text's words that
     template spans cover. A plain map over the scan; the automaton has some thousand words. Words that
     no template has end every match, so only runs of vocabulary words are streamed through it, which
-    changes no matching statistic; chains go on from run to run. Templates that cover as many words of
+    changes no matching statistic; chains go on from run to run, forward in the template. A template's label
+    counts where a chain covers all of a short template or COVER of a longer one: phrases that licences have in
+    common, or share with other prose, name none. Templates that cover as many words of
     one place all give their labels. Equal rows give equal rows, null doc_ids stay null, other columns
     are never read, an empty table gives an empty one.
     """

@@ -79,3 +79,36 @@ def test_odd_rows_and_empty_tables(spark):
     out = licenses.license_scan(docs_of(spark, ODD)).collect()
     assert sorted(((r.doc_id, r.n_words) for r in out), key=repr) == sorted(((i, len(words_of(t))) for i, t in ODD), key=repr)
     assert licenses.license_scan(spark.createDataFrame([], DOC)).count() == 0
+
+
+def test_phrases_of_licences_in_other_prose_give_no_label(spark):
+    prose = [
+        "Distributed under the terms of the agreement between both parties.",
+        "Our services, including but not limited to the following items",
+        "You may obtain a copy of the minutes",
+        "As required by applicable law or agreed to in writing by the tenants",
+        "In no event will the committee pay. It is distributed in the hope that it helps.",
+        dict(licenses.TEXTS)["mit"].split("THE SOFTWARE IS PROVIDED")[1],
+        " ".join(reversed(re.findall(r"\S+ \S+ \S+ \S+ \S+ \S+", dict(licenses.TEXTS)["apache"]))),
+    ]
+    out = {r.doc_id: r for r in licenses.license_scan(docs_of(spark, [*enumerate(prose)])).collect()}
+    assert all((out[k].labels, out[k].spans, out[k].score) == ("", "", 0.0) for k in range(len(prose) - 1)), out
+    assert out[len(prose) - 1].spans == ""
+
+
+def test_a_text_with_words_left_out_or_put_in_keeps_its_label(spark):
+    words = dict(licenses.TEXTS)["apache"].split()
+    rows = [(1, " ".join(w for k, w in enumerate(words) if k % 17 != 11)), (2, " ".join(w + " really" * (k % 13 == 5) for k, w in enumerate(words))), (3, " ".join(words[: len(words) // 2]))]
+    out = {r.doc_id: r for r in licenses.license_scan(docs_of(spark, rows)).collect()}
+    assert out[1].spans.startswith("apache:") and out[2].spans == f"apache:0:{out[2].n_words}" and out[3].spans == ""
+
+
+def test_places_are_where_runs_end_in_the_templates():
+    rng = random.Random(16)
+    for _ in range(40):
+        texts = [[rng.randint(0, 3) for _ in range(rng.randint(1, 12))] for _ in range(rng.randint(1, 4))]
+        tool = licenses.Automaton(texts)
+        words = [rng.randint(0, 3) for _ in range(30)]
+        for i, (length, state) in enumerate(tool.statistics(words)):
+            run = words[i + 1 - length : i + 1]
+            assert not length or tool.places[state] == {k: ends for k, t in enumerate(texts) if (ends := [e for e in range(length, len(t) + 1) if t[e - length : e] == run])}
