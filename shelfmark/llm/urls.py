@@ -71,9 +71,6 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     ones without labels stay. A template whose smoothed share of blocked urls reaches PURITY is blocked
     if KNOWN of its urls are labelled.
 
-    The SQL twin follows paths to seven segments, which all given tables keep to, and has neither the second way for a segment to stay apart nor KNOWN: it answers alike
-    where no segment with labels is rare among others without, and no template of few labels reaches PURITY.
-
     All steps are sums by (host, template, segment) and joins with the few frequent segments; no host
     is gathered in one task. Levels go on as deep as SUPPORT urls share a template, whatever the length
     of paths; each writes only the urls that are told apart further. Null urls and those without `://`
@@ -98,35 +95,25 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when((F.col("purity") >= PURITY) & F.col("known"), "block").otherwise("allow")).alias("verdict"), "template", "purity")
 
 
-#: Segments that the SQL twin unrolls.
-LEVELS = 7
-
-
-def _sql() -> str:
-    out = """WITH u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+#: The same, level by level, in a recursive query.
+SQL = """WITH RECURSIVE u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 v AS (SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
     WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
     WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
     WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
-    list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM u),
-r0 AS (SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS ruled,
-    CASE WHEN len(parts) > 6 THEN list_concat(parts[1:6], ['**']) ELSE parts END AS segs, '' AS template,
-    CASE WHEN rule IN ('net/', 'example.com/de/') THEN 1 ELSE 0 END AS block, CASE WHEN rule IS NULL THEN 0 ELSE 1 END AS labelled FROM v)"""
-    for d in range(LEVELS):
-        out += f""",
-a{d} AS (SELECT *, segs[{d + 1}] AS seg FROM r{d}),
-n{d} AS (SELECT host, template, seg, count(*) AS n, sum(block) AS b, sum(labelled) AS m FROM a{d} WHERE seg IS NOT NULL GROUP BY ALL),
-p{d} AS (SELECT *, sum(n) OVER w AS pn, sum(b) OVER w AS pb, sum(m) OVER w AS pm FROM n{d} WINDOW w AS (PARTITION BY host, template)),
-k{d} AS (SELECT host, template, seg, CASE WHEN m < 5 THEN seg
-    WHEN pm > m AND (b / m - (pb - b) / (pm - m)) ** 2 > 3.8416 * (pb / pm * (1 - pb / pm) * (1 / m + 1 / (pm - m))) THEN CASE WHEN b / m > (pb - b) / (pm - m) THEN '{{+}}' ELSE '{{-}}' END
-    ELSE '{{=}}' END AS token FROM p{d} WHERE n >= 5 AND n >= 0.05 * pn),
-r{d + 1} AS (SELECT a.page_id, a.host, a.path, a.rule, a.ruled, a.segs, CASE WHEN a.seg IS NULL THEN a.template ELSE a.template || '/' || coalesce(k.token, '*') END AS template, a.block, a.labelled
-    FROM a{d} a LEFT JOIN k{d} k ON a.host = k.host AND a.template = k.template AND a.seg = k.seg)"""
-    return out + f""",
-s AS (SELECT host, template, (sum(block) + 2.0::DOUBLE) / (sum(labelled) + 4.0::DOUBLE) AS purity FROM r{LEVELS} GROUP BY host, template)
-SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.ruled, CASE WHEN s.purity >= 0.9 THEN 'block' ELSE 'allow' END) AS verdict, r.template, s.purity
-FROM r{LEVELS} r JOIN s ON r.host = s.host AND r.template = s.template"""
-
-
-SQL = _sql()
+    list_filter(string_split(path, '/'), lambda x: x <> '') AS segs FROM u),
+r AS (SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS ruled, segs, '' AS template,
+    CASE WHEN rule IN ('net/', 'example.com/de/') THEN 1 ELSE 0 END AS block, CASE WHEN rule IS NULL THEN 0 ELSE 1 END AS labelled, CAST(0 AS BIGINT) AS depth, len(segs) > 0 AS goes_on FROM v
+UNION ALL (WITH a AS (SELECT *, segs[depth + 1] AS seg FROM r WHERE goes_on),
+    n AS (SELECT host, template, seg, count(*) AS n, sum(block) AS b, sum(labelled) AS m FROM a GROUP BY ALL),
+    p AS (SELECT host, template, sum(n) AS pn, sum(b) AS pb, sum(m) AS pm FROM n GROUP BY ALL HAVING sum(n) >= 5),
+    k AS (SELECT n.host, n.template, n.seg, CASE WHEN m < 5 THEN n.seg
+        WHEN pm > m AND (b / m - (pb - b) / (pm - m)) ** 2 > 3.8416 * (pb / pm * (1 - pb / pm) * (1 / m + 1 / (pm - m))) THEN CASE WHEN b / m > (pb - b) / (pm - m) THEN '{+}' ELSE '{-}' END
+        ELSE '{=}' END AS token FROM n JOIN p ON n.host = p.host AND n.template = p.template WHERE n >= 5 AND (n >= 0.05 * pn OR (m >= 5 AND pn > pm)))
+    SELECT a.page_id, a.host, a.path, a.rule, a.ruled, a.segs, CASE WHEN p.pn IS NULL THEN a.template || repeat('/*', len(a.segs) - a.depth) ELSE a.template || '/' || coalesce(k.token, '*') END, a.block, a.labelled, a.depth + 1, p.pn IS NOT NULL AND len(a.segs) - a.depth > 1
+    FROM a LEFT JOIN p ON a.host = p.host AND a.template = p.template LEFT JOIN k ON a.host = k.host AND a.template = k.template AND a.seg = k.seg)),
+e AS (SELECT * FROM r WHERE NOT goes_on),
+s AS (SELECT host, template, (sum(block) + 2.0::DOUBLE) / (sum(labelled) + 4.0::DOUBLE) AS purity, sum(labelled) >= 0.5 * count(*) AS known FROM e GROUP BY host, template)
+SELECT e.page_id, e.host, e.path, e.rule, coalesce(e.ruled, CASE WHEN s.purity >= 0.9 AND s.known THEN 'block' ELSE 'allow' END) AS verdict, e.template, s.purity
+FROM e JOIN s ON e.host = s.host AND e.template = s.template"""

@@ -92,3 +92,18 @@ def test_one_very_deep_path_costs_no_level_of_its_own(spark):
     began = time.time()
     out = judged(spark, rows)
     assert time.time() - began < 60 and out[1][1] == "/*" * 5000 and out[2][1] == "/*" * 5001 and out[3][1] == "/*"
+
+
+def test_sql_twin_follows_deep_paths_and_rare_labelled_segments(spark, tmp_path):
+    import random
+
+    from ..compare import differ, duck
+
+    rng = random.Random(12)
+    rows = []
+    for k in range(1500):
+        host = rng.choice(("example.com", "a.example.com", "example.net", "x.org", "plain.io"))
+        segs = [rng.choice(("de", "en", "fr", "p")) for _ in range(rng.choice((0, 1, 2)))] + [rng.choice("ab") for _ in range(rng.choice((0, 3, 12)))] + [str(rng.randrange(40))]
+        rows.append((k, rng.choice((None, "no url", f"https://{host}/" + "/".join(segs))) if k % 50 == 0 else f"https://{host}/" + "/".join(segs)))
+    spark.createDataFrame(rows, "page_id long, url string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    assert differ(urls.judge_urls(spark.read.parquet(f"{tmp_path}/pages.parquet")), duck(str(tmp_path)), urls.SQL) == ""
