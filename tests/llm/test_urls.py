@@ -95,8 +95,6 @@ def test_one_very_deep_path_costs_no_level_of_its_own(spark):
 
 
 def test_sql_twin_follows_deep_paths_and_rare_labelled_segments(spark, tmp_path):
-    import random
-
     from ..compare import differ, duck
 
     rng = random.Random(12)
