@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -33,12 +34,17 @@ def anchors(html: Column) -> Column:
     return F.filter(F.regexp_extract_all(html, F.lit(_TOKENS), F.lit(1)), lambda tag: tag != "")
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """The first value of an attribute in what anchors gives, references decoded; null if there is none."""
+def written(tag: Column, name: str) -> Column:
+    """The first value of an attribute in what anchors gives, as it is written; null if there is none."""
     text = F.regexp_replace(tag, r">\z", "")
     names, values = (F.regexp_extract_all(text, F.lit("(?s)" + _ATTRIBUTE), F.lit(k)) for k in (1, 2))
     found = F.get(F.filter(F.arrays_zip(names.alias("name"), values.alias("value")), lambda a: F.lower(a["name"]) == name), F.lit(0))["value"]
-    return references(F.regexp_replace(found, r"""(?s)^(["'])(.*)\1\z""", "$2"))
+    return F.regexp_replace(found, r"""(?s)^(["'])(.*)\1\z""", "$2")
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The same with references decoded."""
+    return references(written(tag, name))
 
 
 def _character(code: Column) -> Column:
@@ -50,7 +56,7 @@ def _character(code: Column) -> Column:
 def references(text: Column) -> Column:
     """Character references of an attribute's value decoded: numbers, and names by HTML's own table. A name without
     a semicolon counts only if neither `=` nor a letter or digit follows."""
-    table = F.map_from_arrays(F.array(*map(F.lit, html5)), F.array(*map(F.lit, html5.values())))
+    table = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")  # one constant, not thousands
 
     def piece(p: Column) -> Column:
         digits, hexes = F.regexp_extract(p, "^#0*([0-9]+)", 1), F.regexp_extract(p, "^#[xX]0*([0-9a-fA-F]+)", 1)

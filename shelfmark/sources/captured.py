@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.html import anchors, attribute
+from ..functions.html import anchors, references, written
 from ..functions.http import content_length, http_date_epoch, media_type
 from ..functions.paths import basename, clean_path
 from ..functions.urls import decode_uri_path, link_kind, link_path, resolve_link, url_path
@@ -25,8 +25,8 @@ def extract_links(pages: DataFrame, same_host_only: bool = False) -> DataFrame:
     if "content_type" in pages.columns:
         pages = only_html(pages)
     keep = [c for c in pages.columns if c not in ("html", "path", "name", "is_dir")]
-    rows = pages.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), "url", F.explode(anchors(F.col("html"))).alias("tag"))
-    rows = rows.withColumn("href", attribute(F.col("tag"), "href")).where("href IS NOT NULL")
+    rows = pages.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), "url", F.explode(F.filter(F.transform(anchors(F.col("html")), lambda tag: written(tag, "href")), lambda x: x.isNotNull())).alias("raw"))
+    rows = rows.withColumn("href", references(F.col("raw")))
     page = F.when(url_path(F.col("url")) == "", "/").otherwise(url_path(F.col("url")))
     if same_host_only:
         host = r"(?i)^https?://([^/?#]+)"
