@@ -104,20 +104,31 @@ def frequency_table(docs: DataFrame, like: Likeness) -> np.ndarray:
 
 
 def _ranges(found: np.ndarray) -> bytes:
-    """Counts by range, a byte each; none where a byte doesn't hold them, which the filter lets pass."""
+    """Counts by range: two in a byte, and a byte more to tell these apart, or a byte each; none where a byte doesn't
+    hold them, which the filter lets pass."""
     bits = RANGES.bit_length() - 1
     while len(found) > IN_RANGE << bits:
         bits += 1
     counts = np.bincount(found >> np.uint64(64 - bits), minlength=1 << bits)
+    if counts.max() < 16:
+        return (counts[::2] << 4 | counts[1::2]).astype(np.uint8).tobytes() + b"\0"
     return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
 
 
+def _each(ranges: bytes) -> bytes:
+    """What _ranges told, a byte each."""
+    if len(ranges) % 2 == 0:
+        return ranges
+    two = np.frombuffer(ranges, np.uint8)[:-1]
+    return np.stack((two >> 4, two & 15), 1).tobytes()
+
+
 class _Counts:
     """Counts by range of some sets: by how much two sets differ in sum, over the ranges of the one that has fewer."""
 
     def __init__(self, ranges: list[bytes]):
-        self.ranges = ranges
-        self.width = np.array([len(r) for r in ranges])
+        self.ranges = [_each(r) for r in ranges]
+        self.width = np.array([len(r) for r in self.ranges])
         self.folded: dict[int, np.ndarray] = {}
 
     def at(self, width: int) -> np.ndarray:
@@ -141,10 +152,12 @@ class _Counts:
 
 
 def _prefixes(table, like: Likeness, bits: int):
-    """A row for each document: its key and place, size, names of the set, counts by range, and the rarest shingles in order."""
+    """A row for each document: its key and place, size, names of the set, counts by range, and the rarest shingles in
+    order; of documents of one class in a task only the first has shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = table.value
+        seen: set[tuple[int, int]] = set()
         for batch in pieces(batches):
             sizes, names, ranges, prefixes = [], [], [], []
             for found in shingle_arrays(batch.column("text"), like.words):
@@ -152,7 +165,8 @@ def _prefixes(table, like: Likeness, bits: int):
                 sizes.append(n)
                 names.append(set_names(found, bits) if n else (None, None))
                 ranges.append(_ranges(found) if n else None)
-                if n:
+                if n and names[-1] not in seen:
+                    seen.add(names[-1])
                     rare = np.argsort(counts[found >> np.uint64(64 - CELL_BITS)], kind="stable")[: like.prefix_size(n)]
                     prefixes.append(found[rare].view(np.int64))
                 else:
@@ -251,9 +265,16 @@ def _feasible(rows: list[tuple], same: bool, like: Likeness) -> Iterator[tuple[i
                 yield i, j
 
 
+PLACED = ("gram", "cls", "root", "n", "pos")
+
+
+def _placed(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * len(PLACED))], PLACED)
+
+
 def _live(batches: Iterator[pa.RecordBatch], like: Likeness, suffix: bool) -> Iterator[pa.RecordBatch]:
-    """The (gram, cls) that have any partner under the length and positional filters, and the suffix filter if asked."""
-    grams, classes = [], []
+    """The rows that have any partner under the length and positional filters, and the suffix filter if asked."""
+    found: list[tuple] = []
     for (gram, one, two), rows in _grouped(batches, ("side", "root", "n", "pos", "cls", *(["ranges"] if suffix else []))):
         counts = _Counts([r[5] for r in rows]) if suffix else None
         sizes = np.array([r[2] for r in rows])
@@ -264,12 +285,11 @@ def _live(batches: Iterator[pa.RecordBatch], like: Likeness, suffix: bool) -> It
             if len(j):
                 alive.add(i)
                 alive.update(j.tolist())
-        grams += [gram] * len(alive)
-        classes += [rows[i][4] for i in alive]
-        if len(grams) > 50_000:
-            yield pa.RecordBatch.from_pydict({"gram": pa.array(grams, pa.int64()), "cls": pa.array(classes, pa.int64())})
-            grams, classes = [], []
-    yield pa.RecordBatch.from_pydict({"gram": pa.array(grams, pa.int64()), "cls": pa.array(classes, pa.int64())})
+        found += [(gram, rows[i][4], *rows[i][1:4]) for i in alive]
+        if len(found) > 50_000:
+            yield _placed(found)
+            found = []
+    yield _placed(found)
 
 
 def _meet(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
@@ -327,9 +347,11 @@ def _near(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.Reco
     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["cls", "apart", "other"])
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
+def _dealt(rows: DataFrame, about: DataFrame | None = None) -> DataFrame:
     """Rows of each gram together and in order of size; grams with more than BLOCK rows as pairs of blocks.
 
+    What is known `about` each cls joins last, so that these wide columns are shuffled with the rows once only.
+
     Of each gram the largest component stands apart: its rows only meet those of other components, so
     that a group that is connected but for a few is compared with these few only.
     """
@@ -342,6 +364,8 @@ def _dealt(rows: DataFrame) -> DataFrame:
     to = F.sequence(F.lit(0).cast("long"), F.when(F.col("apart"), F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)
     deal = F.transform(to, lambda x: F.struct(F.least(x, F.col("mine")).alias("one"), F.greatest(x, F.col("mine")).alias("two"), F.when(x < F.col("mine"), 1).otherwise(0).alias("side")))
     rows = rows.withColumn("d", F.explode(deal)).select("*", "d.one", "d.two", "d.side").drop("d", "mine", "main", "few", "many", "apart")
+    if about is not None:
+        rows = rows.join(about, "cls")
     return rows.repartition(spread(rows.sparkSession), "gram", "one", "two").sortWithinPartitions("gram", "one", "two", "n")
 
 
@@ -352,7 +376,7 @@ def _remaining_pairs(rest: DataFrame, classes: DataFrame, like: Likeness) -> Dat
     """
     own = rest.groupBy("cls").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "gram"))), lambda x: x["gram"]).alias("own"))
     about = own.join(classes.select("cls", "ranges"), "cls")
-    return _dealt(rest.join(about, "cls")).mapInArrow(lambda batches: _meet(batches, like), "a long, b long")
+    return _dealt(rest, about).mapInArrow(lambda batches: _meet(batches, like), "a long, b long")
 
 
 def _side(df: DataFrame, name: str, **columns: str) -> DataFrame:
@@ -409,25 +433,37 @@ class _Join:
         like = self.like
         return self.shelf.put(whole.select("a", "b", "sa", "sb").mapInArrow(lambda batches: _linked(batches, like), "a long, b long"), f"{name}-links")
 
-    def with_partner(self, rest: DataFrame, name: str) -> DataFrame:
-        """Rows of `rest` with a partner: a pass with narrow rows for the length and positional filters, then one for
-        the suffix filter, too, with what is left.
+    def with_partner(self, rest: DataFrame, suffix: bool = False) -> DataFrame:
+        """Rows of `rest` with a partner under the length and positional filters, and the suffix filter if asked.
 
         Components only grow, so what has no partner in another one now has none later either.
         """
         like = self.like
-        for suffix in (False, True):
-            rows = rest.join(self.classes.select("cls", "ranges"), "cls") if suffix else rest
-            live = _dealt(rows).mapInArrow(lambda batches, suffix=suffix: _live(batches, like, suffix), "gram long, cls long").distinct()
-            rest = self.shelf.put(rest.join(live, ["gram", "cls"], "left_semi"), f"{name}-{'alike' if suffix else 'live'}")
-        self.shelf.drop(f"{name}-live")
-        return rest
+        dealt = _dealt(rest, self.classes.select("cls", "ranges") if suffix else None)
+        return dealt.mapInArrow(lambda batches: _live(batches, like, suffix), ", ".join(f"{c} long" for c in PLACED)).distinct()
+
+    def alike(self, rest: DataFrame, name: str) -> DataFrame:
+        """Rows of `rest` with a partner under the suffix filter, too.
+
+        A shingle of two rows stands for one pair. Two long sets share many of these: each pair is filtered once and
+        keeps the first of its shingles only, which is all that the positional filter and later steps need. Counts by
+        range, of which long sets have many, so travel once for a pair, not once for each shingle that it shares.
+        """
+        at = F.struct("cls", "pos")
+        two = rest.groupBy("gram").agg(F.count("*").alias("rows"), F.min(at).alias("x"), F.max(at).alias("y")).where("rows = 2")
+        two = self.shelf.put(two.select("gram", F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.pos").alias("pos")), f"{name}-two")
+        first = self.shelf.put(two.groupBy("a", "b").agg(F.min(F.struct("pos", "gram")).alias("m")).select("a", "b", F.col("m.gram").alias("gram")), f"{name}-first")
+        fit = first.join(self.filtered(first.select("a", "b")), ["a", "b"], "left_semi").select("gram")
+        more = self.with_partner(rest.join(two.select("gram"), "gram", "left_anti"), True)
+        found = self.shelf.put(rest.join(fit, "gram", "left_semi").select(*PLACED).unionByName(more), f"{name}-alike")
+        self.shelf.drop(f"{name}-two", f"{name}-first")
+        return found
 
     def unconnected(self, grams: DataFrame, root: DataFrame, name: str) -> DataFrame:
         """Rows (gram, cls, n, pos) of the shingles whose classes stand in more than one component, with their component."""
         placed = grams.select("gram", "cls", "n", "pos").join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         mixed = placed.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram")
-        return self.with_partner(self.shelf.put(placed.join(mixed, "gram"), name), name)
+        return self.shelf.put(self.with_partner(self.shelf.put(placed.join(mixed, "gram"), name)), f"{name}-live")
 
     def nearest(self, rest: DataFrame, failed: DataFrame, name: str) -> DataFrame:
         """(cls, other): each class with the nearest of another component that it isn't known not to link with.
@@ -437,7 +473,7 @@ class _Join:
         """
         like = self.like
         about = self.classes.select("cls", "ranges").join(failed.groupBy("cls").agg(F.collect_list("other").alias("failed")), "cls", "left")
-        near = _dealt(rest.join(about, "cls")).mapInArrow(lambda batches: _near(batches, like), "cls long, apart long, other long")
+        near = _dealt(rest, about).mapInArrow(lambda batches: _near(batches, like), "cls long, apart long, other long")
         return self.shelf.put(near.groupBy("cls").agg(F.min(F.struct("apart", "other")).alias("m")).select("cls", F.col("m.other").alias("other")), name)
 
 
@@ -496,8 +532,8 @@ def ngram_components(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR
     shelf.drop("star-sets", "star-places")
     root = components(links, "ngrams-star")
     placed = grams.select("gram", "cls", F.expr("shiftright(where, 32)").alias("n"), F.expr("where & 4294967295").alias("pos")).distinct()
-    rest = run.unconnected(placed, root, "apart")
-    shelf.drop("grams", "apart")
+    rest = run.alike(run.unconnected(placed, root, "apart"), "apart")
+    shelf.drop("grams", "apart", "apart-live")
     run.fetch(rest, "rest")
     done, failed = star, _failed(star.select(F.col("b").alias("cls"), F.col("a").alias("other")), links)
     for k in range(ROUNDS):
