@@ -105,3 +105,25 @@ def test_the_suffix_filter_never_exceeds_the_true_difference():
     assert (apart <= true).all() and all(apart[k] == 0 for k, (a, b) in enumerate(pairs) if a == b)
     fresh = ngrams._Counts([ngrams._ranges(np.sort(rng.integers(0, 1 << 64, 8000, dtype=np.uint64))) for _ in range(2)])
     assert not ngrams.Likeness().ranges_fit(fresh.apart(np.array([0]), np.array([1]))[0], 16000)
+
+
+def test_counts_by_range_are_whole_however_they_are_packed():
+    rng = np.random.default_rng(5)
+    few = np.unique(rng.integers(0, 1 << 64, 300, dtype=np.uint64, endpoint=False))
+    hot = np.arange(200, dtype=np.uint64)  # more than two in a byte can hold
+    for found in (few[:1], few, hot, np.unique(np.concatenate((few, hot)))):
+        packed = ngrams._ranges(found)
+        assert np.frombuffer(ngrams._each(packed), np.uint8).tolist() == np.bincount(found >> np.uint64(57), minlength=128).tolist()
+    assert len(ngrams._ranges(few)) == 65 and len(ngrams._ranges(hot)) == 128
+
+
+def test_a_pair_keeps_the_first_of_the_shingles_that_are_its_alone(spark):
+    rng = np.random.default_rng(6)
+    one, far = (np.unique(rng.integers(0, 1 << 64, 400, dtype=np.uint64, endpoint=False)) for _ in range(2))
+    sets = {1: one, 2: one[:-10], 3: far, 4: one[10:]}
+    run = ngrams._Join(docs_of(spark, []), ngrams.Likeness(), ngrams.NAME_BITS)
+    run.classes = spark.createDataFrame([(c, len(x), bytearray(ngrams._ranges(x))) for c, x in sets.items()], "cls long, n long, ranges binary")
+    met = [(10, (1, 2), 0), (11, (1, 2), 3), (12, (1, 3), 1), (13, (1, 2, 4), 5), (14, (3, 4), 2), (15, (2, 3, 4), 6)]
+    rest = spark.createDataFrame([(g, c, c, len(sets[c]), pos) for g, classes, pos in met for c in classes], "gram long, cls long, root long, n long, pos long")
+    found = {(r.gram, r.cls) for r in run.alike(rest, "test").collect()}
+    assert found == {(10, 1), (10, 2), (13, 1), (13, 2), (13, 4), (15, 2), (15, 4)}
