@@ -46,8 +46,14 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's ids. Null and empty texts have none, repeated rows are encoded each, an empty table gives an empty one."""
-    return bpe.encode_ids(docs, tokenizer_path("byte_bpe_multi_50k.tiktoken"), token_pattern(), keep=("source", "lang"))
+    """Each document's ids: doc_id, source and lang as far as docs has them, n_tokens, ids; all other columns go, whatever
+    their names.
+
+    Null and empty texts have no ids, very long ones are encoded whole, null doc_ids stay null, repeated rows are
+    encoded each, an empty table gives an empty one.
+    """
+    keep = tuple(c for c in ("source", "lang") if c in docs.columns)
+    return bpe.encode_ids(docs, tokenizer_path("byte_bpe_multi_50k.tiktoken"), token_pattern(), keep=keep)
 
 
 STAGES = [
