@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Shelf, components, joined_components, lower, mix, pieces, small_batches, spaces, spread, summed, utf8, word_hashes, word_table
@@ -20,6 +20,9 @@ SIMILAR, PARTS = 80, 100
 #: Cells (a power of two) of the table of shingle frequencies, in slices that are summed apart. Four bytes a cell
 #: go to every task; more cells tell rare shingles apart in corpora of far more than a million documents.
 CELL_BITS, SLICES = 20, 16
+#: A shingle is hot if its cell counts more documents than this, and than this many times the mean of all cells. What
+#: is not hot has no more rows than that, a fixed share of all at any size, and may stand in one task.
+HOT, HOT_MEANS = 1 << 12, 8
 #: Ranges of the shingle order whose counts the suffix filter compares, at least, and shingles of a range on average,
 #: at most: long documents have as many more ranges.
 RANGES, IN_RANGE = 128, 4
@@ -103,6 +106,11 @@ def frequency_table(docs: DataFrame, like: Likeness) -> np.ndarray:
     return np.minimum(table.reshape(-1), (1 << 31) - 1).astype(np.uint32)
 
 
+def hot_from(table: np.ndarray) -> int:
+    """The count of a cell from which its shingles are hot."""
+    return max(HOT, int(HOT_MEANS * table.mean())) + 1
+
+
 def _ranges(found: np.ndarray) -> bytes:
     """Counts by range: two in a byte, and a byte more to tell these apart, or a byte each; none where a byte doesn't
     hold them, which the filter lets pass."""
@@ -153,13 +161,13 @@ class _Counts:
 
 def _prefixes(table, like: Likeness, bits: int):
     """A row for each document: its key and place, size, names of the set, counts by range, and the rarest shingles in
-    order; of documents of one class in a task only the first has shingles."""
+    order, of which the first `cold` are not hot; of documents of one class in a task only the first has shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = table.value
+        counts, hot = table.value
         seen: set[tuple[int, int]] = set()
         for batch in pieces(batches):
-            sizes, names, ranges, prefixes = [], [], [], []
+            sizes, names, ranges, prefixes, cold = [], [], [], [], []
             for found in shingle_arrays(batch.column("text"), like.words):
                 n = len(found)
                 sizes.append(n)
@@ -167,18 +175,21 @@ def _prefixes(table, like: Likeness, bits: int):
                 ranges.append(_ranges(found) if n else None)
                 if n and names[-1] not in seen:
                     seen.add(names[-1])
-                    rare = np.argsort(counts[found >> np.uint64(64 - CELL_BITS)], kind="stable")[: like.prefix_size(n)]
+                    met = counts[found >> np.uint64(64 - CELL_BITS)]
+                    rare = np.argsort(met, kind="stable")[: like.prefix_size(n)]
                     prefixes.append(found[rare].view(np.int64))
+                    cold.append(int((met[rare] < hot).sum()))
                 else:
                     prefixes.append(np.zeros(0, np.int64))
+                    cold.append(0)
             ends = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
             cls, more = zip(*names)
-            yield pa.RecordBatch.from_pydict({**{c: batch.column(c) for c in ("doc_id", "digest", "place")}, "n": pa.array(sizes, pa.int64()), "cls": pa.array(cls, pa.int64()), "more": pa.array(more, pa.int64()), "ranges": pa.array(ranges, pa.binary()), "prefix": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))})
+            yield pa.RecordBatch.from_pydict({**{c: batch.column(c) for c in ("doc_id", "digest", "place")}, "n": pa.array(sizes, pa.int64()), "cls": pa.array(cls, pa.int64()), "more": pa.array(more, pa.int64()), "ranges": pa.array(ranges, pa.binary()), "cold": pa.array(cold, pa.int32()), "prefix": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))})
 
     return run
 
 
-KNOWN = "doc_id long, digest long, place long, n long, cls long, more long, ranges binary, prefix array<long>"
+KNOWN = "doc_id long, digest long, place long, n long, cls long, more long, ranges binary, cold int, prefix array<long>"
 
 
 def _sets(like: Likeness, bits: int):
@@ -398,7 +409,8 @@ class _Join:
 
     def known(self) -> DataFrame:
         """All documents with their classes' names; the classes."""
-        table = self.spark.sparkContext.broadcast(frequency_table(self.docs, self.like))
+        counts = frequency_table(self.docs, self.like)
+        table = self.spark.sparkContext.broadcast((counts, hot_from(counts)))
         known = self.shelf.put(self.docs.mapInArrow(_prefixes(table, self.like, self.bits), KNOWN), "known")
         self.classes = self._classes(known, "classes")
         clash = self.classes.where("least <> most")
@@ -477,6 +489,21 @@ class _Join:
         return self.shelf.put(near.groupBy("cls").agg(F.min(F.struct("apart", "other")).alias("m")).select("cls", F.col("m.other").alias("other")), name)
 
 
+def _headed(known: DataFrame) -> DataFrame:
+    """Rows (gram, cls, where, head) of the shingles that several classes have in their prefix; the head is the least.
+
+    Rows of shingles that are not hot are shuffled once and see their shingle's others there. Rows of hot ones are
+    summed before the shuffle and join the sums, so that adaptive execution can split them.
+    """
+    where = (F.col("n") * 4294967296 + F.col("pos")).alias("where")
+    rows = known.where("cls IS NOT NULL")
+    rows = [part.select("cls", "n", "cold", F.posexplode("prefix").alias("pos", "gram")).where(which).select("gram", "cls", where) for part, which in ((rows, "pos < cold"), (rows.where("size(prefix) > cold"), "pos >= cold"))]
+    same = Window.partitionBy("gram")
+    cold = rows[0].withColumn("head", F.min("cls").over(same)).withColumn("other", F.max("cls").over(same)).where("head <> other")
+    heads = rows[1].groupBy("gram").agg(F.min("cls").alias("head"), F.max("cls").alias("other")).where("head <> other")
+    return cold.drop("other").unionByName(rows[1].join(heads.drop("other"), "gram"))
+
+
 def _pair(df: DataFrame) -> DataFrame:
     """(cls, other) -> pairs (a, b), once each."""
     return df.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
@@ -521,9 +548,7 @@ def ngram_components(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR
     run = _Join(docs, like, name_bits)
     shelf = run.shelf
     known = run.known()
-    rows = known.where("cls IS NOT NULL").select("cls", "n", F.posexplode("prefix").alias("pos", "gram"))
-    heads = rows.select("gram", "cls").groupBy("gram").agg(F.min("cls").alias("head"), F.max("cls").alias("other")).where("head <> other").select("gram", "head")
-    grams = shelf.put(rows.select("gram", "cls", (F.col("n") * 4294967296 + F.col("pos")).alias("where")).join(heads, "gram"), "grams")
+    grams = shelf.put(_headed(known), "grams")
     answers = shelf.put(known.select("doc_id", "digest", "n", "cls"), "answers")
     shelf.drop("known")
     star = shelf.put(run.filtered(grams.where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()), "star")

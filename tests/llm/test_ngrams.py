@@ -127,3 +127,20 @@ def test_a_pair_keeps_the_first_of_the_shingles_that_are_its_alone(spark):
     rest = spark.createDataFrame([(g, c, c, len(sets[c]), pos) for g, classes, pos in met for c in classes], "gram long, cls long, root long, n long, pos long")
     found = {(r.gram, r.cls) for r in run.alike(rest, "test").collect()}
     assert found == {(10, 1), (10, 2), (13, 1), (13, 2), (13, 4), (15, 2), (15, 4)}
+
+
+def test_hot_and_other_shingles_have_the_same_heads(spark, monkeypatch):
+    rows = near_copies(12, groups=4, each=20)
+    docs, found, cold = docs_of(spark, rows), [], []
+    for hot in (0, 12, 1 << 12):
+        monkeypatch.setattr(ngrams, "HOT", hot)
+        monkeypatch.setattr(ngrams, "HOT_MEANS", 0)
+        known = ngrams._Join(docs, ngrams.Likeness(), ngrams.NAME_BITS).known()
+        found.append(Counter(map(tuple, ngrams._headed(known).collect())))
+        cold.append(known.agg(F.sum("cold"), F.sum(F.size("prefix"))).first())
+        if hot == 12:
+            shared = known.select("cls", "cold", F.posexplode("prefix").alias("pos", "gram")).where("pos < cold").groupBy("gram").count()
+            assert shared.agg(F.max("count")).first()[0] <= hot
+            assert Counter(map(tuple, ngrams.ngram_components(docs).select("doc_id", "n_shingles", "component_id").collect())) == brute_components(rows)
+    assert found[0] == found[1] == found[2] and found[0]
+    assert cold[0][0] == 0 < cold[1][0] < cold[1][1] and cold[2][0] == cold[2][1]
