@@ -30,12 +30,21 @@ def exempt_by_prefix(df: DataFrame, column: str, prefixes: DataFrame, strategy:
     few = strategy != "ancestors" and len(prefixes.limit(FEW_PREFIXES + 1).collect()) <= FEW_PREFIXES
     if strategy == "broadcast" and not few:
         raise ValueError(f"more than {FEW_PREFIXES} prefixes are not broadcast")
-    names = prefixes.select(F.col("prefix").alias("_prefix")).distinct()
     if few:
+        names = prefixes.select(F.col("prefix").alias("_prefix")).distinct()
         return df.join(F.broadcast(names), F.startswith(df[column], F.col("_prefix")), "left_anti")
+    return df.join(_keys_below(df, column, prefixes), df[column] == F.col("_key"), "left_anti")
+
+
+def below_prefix(df: DataFrame, column: str, prefixes: DataFrame) -> DataFrame:
+    """The other rows of exempt_by_prefix, for any number of prefixes: those whose path stands under one of them."""
+    return df.join(_keys_below(df, column, prefixes), df[column] == F.col("_key"), "left_semi")
+
+
+def _keys_below(df: DataFrame, column: str, prefixes: DataFrame) -> DataFrame:
+    names = prefixes.select(F.col("prefix").alias("_prefix")).distinct()
     under = df.select(F.col(column).alias("_key")).distinct().select("_key", F.explode(ancestors(F.col("_key"))).alias("_prefix"))
-    hit = under.join(names, "_prefix", "left_semi").select("_key").distinct()
-    return df.join(hit, df[column] == F.col("_key"), "left_anti")
+    return under.join(names, "_prefix", "left_semi").select("_key").distinct()
 
 
 def attach_content(pointers: DataFrame, content: DataFrame) -> DataFrame:

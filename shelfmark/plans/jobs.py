@@ -1,4 +1,4 @@
-"""Composed jobs E1-E5: DataFrames in, plans out; nothing runs before a sink."""
+"""Composed jobs E1-E5: DataFrames in, plans out; nothing but E5 runs before a sink."""
 
 from __future__ import annotations
 
@@ -93,8 +93,9 @@ def reconcile(remote: DataFrame, local: DataFrame, target: DataFrame, content: D
     """E5: E1 to E4; mode & 4 discovers, mode & 1 synchronises.
 
     Under a directory whose listing failed, what is in the local manifest counts as still there for E2 to E4 as
-    well, as E1 has it: the target's files are neither deleted nor forgotten. These rows are written out first, since
-    all later plans read them.
+    well, as E1 has it: the target's files are neither deleted nor forgotten. The files seen, these rows, the preserve
+    set and the update plan are written out as they are made, since several later plans read each: left as plans,
+    they would all be joined by path again in one stage, whose tasks hold every join's sort at once.
     """
     out: dict[str, DataFrame] = {}
     if mode & 4:
@@ -103,10 +104,10 @@ def reconcile(remote: DataFrame, local: DataFrame, target: DataFrame, content: D
         raise RuntimeError("a directory listing failed")
     if mode & 1:
         if failed_listings is not None:
-            unseen = diff.stale(local, remote)
-            unseen = diff.stale(unseen, verify.exempt_by_prefix(unseen, "path", below(failed_listings), "ancestors"))
+            remote = settle(remote, "seen")
+            unseen = diff.stale(verify.below_prefix(local, "path", below(failed_listings)), remote)
             remote = remote.unionByName(settle(unseen.select(*remote.columns), "unseen"))
         keep, out["report"] = preserve_plan(remote, content, dirs, entries, cfg, **skips)
-        out["update"] = update_plan(keep, remote, target)
+        out["update"] = settle(update_plan(settle(keep, "keep"), remote, target), "update")
         out["pointers"], out["copies"], out["manifest"] = finalise_plan(out["update"], remote, target, content, cfg)
     return out

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.fixtures import load
+from shelfmark.operators import verify
 from shelfmark.operators.diff import upsert_manifest
+from shelfmark.plans import jobs as jobs_of_plans
 from shelfmark.plans.queries import ORACLES, QUERIES
 from shelfmark.streaming import jobs
 
@@ -54,3 +56,28 @@ def test_walk_order_all_gives_each_file_of_each_root_a_position(spark, sf):
     assert len({p.split("/")[1] for p in paths}) > 1
     want = [(p, i) for i, p in enumerate(sorted(paths, key=lambda p: p.split("/")), 1)]
     assert sorted(map(tuple, QUERIES["walk_order_all"](spark, sf).collect()), key=lambda r: r[1]) == want
+
+
+@pytest.mark.parametrize("name", ["reconciled_update_after_failures", "reconciled_manifest_after_failures", "reconciled_pointers"])
+def test_reconcile_leaves_few_joins_to_one_stage(spark, sf, monkeypatch, name):
+    plans = []
+    settle = jobs_of_plans.settle
+
+    def noted(df, what):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settle(df, what)
+
+    monkeypatch.setattr(jobs_of_plans, "settle", noted)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans.append(QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [p.count("SortMergeJoin") for p in plans if p.count("SortMergeJoin") > 9] == []  # each sorts both its sides
+
+
+def test_rows_below_prefixes_are_those_that_are_not_exempt(spark):
+    rows = spark.createDataFrame([(p,) for p in ("/a/b/c", "/a/b/c", "/a/bc", "/a/b", "/x/y", "/z", None)], "path string")
+    prefixes = spark.createDataFrame([("/a/b/",), ("/a/",), ("/x/y/",), ("/a/",)], "prefix string")
+    assert sorted(r.path for r in verify.below_prefix(rows, "path", prefixes).collect()) == ["/a/b", "/a/b/c", "/a/b/c", "/a/bc"]
+    assert {r.path for r in verify.exempt_by_prefix(rows, "path", prefixes, "ancestors").collect()} == {"/x/y", "/z", None}
