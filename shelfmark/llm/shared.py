@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared_dir import Shelf, scratch, settle  # noqa: F401
+from ..sources.shared_dir import Shelf, file_system, scratch, settle  # noqa: F401
 
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Bytes of text that one numpy step handles; temporary arrays take about 50 times as much.
@@ -36,19 +36,6 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-#: Schemes under which Spark knows a store that pyarrow knows under another.
-SCHEMES = {"s3a": "s3", "s3n": "s3", "gcs": "gs"}
-
-
-def file_system(folder: str):
-    """(file system, path) of a folder as executors read and write it: file, hdfs, viewfs, s3, gs and abfs schemes
-    (the Hadoop ones need libhdfs). Raises for others, on the driver too, so that a job fails before it runs."""
-    from pyarrow import fs
-
-    scheme, _, rest = folder.partition("://")
-    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}" if rest else folder)
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts, one after the other, and where each begins (with the end as last); null is empty."""
     column = column.cast(pa.large_string()).fill_null("")

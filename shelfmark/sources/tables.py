@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyarrow import fs
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import normalise_prefix
-from ..functions.urls import decode_uri_path
+from .shared_dir import file_system, settle
 from .snapshots import read_manifest, versions, write_snapshot  # noqa: F401
 
 
@@ -19,16 +20,65 @@ def lookup(keys: DataFrame, manifest: DataFrame) -> DataFrame:
     return keys.select("path").distinct().join(manifest, "path")
 
 
-def _relative(df: DataFrame, base: str) -> DataFrame:
-    full = F.regexp_replace(decode_uri_path(F.col("_metadata.file_path")), "^[a-z0-9]+:/+", "/")
-    stem = "/" + base.split("://")[-1].strip("/").removeprefix("file:").strip("/")
-    return df.withColumn("path", F.substr(full, F.lit(len(stem) + 1)))
+#: Rows, and bytes of bodies, that a batch of a listing or of files read holds about.
+ROWS, BYTES = 5000, 16 << 20
+
+
+def _listed(spark: SparkSession, base: str) -> DataFrame:
+    """(path, length) of all files below a folder.
+
+    The directories of each level are dealt out to tasks, which list one after the other, and what they find is written:
+    neither files nor directories pass through the driver, as they do in a scan of Spark's own, which lists its folder
+    before it reads. A directory's own entries are one call of its store. As many steps as the tree is deep.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = file_system(base)
+        root, rows = root.rstrip("/"), []
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                for e in store.get_file_info(fs.FileSelector(f"{root}{folder}" or "/")):
+                    if e.type in (fs.FileType.File, fs.FileType.Directory):
+                        rows.append({"path": f"{folder}/{e.base_name}", "length": e.size, "is_dir": e.type == fs.FileType.Directory})
+                    if len(rows) == ROWS:
+                        yield pa.RecordBatch.from_pylist(rows, _LISTED)
+                        rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, _LISTED)
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    level, files = spark.range(1).select(F.lit("").alias("path")), []
+    while not files or not level.isEmpty():
+        found = settle(level.repartition(parts, "path").mapInArrow(run, "path string, length long, is_dir boolean"), "listed")
+        files.append(found.where("NOT is_dir").select("path", "length"))
+        level = found.where("is_dir").select("path")
+    return reduce(DataFrame.unionByName, files)
+
+
+_LISTED = pa.schema({"path": pa.string(), "length": pa.int64(), "is_dir": pa.bool_()})
+_BODIES = pa.schema({"path": pa.string(), "content": pa.binary()})
 
 
 def read_pointers(spark: SparkSession, base: str) -> DataFrame:
-    """(path, content) of all pointer files below a folder."""
-    files = spark.read.text(base, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.strm")
-    return _relative(files, base).select("path", F.col("value").alias("content"))
+    """(path, content) of all pointer files below a folder; they are dealt out before they are read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = file_system(base)
+        root, rows, held = root.rstrip("/"), [], 0
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                with store.open_input_stream(f"{root}{path}", compression=None) as file:
+                    rows.append({"path": path, "content": file.read()})
+                held += len(rows[-1]["content"])
+                if len(rows) == ROWS or held >= BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, _BODIES)
+                    rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, _BODIES)
+
+    paths = _listed(spark, base).where(F.col("path").endswith(".strm")).select("path")
+    dealt = paths.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    return dealt.mapInArrow(run, "path string, content binary").withColumn("content", F.col("content").cast("string"))
 
 
 def write_files(files: DataFrame, base: str) -> DataFrame:
@@ -38,7 +88,7 @@ def write_files(files: DataFrame, base: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(base)
+        store, root = file_system(base)
         for batch in batches:
             sizes = []
             for target, content in zip(batch.column("target").to_pylist(), batch.column("content").to_pylist()):
@@ -59,5 +109,4 @@ def read_skip_list(spark: SparkSession, file: str) -> DataFrame:
 
 def stored_files(spark: SparkSession, base: str) -> DataFrame:
     """(path, length) of the files below a folder; bodies are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    return _relative(files.select("length", "_metadata"), base).select("path", "length")
+    return _listed(spark, base)
