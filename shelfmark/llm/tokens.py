@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -43,8 +44,11 @@ def check(path: str) -> None:
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str):
+    """The library's tokenizer, without threads of its own unless the environment asks for them: each core has its task
+    already, and such threads spend their CPU seconds on waiting for work and for each other."""
     from tokenizers import Tokenizer
 
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     check(path)
     tool = Tokenizer.from_file(path)
     tool.no_truncation()

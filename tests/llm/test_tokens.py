@@ -1,6 +1,7 @@
 """Token counts row by row against the library, with texts that are spliced."""
 
 import json
+import os
 import random
 
 import pytest
@@ -68,3 +69,13 @@ def test_other_tokenizers_are_refused(tmp_path):
             tokens.check(str(tmp_path / "t.json"))
     with pytest.raises(ValueError):
         tokens.check(queries.tokenizer_path("word_bpe_49k.json"))
+
+
+@pytest.mark.parametrize("given", [None, "true"])
+def test_the_library_takes_no_threads_beside_the_tasks_unless_told(monkeypatch, given):
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+    if given:
+        monkeypatch.setenv("TOKENIZERS_PARALLELISM", given)
+    tokens.tokenizer.cache_clear()
+    tokens.tokenizer(queries.tokenizer_path("byte_bpe_50k.json"))
+    assert os.environ["TOKENIZERS_PARALLELISM"] == (given or "false")
