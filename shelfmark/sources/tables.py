@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import normalise_prefix
-from .shared_dir import file_system, settle
+from .shared_dir import settle, store_uri
 from .snapshots import read_manifest, versions, write_snapshot  # noqa: F401
 
 
@@ -31,9 +31,10 @@ def _listed(spark: SparkSession, base: str) -> DataFrame:
     neither files nor directories pass through the driver, as they do in a scan of Spark's own, which lists its folder
     before it reads. A directory's own entries are one call of its store. As many steps as the tree is deep.
     """
+    uri = store_uri(base)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = file_system(base)
+        store, root = fs.FileSystem.from_uri(uri)
         root, rows = root.rstrip("/"), []
         for batch in batches:
             for folder in batch.column("path").to_pylist():
@@ -61,9 +62,10 @@ _BODIES = pa.schema({"path": pa.string(), "content": pa.binary()})
 
 def read_pointers(spark: SparkSession, base: str) -> DataFrame:
     """(path, content) of all pointer files below a folder; they are dealt out before they are read."""
+    uri = store_uri(base)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = file_system(base)
+        store, root = fs.FileSystem.from_uri(uri)
         root, rows, held = root.rstrip("/"), [], 0
         for batch in batches:
             for path in batch.column("path").to_pylist():
@@ -86,9 +88,10 @@ def write_files(files: DataFrame, base: str) -> DataFrame:
 
     Nothing is written before an action on the result. A task that runs again writes the same files anew.
     """
+    uri = store_uri(base)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = file_system(base)
+        store, root = fs.FileSystem.from_uri(uri)
         for batch in batches:
             sizes = []
             for target, content in zip(batch.column("target").to_pylist(), batch.column("content").to_pylist()):
