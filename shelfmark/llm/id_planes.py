@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -29,13 +30,16 @@ PLANES, LEVEL = "byte", 3
 END_ID = 0
 #: Characters of a text that are cut into units at a time, and bytes of text that are encoded together.
 STRETCH, TOGETHER = 1 << 20, 4 << 20
-#: Units that a worker remembers with their ids before it starts anew, and the longest that it remembers.
-KNOWN_UNITS, KNOWN_CHARS = 1 << 19, 64
+#: Units from which a worker's known ones become the older ones, of which it forgets those before; the longest that it
+#: remembers; and new units that go through the library as one text.
+KNOWN_UNITS, KNOWN_CHARS, JOINED = 600_000, 64, 1 << 11
 BLOCKS = "part int, seq long, file string, block long, n_ids long"
 DOCS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 #: Where units begin (see tokens.check), and white space with a blank behind it; a text without one is cut at each blank.
 _PLACES = re.compile(tokens._STABLE.pattern.replace("[ ", "(?=[ ") + ")")
 _UNSTABLE = re.compile(r"[\s\x1c-\x1f\x85\u200b\ufeff] ")
+#: Units that begin and end so that between any two of them is a stable place.
+_JOINABLE = re.compile(r"[ \t\n\r](?s:.*)(?<=[^\s\x1c-\x1f\x85\u200b\ufeff])")
 
 
 # --- the file format -------------------------------------------------------------------------------------------
@@ -169,62 +173,94 @@ class Reader:
 # --- encoding --------------------------------------------------------------------------------------------------
 
 
-def units_of(text: str) -> list[str]:
-    """The text cut where no token spans the cut."""
-    if _UNSTABLE.search(text):
-        return _PLACES.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + word for word in rest]]
+def at_blanks(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct units, each place's unit, places of each text) of texts whose blanks all are stable places, cut there."""
+    words = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    ends, words = words.offsets.to_numpy(), words.flatten()
+    coded, first = words.dictionary_encode(), words.take(pa.array(ends[:-1])).dictionary_encode()
+    at = coded.indices.to_numpy().astype(np.int64)
+    at[ends[:-1]] = len(coded.dictionary) + first.indices.to_numpy()  # no blank stands before a text's first
+    units = pa.chunked_array([pc.binary_join_element_wise(pa.scalar(" ", words.type), coded.dictionary, pa.scalar("", words.type)), first.dictionary])
+    return units.to_numpy().tolist(), at, np.diff(ends)
+
+
+def at_places(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The same of any texts, cut at all stable places."""
+    cut = [_PLACES.split(t) for t in texts]
+    coded = pa.array([u for units in cut for u in units], pa.large_string()).dictionary_encode()
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), np.array([len(units) for units in cut])
 
 
 class Encoder:
     """Ids of texts as the library gives them. Texts are cut into units; each unit that is new goes
-    through the library, once while it is remembered."""
+    through the library, once while it is remembered. Units met since the last turn are `known`, those of
+    the turn before are `older`: what is met often stays."""
 
     def __init__(self, path: str):
         self.tool = tokens.tokenizer(path)
-        special = (t for t in json.loads(self.tool.to_str()).get("added_tokens", ()) if t["special"] and not t["normalized"])
-        self.mark, self.mark_id = next(((t["content"], t["id"]) for t in special if t["content"][0] not in t["content"][1:]), (None, None))
+        added = {t.content for t in self.tool.get_added_tokens_decoder().values()}
+        spelt = self.tool.get_vocab(with_added_tokens=True)
+        #: Bytes of each token: byte-level tokens have a character for each.
+        self.widths = np.zeros(max(spelt.values()) + 1, np.int64)
+        self.widths[[*spelt.values()]] = [len(t.encode()) if t in added else len(t) for t in spelt]
         self.known: dict[str, bytes] = {}
-
-    def fresh(self, units: list[str]) -> dict[str, bytes]:
-        """Ids of units through the library. Those without the first character of a special string go in one
-        text, that string between them: its id stands nowhere else and tells them apart."""
-        plain = [u for u in units if self.mark[0] not in u] if self.mark else []
-        found = {}
-        if plain:
-            ids = np.array(self.tool.encode_batch_fast([self.mark.join(plain)], add_special_tokens=False)[0].ids, "<u4")
-            cuts, data = 4 * np.flatnonzero(ids == self.mark_id), ids.tobytes()
-            found = {u: data[a:b] for u, a, b in zip(plain, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(data)])}
+        self.older: dict[str, bytes] = {}
+
+    def joined(self, units: list[str]) -> dict[str, bytes]:
+        """Ids of units that may stand one after the other (see _JOINABLE), as one text through the library; the
+        tokens' bytes tell them apart. Nothing if these don't add up."""
+        ids = np.array(self.tool.encode_batch_fast(["".join(units)], add_special_tokens=False)[0].ids, "<u4")
+        token_ends, ends = np.cumsum(self.widths[ids]), np.cumsum([len(u.encode()) for u in units])
+        at = np.searchsorted(token_ends, ends)
+        if not len(ids) or token_ends[-1] != ends[-1] or (token_ends[at] != ends).any():
+            return {}
+        cuts, data = (4 * at + 4).tolist(), ids.tobytes()
+        return {u: data[a:b] for u, a, b in zip(units, [0, *cuts], cuts)}
+
+    def fresh(self, units: Iterable[str]) -> dict[str, bytes]:
+        """Ids of units through the library."""
+        units = [*units]
+        plain = [u for u in units if _JOINABLE.fullmatch(u)]
+        found: dict[str, bytes] = {}
+        for at in range(0, len(plain), JOINED):
+            found |= self.joined(plain[at : at + JOINED])
         rest = [u for u in units if u not in found]
         return found | {u: np.array(e.ids, "<u4").tobytes() for u, e in zip(rest, self.tool.encode_batch_fast(rest, add_special_tokens=False))}
 
     def lookup(self, units: list[str]) -> list[bytes]:
+        """Ids of distinct units."""
         if len(self.known) > KNOWN_UNITS:
-            self.known.clear()
-        new = [u for u in units if u not in self.known]
-        found = self.fresh(new)
-        out = [found[u] if u in found else self.known[u] for u in units]
-        self.known.update((u, x) for u, x in found.items() if len(u) <= KNOWN_CHARS)
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        new = [u for u in units if u not in known]
+        known |= {u: older[u] for u in new if u in older}
+        known |= self.fresh(u for u in new if u not in known)
+        out = [*map(known.__getitem__, units)]
+        for unit in new:
+            if len(unit) > KNOWN_CHARS:
+                del known[unit]
         return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, or of a stretch of one that begins and ends at its ends or stable places."""
-        units, counts = [], []
-        for text in texts:
-            cut = units_of(text)
-            units += cut
-            counts.append(len(cut))
-        coded = pa.array(units, pa.large_string()).dictionary_encode()
-        each = self.lookup(coded.dictionary.to_pylist())
+    def cut_texts(self, units: list[str], at: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+        """Ids of texts that are counts of the units `at`."""
+        each = self.lookup(units)
         sizes = np.array([len(x) // 4 for x in each], np.int64)
-        at = coded.indices.to_numpy()
         lengths = sizes[at]
         ends = np.cumsum(lengths)
         pool = np.frombuffer(b"".join(each), "<u4")
         ids = pool[np.arange(lengths.sum()) + np.repeat((np.cumsum(sizes) - sizes)[at] - (ends - lengths), lengths)]
         return np.split(ids, ends[np.cumsum(counts) - 1][:-1])
 
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, or of a stretch of one that begins and ends at its ends or stable places."""
+        out: list = [None] * len(texts)
+        loose = [_UNSTABLE.search(t) is not None for t in texts]
+        for cut, kind in ((at_blanks, False), (at_places, True)):
+            some = [k for k, is_loose in enumerate(loose) if is_loose is kind]
+            for k, ids in zip(some, self.cut_texts(*cut([texts[k] for k in some])) if some else ()):
+                out[k] = ids
+        return out
+
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:

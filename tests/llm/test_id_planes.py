@@ -114,3 +114,24 @@ def test_one_doc_id_with_all_rows_is_spread_and_keeps_its_places(spark):
 def test_folders_that_no_library_reaches_are_refused():
     with pytest.raises(Exception, match="(?i)filesystem|scheme|uri"):
         shared.file_system("nostore://a/b")
+
+
+def test_units_met_often_go_through_the_library_once(monkeypatch):
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    monkeypatch.setattr(id_planes, "KNOWN_UNITS", 60)
+    encoder, seen = id_planes.Encoder(path), []
+    library = encoder.tool
+
+    class Counted:
+        def encode_batch_fast(self, texts, **more):
+            seen.extend(texts)
+            return library.encode_batch_fast(texts, **more)
+
+    encoder.tool = Counted()
+    often = [f" often{k}x" for k in range(9)]
+    texts = ["".join(["begin", *often, *(f" rare{n}y{k}," for k in range(40)), *often]) for n in range(8)]
+    for text in texts:
+        assert encoder.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert all(sum(x.count(unit) for x in seen) == 1 for unit in often)
+    assert sum(map(len, seen)) < 1.1 * len("".join({u for text in texts for u in text.split(" ")}) + " " * 9 + " " * 320)
+    assert len(encoder.known) + len(encoder.older) < 4 * 60
