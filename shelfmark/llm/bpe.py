@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from .shared import pieces, small_batches
 
-#: Bytes of words and their ids, and number of token pairs, that a worker keeps; beyond these it forgets all
-#: and goes on. An entry counts ENTRY bytes besides its texts; words of more than SHORT bytes are never kept.
-KEEP_BYTES, KEEP_PAIRS, ENTRY, SHORT = 48 << 20, 400_000, 300, 64
+#: Bytes of words and their ids, in two turns, and number of token pairs, that a worker keeps; beyond these it forgets the
+#: words of the turn before, and all pairs. An entry counts ENTRY bytes besides its texts; words of more than SHORT bytes
+#: are never kept.
+KEEP_BYTES, KEEP_PAIRS, ENTRY, SHORT = 192 << 20, 400_000, 160, 64
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -34,19 +37,32 @@ class Encoder:
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
         self.tree = ahocorasick.Automaton()
-        for token, rank in ranks.items():
-            self.tree.add_word(token.decode("latin-1"), rank)
+        #: Each path of the trie -> the longest token that it begins with, or -1.
+        self.cut_back: dict[str, int] = {}
+        for token, rank in sorted(ranks.items(), key=lambda x: len(x[0])):
+            text = token.decode("latin-1")
+            self.tree.add_word(text, rank)
+            self.cut_back[text] = rank
+        for token in [*self.cut_back]:
+            best = -1
+            for k in range(1, len(token)):
+                best = self.cut_back.setdefault(token[:k], best)
         self.shorter: dict[int, int] = {}
         self.fits: dict[int, bool] = {}
 
     def merges(self, data: bytes) -> list[int]:
         """Plain merging, lowest rank first: for the few bytes of two neighbours, and for tests."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, k = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 62), i) for i in range(len(parts) - 1))
-            if rank == 1 << 62:
-                break
+        none, get = 1 << 62, self.ranks.get
+        joined = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while joined and (rank := min(joined)) < none:
+            k = joined.index(rank)
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del joined[k]
+            if k:
+                joined[k - 1] = get(parts[k - 1] + parts[k], none)
+            if k < len(joined):
+                joined[k] = get(parts[k] + parts[k + 1], none)
         return [self.ranks[p] for p in parts]
 
     def fit(self, left: int, right: int) -> bool:
@@ -71,34 +87,35 @@ class Encoder:
         rank = self.ranks.get(data)
         if rank is not None:
             return [rank]
-        text = data.decode("latin-1")
-        n = len(data)
+        text, n = data.decode("latin-1"), len(data)
         dead = bytearray(n + 1)
         out: list[int] = []
-        at, token = 0, self.longest_at(text, 0)
+        fits, bytes_of, longest_at = self.fits, self.bytes_of, self.longest_at
+        at, token = 0, longest_at(text, 0)
         while at < n:
-            size = len(self.bytes_of[token])
-            if not dead[at + size] and (not out or self.fit(out[-1], token)):
-                out.append(token)
-                at += size
-                token = self.longest_at(text, at) if at < n else -1
-                continue
+            end = at + len(bytes_of[token])
+            if not dead[end]:
+                fit = True
+                if out and (fit := fits.get(out[-1] << 32 | token)) is None:
+                    fit = self.fit(out[-1], token)
+                if fit:
+                    out.append(token)
+                    at = end
+                    token = longest_at(text, at) if at < n else -1
+                    continue
             token = self.next_shorter(token)
             while token < 0:
                 dead[at] = 1
                 token = out.pop()
-                at -= len(self.bytes_of[token])
+                at -= len(bytes_of[token])
                 token = self.next_shorter(token)
         return out
 
     def longest_at(self, text: str, at: int) -> int:
         """The longest token that stands at a place: the trie's longest path, cut back to a token's end."""
-        size = self.tree.longest_prefix(text[at : at + self.longest])
-        while (rank := self.ranks.get(text[at : at + size].encode("latin-1"))) is None:
-            size -= 1
-        return rank
+        return self.cut_back[text[at : at + self.tree.longest_prefix(text[at : at + self.longest])]]
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
@@ -108,56 +125,66 @@ def encoder(path: str) -> Encoder:
         return Encoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)})
 
 
+class _Known(dict):
+    """Words -> their ids as bytes; those of a word that is missing are worked out."""
+
+    def __init__(self, work):
+        self.work = work
+
+    def __missing__(self, word: str) -> bytes:
+        return self.work(word)
+
+
 class Codec:
-    """Texts -> ids and back, with the ids of short words kept between texts."""
+    """Texts -> ids and back, with the ids of short words kept between texts. Words met since the last turn are `known`,
+    those of the turn before stand in `lists`: what is met often stays."""
 
     def __init__(self, path: str, pattern: str):
         self.encoder, self.words = encoder(path), regex.compile(pattern)
-        self.known: dict[str, tuple[int, str, bytes]] = {}
-        self.lists: dict[str, list[int]] = {}
+        self.decimal = {rank: str(rank) for rank in self.encoder.bytes_of}
+        self.known: dict[str, bytes] = _Known(self.word)
+        self.lists: dict[str, bytes] = {}
         self.kept = 0
 
-    def keep(self, into: dict, word: str, value, size: int) -> None:
-        """Remember a word's ids, unless it is long."""
+    def word(self, word: str) -> bytes:
+        """The ids of a word that is not known, which is remembered unless it is long."""
+        ids = self.lists.get(word)
+        if ids is None:
+            ids = array("i", self.encoder.whole(word.encode())).tobytes()
         if len(word) > SHORT:
-            return
-        self.kept += ENTRY + size
-        if self.kept > KEEP_BYTES:
-            into.clear()
-            self.kept = ENTRY + size
-        into[word] = value
-
-    def word(self, word: str) -> tuple[int, str, bytes]:
-        """(number of ids, the ids in decimal, their bytes)."""
-        ids = self.encoder.whole(word.encode())
-        out = len(ids), ",".join(map(str, ids)), self.encoder.decode(ids)
-        self.keep(self.known, word, out, 4 * len(word) + len(out[1]) + len(out[2]))
-        return out
+            return ids
+        size = ENTRY + 4 * len(word) + len(ids)
+        self.kept += size
+        if self.kept > KEEP_BYTES // 2:
+            self.lists = {**self.known}
+            self.known.clear()
+            self.kept = size
+        self.known[word] = ids
+        return ids
+
+    def codes(self, text: str) -> bytes:
+        """The ids of a text, four bytes each."""
+        return b"".join(map(self.known.__getitem__, self.words.findall(text)))
 
     def text(self, text: str) -> tuple[int, str, bytes]:
-        known, new = self.known.get, self.word
-        found = [known(w) or new(w) for w in self.words.findall(text)]
-        if not found:
-            return 0, "", b""
-        n, ids, data = zip(*found)
-        return sum(n), ",".join(ids), b"".join(data)
+        """(number of ids, the ids in decimal, the bytes decoded from them)."""
+        ids = array("i", self.codes(text))
+        return len(ids), ",".join(map(self.decimal.__getitem__, ids)), self.encoder.decode(ids)
 
     def ids(self, text: str) -> list[int]:
-        out: list[int] = []
-        for word in self.words.findall(text):
-            ids = self.lists.get(word)
-            if ids is None:
-                ids = self.encoder.whole(word.encode())
-                self.keep(self.lists, word, ids, 4 * len(word) + 40 * len(ids))
-            out += ids
-        return out
+        return array("i", self.codes(text)).tolist()
+
+
+@lru_cache(maxsize=1)
+def codec(path: str, pattern: str) -> Codec:
+    return Codec(path, pattern)
 
 
 def _digests(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, pattern)
+        tool = codec(path, pattern)
         for batch in pieces(batches):
-            rows = [codec.text(t or "") for t in batch.column("text").to_pylist()]
+            rows = [tool.text(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "n_tokens": [n for n, _, _ in rows],
                 "ids_sha256": [hashlib.sha256(ids.encode()).hexdigest() for _, ids, _ in rows],
@@ -191,10 +218,12 @@ def encode_ids(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] =
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["n_tokens long", "ids array<int>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, pattern)
+        tool = codec(path, pattern)
         for batch in pieces(batches):
-            ids = [codec.ids(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({**{f.name: batch.column(f.name) for f in fields}, "n_tokens": pa.array([len(x) for x in ids], pa.int64()), "ids": pa.array(ids, pa.list_(pa.int32()))})
+            codes = [tool.codes(t or "") for t in batch.column("text").to_pylist()]
+            sizes = np.array([len(x) // 4 for x in codes], np.int64)
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.frombuffer(b"".join(codes), np.int32)))
+            yield pa.RecordBatch.from_pydict({**{f.name: batch.column(f.name) for f in fields}, "n_tokens": pa.array(sizes), "ids": ids})
 
     return rows.mapInArrow(run, schema)
 

@@ -55,3 +55,19 @@ def test_what_a_worker_keeps_is_bounded(monkeypatch):
         assert codec.ids(text) == tool.encode_ordinary(text) and codec.text(text)[2].decode() == text
     assert len(codec.known) + len(codec.lists) < 40 and len(codec.encoder.fits) <= 50
     assert all(len(w) <= bpe.SHORT for w in (*codec.known, *codec.lists))
+
+
+def test_words_met_often_are_worked_out_once(monkeypatch):
+    monkeypatch.setattr(bpe, "KEEP_BYTES", 30_000)
+    codec, tool, worked = bpe.Codec(queries.tokenizer_path("byte_bpe_multi_50k.tiktoken"), queries.token_pattern()), library(), []
+    whole = codec.encoder.whole
+    monkeypatch.setattr(codec.encoder, "whole", lambda data: worked.append(data) or whole(data))
+    for n in range(10):
+        text = "".join(f" often{'abcdefgh'[k]}" for k in range(8)) + "".join(f" rare{chr(97 + n)}{chr(97 + k)}y" for k in range(20))
+        assert codec.ids(text) == tool.encode_ordinary(text) and codec.text(text)[2].decode() == text
+    assert all(worked.count(f" often{c}".encode()) == 1 for c in "abcdefgh") and len(codec.known) + len(codec.lists) < 150
+
+
+def test_a_worker_keeps_its_codec_between_tasks():
+    path, pattern = queries.tokenizer_path("byte_bpe_multi_50k.tiktoken"), queries.token_pattern()
+    assert bpe.codec(path, pattern) is bpe.codec(path, pattern)
