@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ RANGES, IN_RANGE = 128, 4
 ROUNDS = 2
 #: Classes of a block: the classes of a shingle that more share are dealt out as pairs of blocks.
 BLOCK = 512
+#: Bits of a slice, and of the whole table at most, that tells which rows surely stay (powers of two).
+SLICE_BITS, MOST_BITS = 1 << 17, 1 << 28
 #: Names of sets: a class goes by the first 64 bits of a digest, the next 64 tell sets apart that agree in these.
 NAME_BITS = 64
 
@@ -358,23 +361,32 @@ def _near(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.Reco
     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["cls", "apart", "other"])
 
 
-def _dealt(rows: DataFrame, about: DataFrame | None = None) -> DataFrame:
-    """Rows of each gram together and in order of size; grams with more than BLOCK rows as pairs of blocks.
+def _dealt(rows: DataFrame, about: DataFrame | None = None, cold: DataFrame | None = None) -> DataFrame:
+    """Rows of grams with several components, each gram's together and in order of size; grams with more than BLOCK
+    rows as pairs of blocks.
 
-    What is known `about` each cls joins last, so that these wide columns are shuffled with the rows once only.
+    Grams of `rows` may have any number of rows: they are summed before the shuffle and join the sums. Those of `cold`
+    are not hot: they are shuffled once and see their gram's others there. What is known `about` each cls joins last,
+    so that these wide columns are shuffled with the rows once only.
 
     Of each gram the largest component stands apart: its rows only meet those of other components, so
     that a group that is connected but for a few is compared with these few only.
     """
-    by_root = rows.groupBy("gram", "root").agg(F.count("*").alias("n"))
-    sizes = by_root.groupBy("gram").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("rows"))
-    sizes = sizes.select("gram", F.col("m.root").alias("main"), F.ceil((F.col("rows") - F.col("m.n")) / BLOCK).alias("few"), F.ceil(F.col("m.n") / BLOCK).alias("many"))
-    rows = rows.join(sizes, "gram").withColumn("apart", F.col("root") == F.col("main"))
+    by_root = rows.groupBy("gram", "root").agg(F.count("*").alias("k"))
+    sizes = by_root.groupBy("gram").agg(F.max(F.struct("k", "root")).alias("m"), F.sum("k").alias("rows"))
+    rows = rows.join(sizes.where("rows > m.k"), "gram")
+    if cold is not None:
+        same = Window.partitionBy("gram")
+        cold = cold.repartition("gram").withColumn("k", F.count("*").over(Window.partitionBy("gram", "root")))
+        cold = cold.withColumn("m", F.max(F.struct("k", "root")).over(same)).withColumn("rows", F.count("*").over(same)).drop("k")
+        rows = rows.unionByName(cold.where("rows > m.k"))
+    rows = rows.withColumns({"apart": F.col("root") == F.col("m.root"), "others": F.col("rows") - F.col("m.k"), "few": F.ceil((F.col("rows") - F.col("m.k")) / BLOCK), "many": F.ceil(F.col("m.k") / BLOCK)})
     hashed = F.xxhash64("cls", "gram")
     rows = rows.withColumn("mine", F.when(F.col("apart"), F.col("few") + F.pmod(hashed, F.col("many"))).otherwise(F.pmod(hashed, F.col("few"))))
-    to = F.sequence(F.lit(0).cast("long"), F.when(F.col("apart"), F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)
+    alone = ~F.col("apart") & (F.col("others") == 1)  # no other of its block to meet
+    to = F.sequence(F.when(alone, 1).otherwise(0).cast("long"), F.when(F.col("apart"), F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)
     deal = F.transform(to, lambda x: F.struct(F.least(x, F.col("mine")).alias("one"), F.greatest(x, F.col("mine")).alias("two"), F.when(x < F.col("mine"), 1).otherwise(0).alias("side")))
-    rows = rows.withColumn("d", F.explode(deal)).select("*", "d.one", "d.two", "d.side").drop("d", "mine", "main", "few", "many", "apart")
+    rows = rows.withColumn("d", F.explode(deal)).select("*", "d.one", "d.two", "d.side").drop("d", "mine", "m", "rows", "others", "few", "many", "apart")
     if about is not None:
         rows = rows.join(about, "cls")
     return rows.repartition(spread(rows.sparkSession), "gram", "one", "two").sortWithinPartitions("gram", "one", "two", "n")
@@ -445,13 +457,14 @@ class _Join:
         like = self.like
         return self.shelf.put(whole.select("a", "b", "sa", "sb").mapInArrow(lambda batches: _linked(batches, like), "a long, b long"), f"{name}-links")
 
-    def with_partner(self, rest: DataFrame, suffix: bool = False) -> DataFrame:
-        """Rows of `rest` with a partner under the length and positional filters, and the suffix filter if asked.
+    def with_partner(self, rest: DataFrame, suffix: bool = False, cold: DataFrame | None = None) -> DataFrame:
+        """Rows of `rest` (and `cold`, see _dealt) with a partner under the length and positional filters, and the
+        suffix filter if asked.
 
         Components only grow, so what has no partner in another one now has none later either.
         """
         like = self.like
-        dealt = _dealt(rest, self.classes.select("cls", "ranges") if suffix else None)
+        dealt = _dealt(rest, self.classes.select("cls", "ranges") if suffix else None, cold)
         return dealt.mapInArrow(lambda batches: _live(batches, like, suffix), ", ".join(f"{c} long" for c in PLACED)).distinct()
 
     def alike(self, rest: DataFrame, name: str) -> DataFrame:
@@ -472,25 +485,31 @@ class _Join:
         return found
 
     def unconnected(self, grams: DataFrame, root: DataFrame, name: str) -> DataFrame:
-        """Rows (gram, cls, n, pos) of the shingles whose classes stand in more than one component, with their component."""
-        placed = grams.select("gram", "cls", "n", "pos").join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        mixed = placed.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram")
-        return self.shelf.put(self.with_partner(self.shelf.put(placed.join(mixed, "gram"), name)), f"{name}-live")
+        """Rows (gram, cls, n, pos) of the shingles whose classes stand in more than one component, with their component.
 
-    def nearest(self, rest: DataFrame, failed: DataFrame, name: str) -> DataFrame:
-        """(cls, other): each class with the nearest of another component that it isn't known not to link with.
+        Where grams tell which shingles are `hot`, only rows of these are put down and summed.
+        """
+        placed = grams.drop("root").join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        cold = None
+        if "hot" in grams.columns:
+            placed, cold = (placed.where(which).select(*PLACED) for which in ("hot", "NOT hot"))
+        return self.shelf.put(self.with_partner(self.shelf.put(placed, name), cold=cold), f"{name}-live")
+
+    def nearest(self, rest: DataFrame, classes: DataFrame, failed: DataFrame, name: str) -> DataFrame:
+        """(cls, other): each class of `rest`, of which `classes` has all, with the nearest of another component that it isn't known not to link with.
 
         failed (cls, other) holds for a class the heads of its own prefix and its nearest of earlier
         rounds, no more than its prefix and ROUNDS rows.
         """
         like = self.like
-        about = self.classes.select("cls", "ranges").join(failed.groupBy("cls").agg(F.collect_list("other").alias("failed")), "cls", "left")
+        about = classes.select("cls", "ranges").join(failed.groupBy("cls").agg(F.collect_list("other").alias("failed")), "cls", "left")
         near = _dealt(rest, about).mapInArrow(lambda batches: _near(batches, like), "cls long, apart long, other long")
         return self.shelf.put(near.groupBy("cls").agg(F.min(F.struct("apart", "other")).alias("m")).select("cls", F.col("m.other").alias("other")), name)
 
 
-def _headed(known: DataFrame) -> DataFrame:
-    """Rows (gram, cls, where, head) of the shingles that several classes have in their prefix; the head is the least.
+def _headed(known: DataFrame, tell_hot: bool = False) -> DataFrame:
+    """Rows (gram, cls, where, head, head_n) of the shingles that several classes have in their prefix, once each;
+    the head is the least, head_n its size. With `hot`, if asked.
 
     Rows of shingles that are not hot are shuffled once and see their shingle's others there. Rows of hot ones are
     summed before the shuffle and join the sums, so that adaptive execution can split them.
@@ -499,9 +518,17 @@ def _headed(known: DataFrame) -> DataFrame:
     rows = known.where("cls IS NOT NULL")
     rows = [part.select("cls", "n", "cold", F.posexplode("prefix").alias("pos", "gram")).where(which).select("gram", "cls", where) for part, which in ((rows, "pos < cold"), (rows.where("size(prefix) > cold"), "pos >= cold"))]
     same = Window.partitionBy("gram")
-    cold = rows[0].withColumn("head", F.min("cls").over(same)).withColumn("other", F.max("cls").over(same)).where("head <> other")
-    heads = rows[1].groupBy("gram").agg(F.min("cls").alias("head"), F.max("cls").alias("other")).where("head <> other")
-    return cold.drop("other").unionByName(rows[1].join(heads.drop("other"), "gram"))
+    least, most = F.min(F.struct("cls", F.shiftright("where", 32).alias("n"))), F.max("cls")
+    cold = rows[0].repartition("gram").withColumn("least", least.over(same)).withColumn("most", most.over(same))
+    hot = rows[1].join(rows[1].groupBy("gram").agg(least.alias("least"), most.alias("most")).where("least.cls <> most"), "gram")
+    names = ["gram", "cls", "where", F.col("least.cls").alias("head"), F.col("least.n").alias("head_n")]
+    return reduce(DataFrame.unionByName, (part.where("least.cls <> most").select(*names, *([F.lit(heat).alias("hot")] if tell_hot else [])).distinct() for part, heat in ((cold, False), (hot, True))))
+
+
+def _star(grams: DataFrame, like: Likeness) -> DataFrame:
+    """Pairs (a, b) of a head and a class of its shingle that pass the length filter."""
+    n, m = F.shiftright("where", 32), F.col("head_n")
+    return grams.where("cls <> head").where(like.sizes_fit(F.least(n, m), F.greatest(n, m))).select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
 
 
 def _pair(df: DataFrame) -> DataFrame:
@@ -548,28 +575,29 @@ def ngram_components(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR
     run = _Join(docs, like, name_bits)
     shelf = run.shelf
     known = run.known()
-    grams = shelf.put(_headed(known), "grams")
+    grams = shelf.put(_headed(known, True), "grams")
     answers = shelf.put(known.select("doc_id", "digest", "n", "cls"), "answers")
     shelf.drop("known")
-    star = shelf.put(run.filtered(grams.where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()), "star")
+    star = shelf.put(run.filtered(_star(grams, like)), "star")
     run.fetch(star.select(F.explode(F.array("a", "b")).alias("cls")), "star")
     links = run.verify(star, "star")
     shelf.drop("star-sets", "star-places")
     root = components(links, "ngrams-star")
-    placed = grams.select("gram", "cls", F.expr("shiftright(where, 32)").alias("n"), F.expr("where & 4294967295").alias("pos")).distinct()
+    placed = grams.select("gram", "cls", F.expr("shiftright(where, 32)").alias("n"), F.expr("where & 4294967295").alias("pos"), "hot")
     rest = run.alike(run.unconnected(placed, root, "apart"), "apart")
     shelf.drop("grams", "apart", "apart-live")
     run.fetch(rest, "rest")
+    classes = shelf.put(run.classes.join(rest.select("cls").distinct(), "cls", "left_semi").select("cls", "ranges"), "rest-classes")
     done, failed = star, _failed(star.select(F.col("b").alias("cls"), F.col("a").alias("other")), links)
     for k in range(ROUNDS):
-        chosen = run.nearest(rest, failed, f"near{k}")
+        chosen = run.nearest(rest, classes, failed, f"near{k}")
         pairs = shelf.put(_pair(chosen), f"near{k}-pairs")
         links = run.verify(pairs, f"near{k}")
         done, failed = done.unionByName(pairs), failed.unionByName(_failed(chosen, links))
         root = joined_components(root, links, f"ngrams-near{k}")
         rest = run.unconnected(rest, root, f"apart{k}")
         shelf.drop(f"apart{k}")
-    pairs = shelf.put(_remaining_pairs(rest, run.classes, like).join(done, ["a", "b"], "left_anti"), "last")
+    pairs = shelf.put(_remaining_pairs(rest, classes, like).join(done, ["a", "b"], "left_anti"), "last")
     root = joined_components(root, run.verify(pairs, "last"), "ngrams-last")
     shelf.drop("rest-sets", "rest-places")
     named = run.classes.select("cls", "low").join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
@@ -578,12 +606,44 @@ def ngram_components(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR
     return answers.join(ids, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "digest", "component")
 
 
+def _bits(table: pa.Table, width: int) -> pa.Table:
+    """The cells of a slice as bits."""
+    bits = np.zeros(width, bool)
+    bits[np.asarray(table.column("cell")) % width] = True
+    return pa.table({"slice": table.column("slice").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+
+def _may_be_among(ids: DataFrame):
+    """A test of hashes xxhash64(doc_id, digest): false for no row of ids, and true for few others.
+
+    Each row sets two of 16 bits a row at least, so that of others one or two in a hundred pass, more from MOST_BITS
+    on. The driver sees the table of bits only.
+    """
+    width, size = SLICE_BITS, min(max(1 << (16 * ids.count()).bit_length(), SLICE_BITS), MOST_BITS)
+    cells = F.transform(F.array("h", F.shiftrightunsigned("h", 32)), lambda x: x.bitwiseAND(size - 1))
+    cells = ids.select(F.xxhash64("doc_id", "digest").alias("h")).select(F.explode(cells).alias("cell"))
+    slices = cells.withColumn("slice", F.floor(F.col("cell") / width).cast("int")).groupBy("slice").applyInArrow(lambda rows: _bits(rows, width), "slice int, bits binary")
+    table = np.zeros((size // width, width // 8), np.uint8)
+    for part, bits in slices.collect():  # one row for `width` bits
+        table[part] = np.frombuffer(bytes(bits), np.uint8)
+    table = ids.sparkSession.sparkContext.broadcast(table.reshape(-1))
+
+    @F.arrow_udf("boolean")
+    def may(hashes: pa.Array) -> pa.Array:
+        h = np.asarray(hashes).view(np.uint64)
+        found = [table.value[c >> np.uint64(3)] >> (c & np.uint64(7)).astype(np.uint8) & 1 for c in (h & np.uint64(size - 1), h >> np.uint64(32) & np.uint64(size - 1))]
+        return pa.array((found[0] & found[1]).astype(bool))
+
+    return may
+
+
 def keep_one(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
     """docs with one row of each component; those without shingles all stay.
 
     The row of the smallest doc_id stays, of rows that repeat it the one of the smallest digest of the
     text, of rows that repeat that text, too, a single one. Rows without doc_id stay unless their
     component has a row with one. Columns of docs keep any name; an empty table gives an empty one.
+    Whole rows are shuffled only if a table of bits lets them pass for rows that go, and joined then.
     """
     shelf = Shelf(docs.sparkSession, "ngrams-keep")
     found = shelf.put(ngram_components(docs, words, similar).where("component IS NOT NULL").select("doc_id", "digest", "component"), "found")
@@ -594,7 +654,9 @@ def keep_one(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> Dat
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"))
 
     def only(ids: DataFrame, how: str) -> DataFrame:
-        return rows.join(ids, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("digest")), how)
+        may = _may_be_among(ids)(F.xxhash64("id", "key"))
+        met = rows.where(may).join(ids, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("digest")), how)
+        return met if how == "left_semi" else rows.where(~may).unionByName(met)
 
     if twice.isEmpty():
         return only(gone, "left_anti").select("row.*")

@@ -144,3 +144,68 @@ def test_hot_and_other_shingles_have_the_same_heads(spark, monkeypatch):
             assert Counter(map(tuple, ngrams.ngram_components(docs).select("doc_id", "n_shingles", "component_id").collect())) == brute_components(rows)
     assert found[0] == found[1] == found[2] and found[0]
     assert cold[0][0] == 0 < cold[1][0] < cold[1][1] and cold[2][0] == cold[2][1]
+
+
+def shuffled(plan):
+    """Rows that the exchanges of an executed plan wrote."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return shuffled(plan.executedPlan())
+    if "QueryStage" in name:
+        return shuffled(plan.plan())
+    children = plan.children()
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if name == "Exchange" else 0
+    return own + sum(shuffled(children.apply(i)) for i in range(children.size()))
+
+
+def test_rows_that_surely_stay_are_not_shuffled(spark, monkeypatch, tmp_path):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(8))) for i in range(1000)]
+    copies = [(2000 + i, rows[i][1]) for i in range(10)] + [(7, rows[7][1])] * 2 + [(None, rows[3][1])]
+    docs_of(spark, rows + copies).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for most in (ngrams.MOST_BITS, 64):
+            monkeypatch.setattr(ngrams, "SLICE_BITS", 32)
+            monkeypatch.setattr(ngrams, "MOST_BITS", most)
+            kept = ngrams.keep_one(docs)
+            assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(rows)
+            if most > 64:  # rows that go, rows that stand twice, some that the bits take for these, and both tables of ids
+                assert shuffled(kept._jdf.queryExecution().executedPlan()) < 150
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_shingles_that_are_not_hot_are_dealt_as_others_are(spark, monkeypatch):
+    monkeypatch.setattr(ngrams, "BLOCK", 4)
+    rng = random.Random(13)
+    rows = [(1, k, rng.choice([0, 0, 0, 1, 2])) for k in range(40)] + [(2, 100, 1), (2, 101, 2), (3, 200, 5), (3, 201, 5)]
+    rows = spark.createDataFrame([(g, c, 30, 0, r) for g, c, r in rows], "gram long, cls long, n long, pos long, root long")
+    tell = lambda dealt: Counter((r.gram, r.one, r.two, r.side, r.cls, r.root) for r in dealt.collect())
+    summed, once = tell(ngrams._dealt(rows)), tell(ngrams._dealt(rows.limit(0), cold=rows))
+    assert summed == once and max(once.values()) == 1
+    assert sum(r[0] == 2 for r in once) == 2  # no row is sent where it meets none
+    assert not any(r[0] == 3 for r in once)  # a single component has no pairs to find
+
+
+def test_classes_of_a_shingle_stand_once_and_meet_heads_of_like_size(spark, monkeypatch):
+    rows = near_copies(14, groups=3, each=15)
+    rows += [(50 + i, " ".join(t.split()[:40])) for i, t in rows]
+    docs = docs_of(spark, rows + [(100 + i, t) for i, t in rows]).repartition(6)
+    like = ngrams.Likeness()
+    for hot in (0, 1 << 12):
+        monkeypatch.setattr(ngrams, "HOT", hot)
+        monkeypatch.setattr(ngrams, "HOT_MEANS", 0)
+        headed = ngrams._headed(ngrams._Join(docs, like, ngrams.NAME_BITS).known(), True)
+        found = headed.collect()
+        assert len({(r.gram, r.cls) for r in found}) == len(found) and {r.hot for r in found} == {not hot}
+        want = set()
+        for r in found:
+            n = r["where"] >> 32
+            if r.cls == r.head:
+                assert n == r.head_n
+            elif like.sizes_fit(min(n, r.head_n), max(n, r.head_n)):
+                want.add((r.head, r.cls))
+        assert {(r.a, r.b) for r in ngrams._star(headed, like).collect()} == want and want
+        assert len(want) < len({(r.head, r.cls) for r in found if r.cls != r.head})
